@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.mixing import op1_source_mixing
 from quern.llm.packing import op8_best_fit_packing
+from quern.llm.quality_classifier import op2_quality_classifier
+from quern.llm.quality_rules import op4_quality_rules
 from quern.llm.repair import op9_repair_token_shards
 from quern.llm.token_counts import op7_token_counts
+from quern.llm.toxicity import op10_toxicity_ftrl
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_source_mixing, op7_token_counts, op8_best_fit_packing, op9_repair_token_shards]
+    found = [op1_source_mixing, op2_quality_classifier, op4_quality_rules, op7_token_counts, op8_best_fit_packing, op9_repair_token_shards, op10_toxicity_ftrl]
     return {f.__name__: f for f in found}
 
 
