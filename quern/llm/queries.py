@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm.embedding_dedup import op3_embedding_dedup
 from quern.llm.minhash_dedup import op5_minhash_dedup
 from quern.llm.mixing import op1_source_mixing
 from quern.llm.packing import op8_best_fit_packing
@@ -17,7 +18,7 @@ from quern.llm.toxicity import op10_toxicity_ftrl
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_source_mixing, op2_quality_classifier, op4_quality_rules, op5_minhash_dedup, op7_token_counts, op8_best_fit_packing, op9_repair_token_shards, op10_toxicity_ftrl]
+    found = [op1_source_mixing, op2_quality_classifier, op3_embedding_dedup, op4_quality_rules, op5_minhash_dedup, op7_token_counts, op8_best_fit_packing, op9_repair_token_shards, op10_toxicity_ftrl]
     return {f.__name__: f for f in found}
 
 
