@@ -118,21 +118,28 @@ def _reached(docs: DataFrame, goals: DataFrame, bits: int = 9) -> DataFrame:
     return taken.unionByName(last.select("row", "goal"))
 
 
-def mix(docs: DataFrame, members: Column, quotas: Callable[[dict], dict], repeats: int = 2, seed: int = SEED) -> DataFrame:
+def text_size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def mix(docs: DataFrame, members: Column, quotas: Callable[[dict], dict], repeats: int = 2, seed: int = SEED, size: Column | None = None, tie: Column | None = None) -> DataFrame:
     """docs with size, the pattern of its memberships, and copies: how often the mix takes each document.
 
     members: the sources of a document (an array of text, or one text). quotas: gets the words of each source
-    that has documents, by its name, and returns its quota.
+    that has documents, by its name, and returns its quota. size and tie stand for the words of the text and
+    a hash of it, where docs has them instead of the text.
     """
+    size = text_size() if size is None else size
+    tie = F.xxhash64("text") if tie is None else tie
     spark = docs.sparkSession
     names = [c for c in docs.columns if c.startswith("_mix_")]
     if names:
         raise ValueError(f"columns named {names} are used by the mix itself")
     is_array = docs.select(members.alias("m")).schema["m"].dataType.typeName() == "array"
     kept = docs.withColumn("_mix_pattern", F.array_sort(F.array_distinct(members)) if is_array else F.array(members))
-    kept = kept.withColumn("_mix_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    kept = kept.withColumn("_mix_size", size).withColumn("_mix_hash", F.xxhash64(F.lit(seed), "doc_id", tie))
     kept = stored(kept.withColumn("_mix_row", F.monotonically_increasing_id()), "mix")
-    facts = kept.select(F.col("_mix_row").alias("row"), F.col("doc_id"), F.col("_mix_pattern").alias("pattern"), F.col("_mix_size").alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("hash"))
+    facts = kept.select(F.col("_mix_row").alias("row"), F.col("doc_id"), F.col("_mix_pattern").alias("pattern"), F.col("_mix_size").alias("size"), F.col("_mix_hash").alias("hash"))
     facts = facts.where(F.col("size") > 0)
     found = [(tuple(r["pattern"] or ()), r["n"]) for r in facts.groupBy("pattern").agg(F.sum("size").alias("n")).collect()]  # one row per pattern
     found.sort(key=lambda x: [(m is None, m or "") for m in x[0]])
@@ -146,8 +153,8 @@ def mix(docs: DataFrame, members: Column, quotas: Callable[[dict], dict], repeat
     goals = spark.createDataFrame(rows, "goal long, pattern array<string>, words long")
     full = spark.createDataFrame(whole, "pattern array<string>, full long")
     extra = _reached(facts, goals).groupBy("row").agg(F.count("*").alias("extra"))
-    copies = facts.join(full, "pattern", "left").join(extra, "row", "left").select("row", (F.coalesce("full", F.lit(0)) + F.coalesce("extra", F.lit(0))).alias("_mix_copies"))
-    out = kept.join(copies.where("_mix_copies > 0"), kept["_mix_row"] == copies["row"], "left").drop("row", "_mix_row")
+    copies = facts.join(full, "pattern", "left").join(extra, "row", "left").select(F.col("row").alias("_mix_r"), (F.coalesce("full", F.lit(0)) + F.coalesce("extra", F.lit(0))).alias("_mix_copies"))
+    out = kept.join(copies.where("_mix_copies > 0"), kept["_mix_row"] == copies["_mix_r"], "left").drop("_mix_r", "_mix_row", "_mix_hash")
     return out.withColumn("_mix_copies", F.coalesce("_mix_copies", F.lit(0).cast("long")))
 
 
@@ -165,11 +172,11 @@ def cycling_targets(weights: Sequence[float] = (3, 1, 2), share: float = 1.5, mo
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it is taken."""
     mixed = mix(docs.select(*docs.columns), F.col("source"), cycling_targets())
-    return mixed.where("_mix_copies > 0").select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies"))).alias("_copy"), *[F.col(f"`{c}`") for c in docs.columns]).drop("_copy")
+    return mixed.where("_mix_copies > 0").select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies"))).alias("_mix_copy"), *[F.col(f"`{c}`") for c in docs.columns]).drop("_mix_copy")
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", text_size().alias("words"), F.xxhash64("text").alias("tie"))
     names, quotas = docs.select("source").distinct(), cycling_targets()
     seen: dict = {}
 
@@ -179,7 +186,7 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         seen.update({m: (every[m], t) for m, t in quotas(every).items()})
         return {m: seen[m][1] for m in held}
 
-    mixed = mix(docs, F.col("source"), all_sources).drop("text")
+    mixed = mix(docs, F.col("source"), all_sources, size=F.col("words"), tie=F.col("tie"))
     target = spark.createDataFrame([(m, n, float(t)) for m, (n, t) in seen.items()], "name string, source_size long, target double")
     out = mixed.join(target, mixed["source"].eqNullSafe(target["name"]), "left")
     return out.select("doc_id", F.col("_mix_size").alias("size"), "source_size", "target", (F.col("_mix_size") * F.col("_mix_copies")).alias("taken"), "source")

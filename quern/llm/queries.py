@@ -15,12 +15,13 @@ from quern.llm.quality_rules import op4_quality_rules
 from quern.llm.repair import op9_repair_token_shards
 from quern.llm.token_counts import op7_token_counts
 from quern.llm.toxicity import op10_toxicity_ftrl
+from quern.llm.warc_revisit import OP6_SQL, op6_warc_revisits
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_source_mixing, op2_quality_classifier, op3_embedding_dedup, op4_quality_rules, op5_minhash_dedup, op7_token_counts, op8_best_fit_packing, op9_repair_token_shards, op10_toxicity_ftrl]
+    found = [op1_source_mixing, op2_quality_classifier, op3_embedding_dedup, op4_quality_rules, op5_minhash_dedup, op6_warc_revisits, op7_token_counts, op8_best_fit_packing, op9_repair_token_shards, op10_toxicity_ftrl]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc_revisits": OP6_SQL}
