@@ -8,10 +8,10 @@
 3. Within a bucket (a key), texts are compared with one hub, its least id: first by the low bits of their
    minima, packed, whose equal share is corrected for chance collisions (1 / 2**bits), then, unless the estimate is
    below the least similarity by `slack` standard errors, on the full sets.
-4. Components of the confirmed links. Buckets whose texts all fell in one component are done. In the others, the
-   texts of different components are compared with each other, but for pairs that a hub's comparison has settled.
-   So no link between components is lost, while a large group of near copies takes a number of comparisons in
-   proportion to its size.
+4. Components of the confirmed links. Buckets whose texts all fell in one component are done: a large group of near
+   copies takes comparisons in proportion to its size. In the others, texts of different components are compared in
+   blocks, by estimate and then on full sets; a block sends a spanning forest of the links that it finds, not pairs.
+   So no link between components is lost.
 
 Texts without words link with nothing. Null texts count as empty. Rows are identified by doc_id; repeated rows of
 one id are one document if their texts are equal. Empty tables give no rows.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
-from quern.llm.shared import small_batches, stored, table
+from quern.llm.shared import small_batches, spread, stored, table
 from quern.llm.textvec import Words, mix
 
 SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, bits binary"
@@ -150,6 +150,86 @@ def _links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, s: Settings)
     return stored(likely.select("a", "b", "a_text", "b_text").mapInArrow(lambda it: _confirmed(it, s), "a long, b long"), "links")
 
 
+def _block_links(ids: np.ndarray, comp: np.ndarray, part: np.ndarray, bits: np.ndarray, texts: pa.Array, s: Settings) -> Iterator[tuple[int, int]]:
+    """Links between components among a block's documents: a forest of them, not all pairs.
+
+    part: 0 or 1; in a block of two parts only pairs across them are compared.
+    """
+    k, floor, two = s.bands * s.rows, s.estimate_floor(), part.min() != part.max()
+    low = np.unpackbits(bits, axis=1)[:, : k * s.bits].reshape(len(ids), k, s.bits)
+    low = (low << np.arange(s.bits, dtype=np.uint8)).sum(axis=2, dtype=np.uint8)
+    h, first = Words(texts).shingles(s.width)
+    size = np.diff(first)
+    root = {int(c): int(c) for c in comp}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i in range(len(ids) - 1):
+        j = np.arange(i + 1, len(ids))
+        own = np.array([find(int(c)) for c in np.unique(comp[j])])
+        label = own[np.searchsorted(np.unique(comp[j]), comp[j])]
+        fits = (label != find(int(comp[i]))) & (100 * np.minimum(size[j], size[i]) >= s.percent * np.maximum(size[j], size[i]))
+        if two:
+            fits &= part[j] != part[i]
+        j = j[fits]
+        if len(j):
+            j = j[(low[j] == low[i]).mean(axis=1) >= floor]
+        if not len(j):
+            continue
+        mine = h[first[i] : first[i + 1]]
+        at = np.concatenate([np.arange(first[x], first[x + 1]) for x in j])
+        hit = mine[np.minimum(np.searchsorted(mine, h[at]), len(mine) - 1)] == h[at]
+        common = np.add.reduceat(hit, np.cumsum(size[j]) - size[j])
+        for x in j[100 * common >= s.percent * (size[i] + size[j] - common)]:
+            a, b = find(int(comp[i])), find(int(comp[x]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                yield int(min(ids[i], ids[x])), int(max(ids[i], ids[x]))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    """Rows (block, part, doc_id, comp, bits, text) in the order of block: the links of each block."""
+
+    def links(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        bits = np.frombuffer(b"".join(t["bits"].to_pylist()), dtype=np.uint8).reshape(len(t), -1)
+        found = list(_block_links(t["doc_id"].to_numpy(), t["comp"].to_numpy(), t["part"].to_numpy(), bits, t["text"].combine_chunks(), s))
+        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    held = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        block = t["block"].to_numpy()
+        cut = np.flatnonzero(block[1:] != block[:-1]) + 1
+        for lo, hi in zip([0, *cut[:-1]], cut):
+            yield links(t.slice(lo, hi - lo))
+        held = t.slice(cut[-1]) if len(cut) else t
+    if held is not None:
+        yield links(held)
+
+
+def _across(members: DataFrame, sketches: DataFrame, texts: DataFrame, s: Settings, block: int = 512) -> DataFrame:
+    """Links between components within buckets: members has key, doc_id and comp.
+
+    A bucket is dealt to parts of about `block` documents by a hash, and each pair of parts is a block of its
+    own, so that no task gets a whole large bucket.
+    """
+    parts = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
+    dealt = members.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    dealt = dealt.select(pair.alias("block"), (F.col("own") > F.col("other")).cast("int").alias("part"), "doc_id", "comp")
+    rows = dealt.join(sketches.select("doc_id", "bits"), "doc_id").join(texts.select("doc_id", "text"), "doc_id")
+    rows = spread(rows.select("block", "part", "doc_id", "comp", "bits", "text"), "block").sortWithinPartitions("block", "doc_id")
+    return stored(rows.mapInArrow(lambda it: _blocks(it, s), "a long, b long"), "across")
+
+
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles and component_id (the least id reachable over links) of each document."""
     s = settings
@@ -160,20 +240,17 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     classes = full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     # Null-safe on nothing: keys are never null. The class side has one row a key, so skewed keys can be split.
     reps = stored(full.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"]).select("doc_id", "rep"), "reps")
-    leaders = full.join(reps.where("doc_id = rep").select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"])
+    leaders = full.join(reps.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
     bands = stored(leaders.select("doc_id", F.explode("bands").alias("key")), "bands")
     buckets = bands.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("key", "hub")
     crowded = stored(bands.join(buckets, "key").select("key", "hub", "doc_id"), "crowded")
     stars = crowded.where("hub < doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _links(stars, full, texts, s)
+    links = _links(stars, leaders, texts, s)
     labels = components(links)
-    # Buckets with several components: pairs across them that no hub has settled.
+    # Buckets whose documents are in several components: those are compared across components.
     known = crowded.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     open_ = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high and n > 2").select("key")
-    rest = stored(known.join(open_, "key").where("doc_id != hub"), "open")
-    x, y = (rest.select("key", F.col("doc_id").alias(c), F.col("comp").alias(f"{c}_comp")) for c in ("a", "b"))
-    across = x.join(y, "key").where("a < b and a_comp != b_comp").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = _links(across, full, texts, s)
+    more = _across(known.join(open_, "key").select("key", "doc_id", "comp"), leaders, texts, s)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     # A document's component: that of its class, by way of its class's least id.
@@ -186,8 +263,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of docs whose document has the least id of its component, one row of each document."""
     kept = near_duplicates(docs.select("doc_id", "text"), settings).where("doc_id = component_id").select("doc_id")
-    some = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return some.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    some = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return some.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
