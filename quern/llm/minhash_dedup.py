@@ -224,9 +224,12 @@ def _across(members: DataFrame, sketches: DataFrame, texts: DataFrame, s: Settin
     dealt = members.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = dealt.select(pair.alias("block"), (F.col("own") > F.col("other")).cast("int").alias("part"), "doc_id", "comp")
-    rows = dealt.join(sketches.select("doc_id", "bits"), "doc_id").join(texts.select("doc_id", "text"), "doc_id")
-    rows = spread(rows.select("block", "part", "doc_id", "comp", "bits", "text"), "block").sortWithinPartitions("block", "doc_id")
+    dealt = dealt.select(F.struct(pair.alias("block"), (F.col("own") > F.col("other")).cast("int").alias("part")).alias("place"), "doc_id", "comp")
+    # A document is in several buckets: its text is fetched once, then dealt to its blocks.
+    places = dealt.groupBy("doc_id", "comp").agg(F.collect_list("place").alias("places"))
+    rows = places.join(sketches.select("doc_id", "bits"), "doc_id").join(texts.select("doc_id", "text"), "doc_id")
+    rows = rows.select(F.explode("places").alias("place"), "doc_id", "comp", "bits", "text")
+    rows = spread(rows.select("place.block", "place.part", "doc_id", "comp", "bits", "text"), "block").sortWithinPartitions("block", "doc_id")
     return stored(rows.mapInArrow(lambda it: _blocks(it, s), "a long, b long"), "across")
 
 
