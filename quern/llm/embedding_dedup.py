@@ -101,7 +101,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def _block(pdf: pd.DataFrame, cosine: float, grid: int, count: int, recall: float, seed: int, rows: int = 512) -> pd.DataFrame:
+def _block(pdf: pd.DataFrame, cosine: float, grid: int, count: int, recall: float, seed: int, rows: int = 128) -> pd.DataFrame:
     """Links of a block's queries with its data: rows (a, b, n): n partners of a where b is null, else a link of a forest."""
     query, data = pdf[pdf["role"] == 1], pdf[pdf["role"] == 0]
     out = [pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="Int64"), "n": pd.Series(dtype="int64")})]
@@ -114,16 +114,23 @@ def _block(pdf: pd.DataFrame, cosine: float, grid: int, count: int, recall: floa
         rank = np.empty_like(order)
         np.put_along_axis(rank, order, np.arange(len(d))[:, None], axis=0)
         ranked = np.take_along_axis(pd_, order, axis=0)
-        rank = rank.astype(np.int32)
+        # Unsigned ranks: rank - first wraps below the window, so one comparison tells whether it lies within.
+        kind = np.uint16 if len(d) < 1 << 16 else np.uint32
+        rank = np.ascontiguousarray(rank.T).astype(kind)
+        first = np.stack([np.searchsorted(ranked[:, j], pq[:, j] - narrow, side="left") for j in range(count)])
+        end = np.stack([np.searchsorted(ranked[:, j], pq[:, j] + narrow, side="right") for j in range(count)])
+        width, first = (end - first).astype(kind), first.astype(kind)
+        moved, within = np.empty((rows, len(d)), kind), np.empty((rows, len(d)), bool)
         q_id, d_id, d_n = query["rep"].to_numpy(), data["rep"].to_numpy(), data["n"].to_numpy()
         partners, a, b = np.zeros(len(q), np.int64), [], []
         for lo in range(0, len(q), rows):
             part = slice(lo, lo + rows)
             hits = np.zeros((len(q_id[part]), len(d)), dtype=np.uint8)
+            n = len(hits)
             for j in range(count):  # the window's ranks on a sorted projection
-                first = np.searchsorted(ranked[:, j], pq[part, j] - narrow, side="left").astype(np.int32)
-                end = np.searchsorted(ranked[:, j], pq[part, j] + narrow, side="right").astype(np.int32)
-                hits += (rank[:, j] >= first[:, None]) & (rank[:, j] < end[:, None])
+                np.subtract(rank[j], first[j, part, None], out=moved[:n])
+                np.less(moved[:n], width[j, part, None], out=within[:n])
+                hits += within[:n].view(np.uint8)
             i, k = np.nonzero(hits >= least)
             other = q_id[part][i] != d_id[k]
             i, k = i[other], k[other]
