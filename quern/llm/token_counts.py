@@ -34,7 +34,8 @@ class _Chunk:
         word = np.array([-1 - i if w is None else w for i, w in enumerate(e.word_ids)], dtype=np.int64)
         first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
         self.before = first
-        self.place = np.array([e.offsets[i][0] for i in first], dtype=np.int64) + start
+        offsets = e.offsets  # the library builds the list anew at each access
+        self.place = np.array([offsets[i][0] for i in first], dtype=np.int64) + start
         self.end = end
 
     def at(self, place: int) -> int:
