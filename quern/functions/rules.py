@@ -70,3 +70,8 @@ def os_version(agent: Column) -> Column:
 def detection_confidence(base: Column, consistent: Column) -> Column:
     """Base, raised by agreeing headers and lowered by contradicting ones (null: not known), within 0 and 1."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), base + F.when(consistent, 0.03).when(~consistent, -0.10).otherwise(0.0)))
+
+
+def first_match(c: Column, patterns: dict[str, str]) -> Column:
+    """The name of the first pattern, in the order given, that c matches."""
+    return F.coalesce(*[F.when(c.rlike(pattern), name) for name, pattern in patterns.items()])

@@ -162,3 +162,41 @@ def jaro_winkler(a: Column, b: Column) -> Column:
 def screen_key(width: Column, height: Column, dpr: Column) -> Column:
     number = F.regexp_replace(F.regexp_replace(F.format_string("%.3f", dpr.cast("double")), "0+$", ""), "[.]$", "")
     return F.concat(F.least(width, height).cast("string"), F.lit("x"), F.greatest(width, height).cast("string"), F.lit("@"), number)
+
+
+def device_slug(name: Column, insignificant: Sequence[str]) -> Column:
+    """Significant words of a name joined by hyphens; remarks on two SIM cards go first."""
+    plain = normalise(F.regexp_replace(name, r"(?i)\(?\s*dual[\s-]*sim\s*\)?", " "))
+    return F.array_join(F.filter(tokens(plain), lambda w: ~w.isin(*insignificant)), "-")
+
+
+def parse_conditions(c: Column) -> Column:
+    """scope, value and support for each value of `scope:a/b,c=answer;...`; parts of another form or scope are left out."""
+    form = r"^\s*([A-Za-z_]+)\s*:\s*([^=]*?)\s*=\s*(\S+)\s*$"
+    said = literal_map({"yes": "supported", "да": "supported", "no": "not_supported", "нет": "not_supported", "supported": "supported", "not_supported": "not_supported"})
+
+    def rows(part: Column) -> Column:
+        scope, support = F.regexp_extract(part, form, 1), said[F.lower(F.regexp_extract(part, form, 3))]
+        named = F.when(scope == "region", "region").when(scope.isin("osVersion", "os_version"), "osVersion")
+        values = F.split(F.regexp_extract(part, form, 2), "[/,]")
+        return F.filter(F.transform(values, lambda v: F.struct(named.alias("scope"), F.trim(v).alias("value"), support.alias("support"))), lambda r: r["scope"].isNotNull() & r["support"].isNotNull() & (r["value"] != ""))
+
+    return F.flatten(F.transform(F.split(c, ";"), rows))
+
+
+def trace(raw: Column, synonyms: Mapping[str, Sequence[str]]) -> Column:
+    """step, value and changed for each step of the normalisation, in order."""
+    joined = lambda f: lambda v: F.array_join(f(tokens(v)), " ")
+    steps = {
+        "unicode": F.lower,
+        "separators": lambda v: strip_punctuation(unify_separators(v)),
+        "letters and digits": split_letters_digits,
+        "lookalikes": joined(repair_lookalikes),
+        "synonyms": joined(lambda w: expand_synonyms(w, synonyms)),
+    }
+    out, before = [], raw
+    for step, f in steps.items():
+        value = f(before)
+        out.append(F.struct(F.lit(step).alias("step"), value.alias("value"), (value != before).alias("changed")))
+        before = value
+    return F.array(*out)

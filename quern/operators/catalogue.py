@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -99,3 +100,62 @@ def gate(total: int, rejected: int, most: float = 0.2) -> None:
     """Refuse to go on where too large a share was rejected."""
     if total + rejected and rejected / (total + rejected) > most:
         raise ValueError(f"{rejected} of {total + rejected} rows were rejected; at most {most:.0%} may be")
+
+
+def prefix_suggestions(asked: DataFrame, items: DataFrame, query: str, item: str, code: str, least: int = 4, k: int = 5) -> DataFrame:
+    """The k items whose codes share the longest prefix, of `least` or more, with each asked code; ties by item.
+
+    Each prefix keeps its k smallest items. An item that belongs to the answer is among those of the prefix it
+    shares, since whatever stands before it there stands before it in the answer too. So no pairs of codes are made.
+    """
+    prefixes = F.explode(F.transform(F.when(F.length(code) >= least, F.sequence(F.lit(least), F.length(code))).otherwise(F.array().cast("array<int>")), lambda i: F.left(F.col(code), i))).alias("prefix")
+    index = top_k(items.select(item, prefixes).distinct(), ["prefix"], [F.asc(item)], k).drop("rank")
+    found = asked.select(query, prefixes).join(index, "prefix").groupBy(query, item).agg(F.max(F.length("prefix")).alias("shared"))
+    return top_k(found, [query], [F.desc("shared"), F.asc(item)], k)
+
+
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """df in the session's checkpoint folder; a temporary one only where none is set (local mode)."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-"))
+    return df.checkpoint()
+
+
+def components(keyed: DataFrame, node: str, key: str) -> DataFrame:
+    """The smallest node that each node reaches over shared keys, by rounds of minima that halve paths.
+
+    Each round goes from nodes to keys and back, by aggregations alone, and then to the label of the label. Rounds
+    end when none changes; checkpoints cut the lineage.
+    """
+    links = _checkpointed(keyed.select(node, key).where(F.col(key).isNotNull()).distinct())
+    labels = _checkpointed(keyed.select(node).distinct().withColumn("component", F.col(node)))
+    while True:
+        low = links.join(labels, node).groupBy(key).agg(F.min("component").alias("low"))
+        near = links.join(low, key).groupBy(node).agg(F.min("low").alias("low"))
+        step = labels.join(near, node, "left").select(node, F.col("component").alias("before"), F.least("component", "low").alias("component"))
+        onward = step.select(F.col(node).alias("component"), F.col("component").alias("onward"))
+        new = _checkpointed(step.join(onward, "component", "left").select(node, "before", F.least("component", "onward").alias("component")))
+        if new.where("before <> component").isEmpty():
+            return new.drop("before")
+        labels = new.drop("before")
+
+
+def first_examples(rows: DataFrame, group: str, item: str, k: int) -> DataFrame:
+    """The size of each group and its k smallest items."""
+    few = top_k(rows, [group], [F.asc(item)], k).groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("examples"))
+    return rows.groupBy(group).agg(F.count("*").alias("total")).join(few, group)
+
+
+def category_metrics(rows: DataFrame, category: str, expected: str, given: str, positive: str, open_: str) -> DataFrame:
+    """Counts of right, wrongly positive and open answers by category and in total, and the percentage of right ones."""
+    n = F.count_if
+    counted = rows.rollup(category).agg(F.count("*").alias("total"), n(F.col(expected) == F.col(given)).alias("correct"), n((F.col(given) == positive) & (F.col(expected) != positive)).alias("false_positive"), n(F.col(given) == open_).alias("unanswered"))
+    tenths = F.expr("(2000 * correct + total) div (2 * total)")
+    percent = F.when(F.col("total") == 0, "—").otherwise(F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string")))
+    return counted.where("total > 0").withColumn(category, F.coalesce(category, F.lit("total"))).withColumn("percent", percent)
+
+
+def exported(rows: DataFrame, origin: str, prefix: str, fields: Sequence[str]) -> DataFrame:
+    """Rows whose origin starts with prefix, as one JSON document each; write with .text for files."""
+    return rows.where(F.startswith(origin, F.lit(prefix))).select(fields[0], F.to_json(F.struct(*fields)).alias("document"))
