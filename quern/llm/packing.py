@@ -9,6 +9,9 @@ time. The plan is a list of runs (length, first rank, bin, offset), whose number
 not on the input. Each piece's rank among those of its length comes from salted windows, so that a length held by a
 third of all pieces spreads over many tasks; the rank finds its run by binary search.
 
+The ids themselves go with their pieces (up to the last step as little-endian bytes, two an id where all of a batch
+fit), so that a sequence is its pieces' ids in the order of offset. Checksums are taken from the ids returned.
+
 Null and empty texts are one piece of the end id alone. Repeated rows are packed once each. An empty table
 gives no rows. Columns other than doc_id and text are not read.
 """
@@ -26,10 +29,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm.shared import small_batches, stored, table
+from quern.llm.textvec import buffers
 from quern.llm.token_counts import TOKENIZER
 from quern.llm.tokens import encoder
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
+PIECES = "doc_id long, piece int, start long, length long, ids binary, salt long"
+PLACED = "doc_id long, piece int, start long, length long, ids array<int>, ids_crc32 long, sequence_id long, offset long"
 
 
 class OpenBins:
@@ -108,22 +113,25 @@ def best_fit_runs(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
-    own, end = encoder(tokenizer), np.array([end_id], dtype="<u4")
+    own = encoder(tokenizer)
     for batch in batches:
         ids, row = batch.column("doc_id"), 0
         for flat, begin in own.ids(batch.column("text")):
-            rows = {k: [] for k in ("row", "piece", "start", "length", "crc")}
-            for i in range(len(begin) - 1):
-                doc = np.concatenate([flat[begin[i] : begin[i + 1]], end]).astype("<u4", copy=False)
-                first = len(doc) % capacity or capacity
-                cuts = [0, *range(first, len(doc) + 1, capacity)]
+            docs = np.insert(flat.astype("<u4", copy=False), begin[1:], end_id)  # the end id behind each document
+            ends = begin[1:] + np.arange(1, len(begin))
+            rows = {k: [] for k in ("row", "piece", "start", "length")}
+            for i, n in enumerate(np.diff(ends, prepend=0).tolist()):
+                cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    for name, x in zip(rows, (row + i, k, a, b - a, zlib.crc32(doc[a:b]))):
+                    for name, x in zip(rows, (row + i, k, a, b - a)):
                         rows[name].append(x)
             row += len(begin) - 1
-            crc = np.array(rows["crc"], dtype=np.int64)
-            arrays = [ids.take(pa.array(rows["row"], pa.int64())), pa.array(rows["piece"], pa.int32()), pa.array(rows["start"], pa.int64()), pa.array(rows["length"], pa.int64()), pa.array(crc), pa.array(crc ^ np.array(rows["start"], dtype=np.int64))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
+            places = 4 * np.cumsum([0, *rows["length"]])  # pieces follow each other without gaps
+            crc = np.array([zlib.crc32(docs[a // 4 : b // 4]) for a, b in zip(places, places[1:])], dtype=np.int64)
+            width = 2 if docs.max(initial=0) < 1 << 16 else 4
+            held = pa.Array.from_buffers(pa.binary(), len(places) - 1, [None, pa.py_buffer((places // 4 * width).astype(np.int32)), pa.py_buffer(docs.astype(f"<u{width}"))])
+            arrays = [ids.take(pa.array(rows["row"], pa.int64())), pa.array(rows["piece"], pa.int32()), pa.array(rows["start"], pa.int64()), pa.array(rows["length"], pa.int64()), held, pa.array(crc ^ np.array(rows["start"], dtype=np.int64))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids", "salt"])
 
 
 def _placed(batches: Iterator[pa.RecordBatch], runs: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -133,12 +141,17 @@ def _placed(batches: Iterator[pa.RecordBatch], runs: np.ndarray) -> Iterator[pa.
         t = {n: batch.column(n) for n in batch.schema.names}
         length, rank = t["length"].to_numpy(), t.pop("rank").to_numpy()
         at = np.searchsorted(key, (length << 44) | rank, side="right") - 1
+        data, off = buffers(t["ids"])
+        narrow = np.diff(off) == 2 * length  # a piece has one id at least
+        parts = [data[a:b].view("<u2" if two else "<u4").astype("<u4") for a, b, two in zip(off, off[1:], narrow)]
+        t["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *length]), pa.int32()), pa.array(np.concatenate([np.zeros(0, "<u4"), *parts]).view("<i4")))
+        t["ids_crc32"] = pa.array(map(zlib.crc32, parts), pa.int64())
         t |= {"sequence_id": pa.array(runs[at, 2] + rank - runs[at, 1]), "offset": pa.array(runs[at, 3])}
         yield pa.RecordBatch.from_arrays(list(t.values()), list(t))
 
 
-def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str = TOKENIZER, end_id: int = 0, rows_a_bucket: int = 100_000) -> DataFrame:
-    """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str = TOKENIZER, end_id: int = 0, rows_a_bucket: int = 100_000, ids_a_bucket: int = 1 << 23) -> DataFrame:
+    """A row per piece: doc_id, piece, start, length, ids, ids_crc32 (of ids as little-endian uint32), sequence_id, offset."""
     spark = docs.sparkSession
     small_batches(spark)
     pieces = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _pieces(it, tokenizer, end_id, capacity), PIECES), "pieces")
@@ -146,17 +159,17 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str = TOKENIZER, end_
     runs, _ = best_fit_runs(counts, capacity)
     plan = np.array(sorted(runs), dtype=np.int64).reshape(-1, 4)
     # Ranks within a length: buckets of a hash, each ordered on its own, behind the counts of those before.
-    buckets = max(8, max(counts.values(), default=0) // rows_a_bucket)
+    buckets = max(8, max(counts.values(), default=0) // rows_a_bucket, max((n * k for n, k in counts.items()), default=0) // ids_a_bucket)
     keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(buckets)))
     sizes = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = sizes.select("length", "bucket", (F.sum("n").over(W.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
     own = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "salt"))
     ranked = keyed.withColumn("own", own).join(before, ["length", "bucket"])
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    columns = ["doc_id", "piece", "start", "length", "ids"]
     ranked = ranked.select(*columns, (F.col("before") + F.col("own") - 1).alias("rank"))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.mapInArrow(lambda it: _placed(it, plan), schema)
+    return ranked.mapInArrow(lambda it: _placed(it, plan), PLACED)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    """The places of all pieces, and checksums instead of their ids."""
+    return pack(table(spark, sf_dir, "documents")).drop("ids")

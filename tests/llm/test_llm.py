@@ -82,6 +82,19 @@ def test_packing_has_no_gaps(spark):
     assert packing.pack(docs_frame(spark, [])).count() == 0
 
 
+def test_packed_sequences_hold_the_ids(spark):
+    texts = odd_texts(60)
+    rows = packing.pack(docs_frame(spark, texts), capacity=128).toPandas()
+    own = encoder(token_counts.TOKENIZER).library
+    want = [own.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
+    for _, g in rows.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        held = np.concatenate(g.ids.to_list()).tolist()
+        assert held == [x for r in g.itertuples() for x in want[r.doc_id][r.start : r.start + r.length]]
+    for i, g in rows.groupby("doc_id"):
+        assert np.concatenate(g.sort_values("start").ids.to_list()).tolist() == want[i]
+
+
 def test_repair_round_trip_and_random_access():
     rng = np.random.default_rng(0)
     for ids in (np.zeros(0, np.uint32), np.zeros(100, np.uint32), rng.integers(0, 5, 5000).astype(np.uint32), np.tile(np.arange(7, dtype=np.uint32), 900)):
