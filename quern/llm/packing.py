@@ -105,10 +105,14 @@ def best_fit_runs(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int
                 opened += full + (rest > 0)
                 left = 0
             else:
-                first, n = bins.pop(remaining, left)
-                runs.append((length, rank, first, capacity - remaining))
-                bins.push(remaining - length, first, n)
-                rank, left = rank + n, left - n
+                # After a piece the tightest bin is the one just used, as long as it fits: each takes all it can hold.
+                each = min(remaining // length, left)
+                first, n = bins.pop(remaining, left // each)
+                for k in range(each):
+                    runs.append((length, rank, first, capacity - remaining + k * length))
+                    rank += n
+                bins.push(remaining - each * length, first, n)
+                left -= each * n
     return runs, opened
 
 

@@ -67,6 +67,17 @@ def test_best_fit_equals_the_plain_algorithm():
         assert packing.best_fit_runs(counts, cap)[1] == len(open_)
 
 
+def test_equal_pieces_fill_the_tightest_bin_first():
+    counts = {1100: 100, 450: 100, 316: 150}
+    runs, n_bins = packing.best_fit_runs(counts, 2048)
+    assert n_bins == 100
+    ends = {(length, rank) for length, rank, _, _ in runs} | {(length, n) for length, n in counts.items()}
+    spans = [(b, off, length, b + min(r for k, r in ends if k == length and r > rank) - rank) for length, rank, b, off in runs]
+    for b in range(n_bins):
+        held = sorted((off, length) for first, off, length, end in spans if first <= b < end)
+        assert [off for off, _ in held] == [sum(x for _, x in held[:i]) for i in range(len(held))] and sum(x for _, x in held) <= 2048
+
+
 def test_packing_has_no_gaps(spark):
     texts = odd_texts(60)
     rows = packing.pack(docs_frame(spark, texts), capacity=128).toPandas()
