@@ -388,7 +388,9 @@ def csv_realign(spark, sf):
     p = table(spark, sf, "part")
     row = [F.col("p_brand"), F.col("p_type"), F.col("p_size").cast("string"), F.lit("high"), F.lit("note")]
     k = F.col("p_partkey") % 4
-    dirty = F.when(k == 0, F.array(*row)).when(k == 1, F.array(*row, F.lit("tail"))).when(k == 2, F.array(row[0], row[1], row[2], row[3])).otherwise(F.array(row[1], row[0], row[2], row[3], row[4], row[4]))
+    wide = F.concat(F.array(*row), F.array_repeat(F.lit("tail"), (F.col("p_partkey") % 7).cast("int") + 1))
+    few = F.when(F.col("p_partkey") % 8 == 2, F.array(row[0], row[1], row[2], row[3])).otherwise(F.array(row[0], row[2], row[3]))
+    dirty = F.when(k == 0, F.array(*row)).when(k == 1, wide).when(k == 2, few).otherwise(F.array(row[1], row[0], row[2], row[3], row[4], row[4]))
     valid = lambda r: F.get(r, F.lit(0)).startswith("Brand#") & F.get(r, F.lit(2)).rlike("^[0-9]+$") & (F.get(r, F.lit(3)) == "high")
     out = csv.realign(dirty, 5, valid, [0, 1, 2])
     return p.select(out["outcome"].alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))

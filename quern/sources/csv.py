@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,30 +23,46 @@ def tokenise(line: Column, delimiter: str = ",") -> Column:
     return F.transform(parts, lambda f: F.trim(inner(f)))
 
 
+def subsets(n: Column, k: Column, most: int) -> Column:
+    """The first `most` sets of k of the places 0..n-1, in lexicographic order; none where k > n."""
+
+    def longer(sets: Column, i: Column) -> Column:
+        # Up to the last place that leaves room for the rest: each set here has a completion, so cutting the list is safe.
+        grown = lambda c: F.transform(F.sequence(F.coalesce(F.get(c, i - 1) + 1, F.lit(0)), n - k + i), lambda j: F.concat(c, F.array(j)))
+        return F.slice(F.flatten(F.transform(sets, grown)), 1, most)
+
+    none = F.array().cast("array<array<int>>")
+    return F.when(k > n, none).otherwise(F.aggregate(F.sequence(F.lit(0), k - 1), F.array(F.array().cast("array<int>")), longer))
+
+
 def realign(fields: Column, width: int, valid, identity: Sequence[int], most: int = 4000) -> Column:
     """A row of `width` fields from one with too many or too few: struct(outcome, fields).
 
     valid: a column expression for a candidate row. Too many: the tail is merged, or empty fields go. Too few:
     empty fields are put in at each set of places. Valid candidates must agree on the identity fields; others
-    that differ become null. Up to two fields too many or too few are tried; the number of candidates is bounded
-    by the width alone.
+    that differ become null. Any number of fields too many or too few is tried; of the sets of places, the first
+    `most` in lexicographic order.
     """
-    places = {d: list(combinations(range(width), d))[:most] for d in (1, 2)}
+    n = F.size(fields)
 
-    def short(d: int) -> Column:
-        return F.array(*[F.array(*[F.lit("") if i in c else F.get(fields, F.lit(i - sum(x < i for x in c))) for i in range(width)]) for c in places[d]])
+    def short() -> Column:
+        filled = lambda c: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(F.array_contains(c, i), F.lit("")).otherwise(F.get(fields, i - F.size(F.filter(c, lambda x: x < i)))))
+        return F.transform(subsets(F.lit(width), F.lit(width) - n, most), filled)
 
-    def long(d: int) -> Column:
-        drops = list(combinations(range(width + d), d))[:most]
-        merged = F.array(*[F.get(fields, F.lit(i)) for i in range(width - 1)], F.array_join(F.slice(fields, width, d + 1), ","))
-        cut = [F.when(sum((F.get(fields, F.lit(i)) != "").cast("int") for i in c) == 0, F.array(*[F.get(fields, F.lit(i)) for i in range(width + d) if i not in c])) for c in drops]
-        return F.filter(F.array(merged, *cut), lambda r: r.isNotNull())
+    def long() -> Column:
+        merged = F.concat(F.slice(fields, 1, width - 1), F.array(F.array_join(F.slice(fields, F.lit(width), n), ",")))
+        empty = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(fields, i) == "")
+        cut = lambda c: F.filter(fields, lambda _, i: ~F.exists(c, lambda x: F.get(empty, x) == i))
+        return F.concat(F.array(merged), F.transform(subsets(F.size(empty), n - width, most), cut))
 
-    n = F.size(fields)
-    options = F.array_distinct(F.filter(F.when(n == width - 1, short(1)).when(n == width - 2, short(2)).when(n == width + 1, long(1)).when(n == width + 2, long(2)), valid))
-    same = F.lit(True)
-    for i in identity:
-        same = same & F.forall(options, lambda r: F.get(r, F.lit(i)) == F.get(F.get(options, F.lit(0)), F.lit(i)))
-    agreed = F.array(*[F.when(F.forall(options, lambda r: F.get(r, F.lit(i)) == F.get(F.get(options, F.lit(0)), F.lit(i))), F.get(F.get(options, F.lit(0)), F.lit(i))) for i in range(width)])
-    outcome = F.when(n == width, "exact").when(options.isNull() | (F.size(options) == 0), "unresolvable").when(~same, "identity-ambiguous").otherwise("recovered")
-    return F.struct(outcome.alias("outcome"), F.when(n == width, fields).when(outcome == "recovered", agreed).alias("fields"))
+    def settled(options: Column) -> Column:
+        first = F.get(options, F.lit(0))
+        same = F.lit(True)
+        for i in identity:
+            same = same & F.forall(options, lambda r: F.get(r, F.lit(i)) == F.get(first, F.lit(i)))
+        agreed = F.array(*[F.when(F.forall(options, lambda r: F.get(r, F.lit(i)) == F.get(first, F.lit(i))), F.get(first, F.lit(i))) for i in range(width)])
+        outcome = F.when(n == width, "exact").when(options.isNull() | (F.size(options) == 0), "unresolvable").when(~same, "identity-ambiguous").otherwise("recovered")
+        return F.struct(outcome.alias("outcome"), F.when(n == width, fields).when(outcome == "recovered", agreed).alias("fields"))
+
+    options = F.array_distinct(F.filter(F.when(n < width, short()).when(n > width, long()), valid))
+    return F.get(F.transform(F.array(options), settled), F.lit(0))  # options are made once

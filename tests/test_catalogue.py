@@ -1,4 +1,5 @@
 import random
+from itertools import combinations, islice
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,39 @@ def test_tokenise_and_realign(spark):
     assert out[0]["r"]["fields"] == ["A", "1", "x,y"]
 
 
+def test_realign_any_difference(spark):
+    rng = random.Random(3)
+
+    def plain(row, width, most):
+        d = len(row) - width
+        if d > 0:
+            empty = [i for i, x in enumerate(row) if x == ""]
+            made = [row[: width - 1] + [",".join(row[width - 1 :])]] + [[x for i, x in enumerate(row) if i not in c] for c in islice(combinations(empty, d), most)]
+        else:
+            made = []
+            for c in islice(combinations(range(width), -d), most):
+                rest = iter(row)
+                made.append(["" if i in c else next(rest) for i in range(width)])
+        good = [r for r in made if r[0] == "A" and r[2] in ("", "1")]
+        if not good:
+            return "unresolvable", None
+        if len({r[0] for r in good}) > 1:
+            return "identity-ambiguous", None
+        return "recovered", [x[0] if len(set(x)) == 1 else None for x in zip(*good)]
+
+    rows = [["A", "b", "1", "c", "x", "y", "z", "w"], ["A", "b"], ["A", "", "", "", "", "b", "1", "c", "d"], ["A"] + [""] * 14 + ["1"], []]
+    rows += [["A"] + [rng.choice(["", "1", "b"]) for _ in range(rng.choice([0, 1, 2, 5, 7, 9, 12]))] for _ in range(40)]
+    rows = [r for r in rows if len(r) != 5]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, f array<string>")
+    valid = lambda r: (F.get(r, F.lit(0)) == "A") & F.get(r, F.lit(2)).isin("", "1")
+    for most in (4000, 7):
+        got = {x["i"]: (x["r"]["outcome"], x["r"]["fields"]) for x in df.select("i", csv.realign(F.col("f"), 5, valid, [0], most).alias("r")).collect()}
+        assert got == {i: plain(r, 5, most) for i, r in enumerate(rows)}
+    line = ["m", *["f"] * 14, "note", "with", "three", "commas"]  # 16 columns
+    out = spark.createDataFrame([(line,)], "f array<string>").select(csv.realign(F.col("f"), 16, lambda r: F.get(r, F.lit(0)) == "m", [0]).alias("r")).first()["r"]
+    assert (out["outcome"], out["fields"][15]) == ("recovered", "note,with,three,commas")
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(i, f"u{i % 5}", i % 3) for i in range(60)]
     df = spark.createDataFrame(rows, "t int, u string, p int")
