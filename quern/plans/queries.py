@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.functions import rules, text
+from quern.functions import matching, rules, text
 from quern.operators import catalogue as cat
 from quern.plans.inputs import DEVICES, VOTES, devices, table, votes
 from quern.sources import csv
@@ -405,3 +405,40 @@ def match_decide(spark, sf):
     score = F.when(F.col("confidence") == "verified", 0.9).otherwise(0.7) + F.lit(0.1) * F.col("price") / (F.col("price") + 1000)
     s = q.join(d, ["family", "generation"]).select(F.concat_ws("-", "family", F.col("generation").cast("string")).alias("query"), "id", score.alias("score"))
     return cat.decide(s, "query", "id", "score", 0.8, 0.05).select("query", "leader", F.round("score", 9).alias("score"), F.round("lead", 9).alias("lead"), "outcome")
+
+
+def _matched(spark: SparkSession, sf: str) -> DataFrame:
+    """Queries made of a device of each (family, first word), with devices of their family: query, q, id, d, reason."""
+    d = devices(spark, sf)
+    some = lambda n: F.when(n % 4 == 0, F.array(F.lit("pro"))).when(n % 4 == 1, F.array(F.lit("a"))).when(n % 4 == 2, F.array(F.lit("pro"), F.lit("max"))).otherwise(F.array().cast("array<string>"))
+    items = d.select("id", "family", "support", F.struct("brand", "family", "generation", some(F.col("id")).alias("modifiers"), (F.col("id") % 40).cast("double").alias("popularity")).alias("d"))
+    n = F.col("id")
+    brand = F.when(n % 3 == 0, F.expr("left(brand, length(brand) - 1)")).when(n % 3 == 1, F.col("brand"))
+    q = d.groupBy("family", "modifier").agg(F.min_by(F.struct("id", "brand", "generation"), "id").alias("_one")).select(F.concat_ws("-", "family", "modifier").alias("query"), "family", "_one.*")
+    unparsed = F.when(n % 5 == 0, F.array(F.lit("x1"))).otherwise(F.array().cast("array<string>"))
+    q = q.select("query", F.col("family"), F.struct(brand.alias("brand"), F.when(n % 4 != 3, F.col("family")).alias("family"), F.when(n % 2 == 0, F.col("generation")).alias("generation"), F.when(n % 7 < 3, some(n)).otherwise(F.array().cast("array<string>")).alias("modifiers"), unparsed.alias("unparsed")).alias("q"))
+    return q.join(items, "family").withColumn("reason", matching.rejection(F.col("q"), F.col("d"), [f"brand#{i}" for i in range(1, 26)]))
+
+
+@query()
+def constraint_reject(spark, sf):
+    return _matched(spark, sf).groupBy("query", F.coalesce("reason", F.lit("PASS")).alias("reason")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    parts = matching.score_parts(F.col("q"), F.col("d"), F.lit(None).cast("string"))
+    return _matched(spark, sf).where("reason is null").withColumn("score", matching.weighted_score(parts)).withColumn("popularity", F.col("d.popularity"))
+
+
+@query()
+def score_rank(spark, sf):
+    order = [F.desc("score"), F.desc("popularity"), F.asc("id")]
+    return cat.top_k(_scored(spark, sf), ["query"], order, 5).select("query", "id", "rank", F.round("score", 9).alias("score"))
+
+
+@query()
+def match_resolve(spark, sf):
+    asked = devices(spark, sf).select(F.concat_ws("-", "family", "modifier").alias("query")).distinct()
+    narrower = matching.narrower(F.col("q"), F.col("d"), F.lit(None).cast("string"))
+    out = cat.decide(_scored(spark, sf), "query", "id", "score", 0.72, 0.08, [F.desc("popularity")], "support", F.size("q.unparsed") == 0, narrower, asked)
+    return out.withColumns({"score": F.round("score", 9), "lead": F.round("lead", 9)})
