@@ -6,13 +6,14 @@ so that no word is repeated while fresh ones would do; pattern -> each of its so
 quota as capacity. Successive shortest paths give a flow of least cost among those that fill the quotas most.
 The network has a node per pattern and source, which are metadata of the corpus; documents stay distributed.
 
-The selection takes, for each pattern and repetition, documents in the order of a seeded hash until the routed
-words are reached, whole documents only. The place where that happens is found in two rounds of sums over hash
-buckets and an exact running sum within the last bucket, so that a source with a third of all documents is
-never ordered in one task.
-
-Null texts have size 0 and are never taken; documents of size 0 are taken 0 times. Null sources form a source of
-their own, last in the order. Repeated rows are documents of their own. An empty table gives no rows.
+The selection takes, for each pattern and repetition, documents in the order of a seeded hash as long as they fit in the
+routed words, whole documents only. The place where that ends is found in two rounds of sums over hash buckets and an
+exact running sum within the last bucket, so that a source with a third of all documents is never ordered in one
+task. What is then left to a goal goes to the largest document that fits, twice, and then to the one that comes closest.
+
+Null texts have size 0 and are never taken; documents of size 0 are taken 0 times. Sources without words count in the
+cycle of weights. Null sources form a source of their own, last in the order. Repeated rows are documents of their own. An
+empty table gives no rows. Other columns of mixed_documents pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.shared import WORD, stored, table
+from quern.llm.shared import WORD, Scratch, table
 
 SEED = 20_240_901
 
@@ -95,14 +96,12 @@ def route(patterns: list[tuple[tuple[int, ...], int]], quotas: Sequence[float],
     return [sorted(flow[i * repeats : (i + 1) * repeats], reverse=True) for i in range(k)]
 
 
-def _reached(docs: DataFrame, goals: DataFrame, bits: int = 9) -> DataFrame:
-    """goals (goal, pattern, words): a row for each goal and document of its pattern that the mix takes (row, goal).
-
-    A document is taken if at least half of it lies before the goal in hash order.
-    """
-    level = docs.join(goals, "pattern").withColumn("base", F.lit(0).cast("long"))
+def _reached(docs: DataFrame, goals: DataFrame, scratch: Scratch, bits: int = 9, rounds: int = 3) -> DataFrame:
+    """goals (goal, pattern, words): a row for each goal and document of its pattern that the mix takes (row, goal)."""
+    asked = docs.join(goals, "pattern")
+    level = asked.withColumn("base", F.lit(0).cast("long"))
     # Only documents in the bucket where the goal falls go on; the ones before it are taken as they are.
-    taken = None
+    taken, left = None, goals.select("goal", "words")
     for step in range(2):
         bucket = F.shiftrightunsigned("hash", 64 - bits * (step + 1)).bitwiseAND(F.lit((1 << bits) - 1))
         level = level.withColumn("bucket", bucket)
@@ -110,12 +109,21 @@ def _reached(docs: DataFrame, goals: DataFrame, bits: int = 9) -> DataFrame:
         before = F.sum("n").over(W.partitionBy("goal").orderBy("bucket")) - F.col("n")
         edge = sums.withColumn("new_base", F.col("base") + before).where((F.col("new_base") <= F.col("words")) & (F.col("words") < F.col("new_base") + F.col("n"))).select("goal", F.col("bucket").alias("edge"), "new_base")
         joined = level.join(edge, "goal", "left")
-        done = joined.where(F.col("edge").isNull() | (F.col("bucket") < F.col("edge"))).select("row", "goal")
+        done = joined.where(F.col("edge").isNull() | (F.col("bucket") < F.col("edge"))).select("row", "goal", "size")
         taken = done if taken is None else taken.unionByName(done)
         level = joined.where(F.col("bucket") == F.col("edge")).drop("base", "bucket", "edge").withColumnRenamed("new_base", "base")
     running = F.sum("size").over(W.partitionBy("goal").orderBy("hash", "doc_id", "row").rowsBetween(W.unboundedPreceding, 0))
-    last = level.withColumn("end", F.col("base") + running).where(F.col("end") - F.col("size") / 2 <= F.col("words"))
-    return taken.unionByName(last.select("row", "goal"))
+    last = level.withColumn("end", F.col("base") + running).where(F.col("end") <= F.col("words"))
+    taken = scratch.stored(taken.unionByName(last.select("row", "goal", "size")), "taken", keep=True)
+    for step in range(rounds):  # one row a goal each: the largest that fits, and at last the closest
+        left = left.join(taken.groupBy("goal").agg(F.sum("size").alias("held")), "goal", "left").select("goal", "words", (F.col("words") - F.coalesce("held", F.lit(0))).alias("gap"))
+        rest = asked.join(left.drop("words"), "goal").join(taken.select("row", "goal"), ["row", "goal"], "left_anti")
+        over = F.abs(F.col("gap") - F.col("size"))
+        fits = F.lit(True) if step == rounds - 1 else F.col("size") <= F.col("gap")
+        best = rest.where((over < F.abs("gap")) & fits).groupBy("goal").agg(F.min(F.struct(over.alias("over"), "hash", "doc_id", "row", "size")).alias("best"))
+        taken = scratch.stored(taken.unionByName(best.select("best.row", "goal", "best.size")), "taken", keep=True)
+        left = left.select("goal", "words")
+    return taken.select("row", "goal")
 
 
 def text_size() -> Column:
@@ -123,36 +131,34 @@ def text_size() -> Column:
 
 
 def mix(docs: DataFrame, members: Column, quotas: Callable[[dict], dict], repeats: int = 2, seed: int = SEED, size: Column | None = None, tie: Column | None = None) -> DataFrame:
-    """docs with size, the pattern of its memberships, and copies: how often the mix takes each document.
+    """docs with _mix_size, _mix_pattern (its memberships) and _mix_copies: how often the mix takes each document.
 
     members: the sources of a document (an array of text, or one text). quotas: gets the words of each source
     that has documents, by its name, and returns its quota. size and tie stand for the words of the text and
-    a hash of it, where docs has them instead of the text.
+    a hash of it, where docs has them instead of the text. No column of docs may start with _mix_.
     """
     size = text_size() if size is None else size
     tie = F.xxhash64("text") if tie is None else tie
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c.startswith("_mix_")]
-    if names:
-        raise ValueError(f"columns named {names} are used by the mix itself")
     is_array = docs.select(members.alias("m")).schema["m"].dataType.typeName() == "array"
-    kept = docs.withColumn("_mix_pattern", F.array_sort(F.array_distinct(members)) if is_array else F.array(members))
-    kept = kept.withColumn("_mix_size", size).withColumn("_mix_hash", F.xxhash64(F.lit(seed), "doc_id", tie))
-    kept = stored(kept.withColumn("_mix_row", F.monotonically_increasing_id()), "mix")
-    facts = kept.select(F.col("_mix_row").alias("row"), F.col("doc_id"), F.col("_mix_pattern").alias("pattern"), F.col("_mix_size").alias("size"), F.col("_mix_hash").alias("hash"))
-    facts = facts.where(F.col("size") > 0)
-    found = [(tuple(r["pattern"] or ()), r["n"]) for r in facts.groupBy("pattern").agg(F.sum("size").alias("n")).collect()]  # one row per pattern
-    found.sort(key=lambda x: [(m is None, m or "") for m in x[0]])
-    sources = sorted({m for p, _ in found for m in p}, key=lambda m: (m is None, m or ""))
-    held = {m: sum(n for p, n in found if m in p) for m in sources}
-    quota = quotas(held)
-    place = {m: i for i, m in enumerate(sources)}
-    words = route([(tuple(place[m] for m in p), n) for p, n in found], [quota[m] for m in sources], repeats)
-    rows = [(i * repeats + r, list(p), w) for i, ((p, n), ws) in enumerate(zip(found, words)) for r, w in enumerate(ws) if 0 < w < n]
-    whole = [(list(p), sum(w >= n for w in ws)) for (p, n), ws in zip(found, words)]
-    goals = spark.createDataFrame(rows, "goal long, pattern array<string>, words long")
-    full = spark.createDataFrame(whole, "pattern array<string>, full long")
-    extra = _reached(facts, goals).groupBy("row").agg(F.count("*").alias("extra"))
+    with Scratch(spark) as scratch:
+        kept = docs.withColumn("_mix_pattern", F.array_sort(F.array_distinct(members)) if is_array else F.array(members))
+        kept = kept.withColumn("_mix_size", size).withColumn("_mix_hash", F.xxhash64(F.lit(seed), "doc_id", tie))
+        kept = scratch.stored(kept.withColumn("_mix_row", F.monotonically_increasing_id()), "mix", keep=True)
+        facts = kept.select(F.col("_mix_row").alias("row"), F.col("doc_id"), F.col("_mix_pattern").alias("pattern"), F.col("_mix_size").alias("size"), F.col("_mix_hash").alias("hash"))
+        found = [(tuple(r["pattern"] or ()), r["n"]) for r in facts.groupBy("pattern").agg(F.sum("size").alias("n")).collect()]  # one row per pattern
+        found.sort(key=lambda x: [(m is None, m or "") for m in x[0]])
+        sources = sorted({m for p, _ in found for m in p}, key=lambda m: (m is None, m or ""))
+        quota = quotas({m: sum(n for p, n in found if m in p) for m in sources})
+        place = {m: i for i, m in enumerate(sources)}
+        found = [(p, n) for p, n in found if n]
+        words = route([(tuple(place[m] for m in p), n) for p, n in found], [quota[m] for m in sources], repeats)
+        rows = [(i * repeats + r, list(p), w) for i, ((p, n), ws) in enumerate(zip(found, words)) for r, w in enumerate(ws) if 0 < w < n]
+        whole = [(list(p), sum(w >= n for w in ws)) for (p, n), ws in zip(found, words)]
+        goals = spark.createDataFrame(rows, "goal long, pattern array<string>, words long")
+        full = spark.createDataFrame(whole, "pattern array<string>, full long")
+        facts = facts.where(F.col("size") > 0)
+        extra = _reached(facts, goals, scratch).groupBy("row").agg(F.count("*").alias("extra"))
     copies = facts.join(full, "pattern", "left").join(extra, "row", "left").select(F.col("row").alias("_mix_r"), (F.coalesce("full", F.lit(0)) + F.coalesce("extra", F.lit(0))).alias("_mix_copies"))
     out = kept.join(copies.where("_mix_copies > 0"), kept["_mix_row"] == copies["_mix_r"], "left").drop("_mix_r", "_mix_row", "_mix_hash")
     return out.withColumn("_mix_copies", F.coalesce("_mix_copies", F.lit(0).cast("long")))
@@ -171,22 +177,23 @@ def cycling_targets(weights: Sequence[float] = (3, 1, 2), share: float = 1.5, mo
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it is taken."""
-    mixed = mix(docs.select(*docs.columns), F.col("source"), cycling_targets())
-    return mixed.where("_mix_copies > 0").select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies"))).alias("_mix_copy"), *[F.col(f"`{c}`") for c in docs.columns]).drop("_mix_copy")
+    # All columns go along in one, so that no name can clash.
+    rows = docs.select("doc_id", "source", text_size().alias("words"), F.xxhash64("text").alias("tie"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    mixed = mix(rows, F.col("source"), cycling_targets(), size=F.col("words"), tie=F.col("tie"))
+    return mixed.where("_mix_copies > 0").select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies"))), "row").select("row.*")
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", text_size().alias("words"), F.xxhash64("text").alias("tie"))
-    names, quotas = docs.select("source").distinct(), cycling_targets()
     seen: dict = {}
+    quotas = cycling_targets()
 
-    def all_sources(held: dict) -> dict:
-        # Sources without words count in the order of weights, too.
-        every = {r["source"]: held.get(r["source"], 0) for r in names.collect()}  # one row per source
-        seen.update({m: (every[m], t) for m, t in quotas(every).items()})
-        return {m: seen[m][1] for m in held}
+    def noted(held: dict) -> dict:
+        out = quotas(held)
+        seen.update({m: (held[m], out[m]) for m in held})
+        return out
 
-    mixed = mix(docs, F.col("source"), all_sources, size=F.col("words"), tie=F.col("tie"))
+    mixed = mix(docs, F.col("source"), noted, size=F.col("words"), tie=F.col("tie"))
     target = spark.createDataFrame([(m, n, float(t)) for m, (n, t) in seen.items()], "name string, source_size long, target double")
     out = mixed.join(target, mixed["source"].eqNullSafe(target["name"]), "left")
     return out.select("doc_id", F.col("_mix_size").alias("size"), "source_size", "target", (F.col("_mix_size") * F.col("_mix_copies")).alias("taken"), "source")
