@@ -5,8 +5,9 @@ root. Lasso logistic regression, by proximal gradient steps, gives most rules we
 Spark column expression, so scoring runs on built-in operations.
 
 Learning reads at most `most_docs` labelled rows, those with the smallest seeded hash. Repeated labels merge
-to the lowest; null labels are ignored; without labels the score is 0.5. Null and empty texts have all
-statistics 0 and are scored like any other. Only doc_id and text are read.
+to the lowest, and of labelled rows that repeat an id the one with the least statistics is learned from; null labels are
+ignored; without labels the score is 0.5. Null and empty texts have all statistics 0 and are scored like any other,
+repeated rows each. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -16,15 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.shared import id_fold, one_label, seeded_sample, stored, table
-from quern.llm.statistics import FEATURES, feature_columns, with_statistics
+from quern.llm.statistics import FEATURES, feature_columns, labelled_features, with_statistics
 
 MOST_DOCS, SEED = 6000, 2
 #: A rule: (feature, above, cut) literals.
 Rule = tuple[tuple[int, bool, float], ...]
 
 
-def _grow(x: np.ndarray, g: np.ndarray, rows: np.ndarray, depth: int, path: Rule, rules: set[Rule], cuts: list[np.ndarray], value: np.ndarray) -> None:
-    """Grow a tree on residuals g over rows; put paths into rules and leaf means into value."""
+def _grow(x: np.ndarray, g: np.ndarray, rows: np.ndarray, every: np.ndarray, depth: int, path: Rule, rules: set[Rule], cuts: list[np.ndarray], value: np.ndarray) -> None:
+    """Grow a tree on residuals g over rows; put paths into rules, and leaf means into value for every row that falls there."""
     if path:
         rules.add(tuple(sorted(path)))
     best, split = 1e-9, None
@@ -43,12 +44,12 @@ def _grow(x: np.ndarray, g: np.ndarray, rows: np.ndarray, depth: int, path: Rule
                 if gain[k] > best:
                     best, split = gain[k], (f, float(points[k]))
     if split is None:
-        value[rows] = g[rows].mean() if len(rows) else 0.0
+        value[every] = g[rows].mean() if len(rows) else 0.0
         return
     f, cut = split
-    low = x[rows, f] <= cut
-    _grow(x, g, rows[low], depth - 1, (*path, (f, False, cut)), rules, cuts, value)
-    _grow(x, g, rows[~low], depth - 1, (*path, (f, True, cut)), rules, cuts, value)
+    low, below = x[rows, f] <= cut, x[every, f] <= cut
+    _grow(x, g, rows[low], every[below], depth - 1, (*path, (f, False, cut)), rules, cuts, value)
+    _grow(x, g, rows[~low], every[~below], depth - 1, (*path, (f, True, cut)), rules, cuts, value)
 
 
 def propose(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3, seed: int = SEED) -> list[Rule]:
@@ -58,10 +59,8 @@ def propose(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate:
     for _ in range(trees):
         g, value = y - 1 / (1 + np.exp(-margin)), np.zeros(len(y))
         rows = np.sort(rng.choice(len(y), max(1, len(y) // 2), replace=False))
-        _grow(x, g, rows, depth, (), rules, cuts, value)
-        whole = np.zeros(len(y))
-        whole[rows] = value[rows]
-        margin += rate * 4 * whole
+        _grow(x, g, rows, np.arange(len(y)), depth, (), rules, cuts, value)
+        margin += rate * 4 * value
     return sorted(rules)
 
 
@@ -125,9 +124,8 @@ def as_column(rules: list[tuple[Rule, float]], bias: float) -> Column:
 def scored(docs: DataFrame, labelled: DataFrame, most_docs: int = MOST_DOCS) -> DataFrame:
     """doc_id and score of each row; labelled has doc_id and label, a row per document to learn from."""
     counted = stored(with_statistics(docs.select("doc_id", "text")).drop("text"), "statistics")
-    named = [c.alias(n) for n, c in feature_columns().items()]
-    rows = counted.join(seeded_sample(labelled, most_docs, SEED), "doc_id").select("doc_id", "label", *named).orderBy("doc_id", *FEATURES).limit(2 * most_docs).collect()  # bounded
-    x = np.array([[r[n] for n in FEATURES] for r in rows], dtype=float).reshape(-1, len(FEATURES))
+    rows = labelled_features(counted, seeded_sample(labelled, most_docs, SEED))
+    x = np.array([tuple(r["x"]) for r in rows], dtype=float).reshape(-1, len(FEATURES))
     return counted.select("doc_id", as_column(*fit(x, np.array([float(r["label"] > 0) for r in rows]))).alias("score"))
 
 

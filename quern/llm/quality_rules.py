@@ -6,9 +6,9 @@ that it covers are set aside, and the next rule is learned from the rest, until
 becomes one conditional expression, so texts are judged by built-in operations alone.
 
 Learning reads at most `most_docs` labelled rows, those with the smallest seeded hash. Repeated labels of a
-document merge to the lowest; null labels are ignored; without labels, or with one class only, the list is
-empty and keeps every document. Null and empty texts have 0 words. Repeated rows are judged each; other columns
-pass through whatever their names (but for the prefix _st_).
+document merge to the lowest, and of labelled rows that repeat an id the one with the least statistics is learned from;
+null labels are ignored; without labels, or with one class only, the list is empty and keeps every document. Null and
+empty texts have 0 words. Repeated rows are judged each; other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.shared import one_label, seeded_sample, stored, table
-from quern.llm.statistics import COUNTS, FEATURES, feature_columns, with_statistics
+from quern.llm.statistics import COUNTS, FEATURES, feature_columns, labelled_features, with_statistics
 
 MOST_DOCS, SEED = 6000, 4
 
@@ -76,7 +76,7 @@ def _best_literal(rows: list[Row], bad: int, good: int) -> tuple[float, Literal
     return best, found
 
 
-def learn_list(rows: list[Row], most_rules: int = 12, most_literals: int = 4, precision: float = 0.9, least_cover: int = 4) -> list[list[Literal]]:
+def learn_list(rows: list[Row], most_rules: int = 12, most_literals: int = 4, precision: float = 0.9, least_cover: int = 3) -> list[list[Literal]]:
     """Ordered rules, each of which rejects what it covers. rows: features and whether the label says reject."""
     grow, prune = [r for i, r in enumerate(rows) if i % 3], [r for i, r in enumerate(rows) if not i % 3]
     rules: list[list[Literal]] = []
@@ -99,7 +99,7 @@ def learn_list(rows: list[Row], most_rules: int = 12, most_literals: int = 4, pr
             if worth(_count(shorter, prune)) < now:
                 break
             rule = shorter
-        bad, good = _count(rule, grow + prune) if rule else (0, 0)
+        bad, good = _count(rule, prune) if rule else (0, 0)
         if bad < least_cover or bad < precision * (bad + good):
             break
         rules.append(rule)
@@ -122,27 +122,28 @@ def as_column(rules: list[list[Literal]]) -> Column:
 def learn(counted: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS) -> list[list[Literal]]:
     """The list from counted documents (with_statistics) and their labels."""
     sample = seeded_sample(one_label(labels, "quality", F.min), most_docs, SEED)
-    named = [c.alias(n) for n, c in feature_columns().items()]
-    found = counted.join(sample, "doc_id").select("doc_id", "label", *named).orderBy("doc_id", *FEATURES).limit(2 * most_docs).collect()  # bounded
-    return learn_list([(tuple(r[n] for n in FEATURES), r["label"] == 0) for r in found])
+    found = labelled_features(counted, sample)
+    return learn_list([(tuple(r["x"]), r["label"] == 0) for r in found])
 
 
 def base_failed() -> Column:
     return (F.col("_st_n_words") < 20) | (100 * F.col("_st_n_repeat_words") > 30 * F.col("_st_n_words"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, text: bool = True) -> DataFrame:
-    """docs (without text, if that is not asked for) with its counts (_st_...), _st_base_failed and _st_kept."""
-    counted = stored(with_statistics(docs).drop(*([] if text else ["text"])), "statistics")
+def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs (doc_id, text and others, which mustn't start with _st_) without text, with counts (_st_...), _st_base_failed and _st_kept."""
+    counted = stored(with_statistics(docs).drop("text"), "statistics")
     failed = counted.withColumn("_st_base_failed", base_failed())
     return failed.withColumn("_st_kept", ~F.col("_st_base_failed") & as_column(learn(counted, labels)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the base checks and the list keep, with their columns."""
-    return judged(docs, labels).where("_st_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # All columns go along in one, so that no name can clash.
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return judged(rows, labels).where("_st_kept").select("row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), text=False)
+    out = judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", *[F.col(f"_st_{c}").alias(c) for c in COUNTS], F.col("_st_base_failed").alias("base_failed"), F.col("_st_kept").alias("kept"))

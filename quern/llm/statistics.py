@@ -65,3 +65,10 @@ def feature_columns() -> dict:
     per = lambda a, b: F.coalesce(F.when(c(b) > 0, c(a) / c(b)), F.lit(0.0))
     found = [c("n_words"), per("word_chars", "n_words"), per("n_symbols", "n_chars"), per("n_dup_lines", "n_lines"), per("n_repeat_words", "n_words"), per("n_distinct_words", "n_words"), per("n_upper", "n_chars"), per("n_digits", "n_chars"), per("n_bangs", "n_chars"), per("n_words", "n_lines")]
     return dict(zip(FEATURES, found))
+
+
+def labelled_features(counted: DataFrame, sample: DataFrame) -> list:
+    """label and x (FEATURES in order) of the counted rows in sample (doc_id, label): one row per id, the least, in the order of ids."""
+    named = F.struct(*[c.alias(n) for n, c in feature_columns().items()])
+    found = counted.select("doc_id", named.alias("x")).join(sample, "doc_id").groupBy("doc_id", "label").agg(F.min("x").alias("x"))
+    return found.orderBy("doc_id").collect()  # as many rows as sample has, at most
