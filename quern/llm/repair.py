@@ -1,7 +1,7 @@
 """Token ids in grammar-compressed binary shards: Re-Pair with random access.
 
 Each shard holds a run of documents in ascending doc_id order. Re-Pair replaces frequent pairs of ids by new
-symbols (nonterminals), round after round, until a round no longer pays. A shard stores the rules, the
+symbols (nonterminals), many pairs a round, the more frequent first, until no pair pays for its rule. A shard stores the rules, the
 expansion length of each rule, the remaining sequence, and the documents' starts, so that one document is
 decoded from the symbols that cover it alone.
 
@@ -10,8 +10,8 @@ terminals, documents, ids, rules, symbols; rule pairs (two symbols each); rule e
 sequence; document starts (uint32, one more than documents). Shards travel in a binary column of Parquet files,
 so that any store Spark knows can hold them.
 
-Null and empty texts are the end id alone. Null ids come first; repeated rows and ties stay next to each other.
-An empty table writes no shard and reads back no rows. Columns other than doc_id and text are not read.
+Null and empty texts are the end id alone. Null ids come first; rows of one id are ordered by a hash of their texts, so
+that reruns agree, and dealt by it, so that a crowd of them fills many tasks. An empty table writes no shard and reads back no rows. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -35,42 +35,97 @@ MAGIC, HEAD = b"QRP1", struct.Struct("<4s6I")
 SHARDS = "part int, shard int, n_docs long, n_ids long, doc_ids array<long>, payload binary"
 
 
-def compress(ids: np.ndarray, terminals: int = 1 << 16, min_count: int = 24, rounds: int = 12, min_gain: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
-    """Rules (pairs of symbols, numbered from `terminals` on) and the sequence that expands to ids."""
+def _apart(place: np.ndarray, often: np.ndarray, passes: int = 8) -> np.ndarray:
+    """Which of the ascending places to take so that no two are neighbours: the pair seen more often wins, then the left one."""
+    take, left = np.zeros(len(place), dtype=bool), np.arange(len(place))
+    for _ in range(passes):
+        if not len(left):
+            return take
+        at, n = place[left], often[left]
+        near = np.diff(at) == 1
+        beats_next = np.concatenate([~near | (n[:-1] >= n[1:]), [True]])
+        beats_last = np.concatenate([[True], ~near | (n[1:] > n[:-1])])
+        won = beats_next & beats_last
+        take[left[won]] = True
+        lost = np.concatenate([near & won[1:], [False]]) | np.concatenate([[False], near & won[:-1]])
+        left = left[~won & ~lost]
+    # Long runs of ties are left: every second of them, from the first.
+    at = place[left]
+    new_run = np.concatenate([[True], np.diff(at) != 1]) if len(at) else np.zeros(0, dtype=bool)
+    start = at[new_run][np.cumsum(new_run) - 1]
+    take[left[(at - start) % 2 == 0]] = True
+    return take
+
+
+def _pruned(rules: np.ndarray, seq: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
+    """The grammar without rules that nothing uses, or that one place of the sequence alone uses."""
+    while len(rules):
+        big, inner = seq[seq >= terminals], rules[rules >= terminals]
+        in_seq, in_rules = (np.bincount(x.astype(np.int64) - terminals, minlength=len(rules)) for x in (big, inner))
+        gone = (in_seq < 2) & (in_rules == 0)
+        if not gone.any():
+            break
+        hit = np.zeros(len(seq), dtype=bool)
+        hit[seq >= terminals] = gone[big.astype(np.int64) - terminals]
+        first = np.arange(len(seq)) + np.cumsum(hit) - hit
+        out = np.empty(len(seq) + int(hit.sum()), dtype=np.uint32)
+        out[first[~hit]] = seq[~hit]
+        pair = rules[seq[hit].astype(np.int64) - terminals]
+        out[first[hit]], out[first[hit] + 1] = pair[:, 0], pair[:, 1]
+        number = np.concatenate([np.arange(terminals), terminals + np.cumsum(~gone) - 1]).astype(np.uint32)
+        rules, seq = number[rules[~gone]], number[out]
+    return rules, seq
+
+
+def compress(ids: np.ndarray, terminals: int = 1 << 16, least: int = 6, rounds: int = 48, min_gain: float = 0.03) -> tuple[np.ndarray, np.ndarray]:
+    """Rules (pairs of symbols, numbered from `terminals` on) and the sequence that expands to ids.
+
+    A round replaces all pairs seen at least so often, where two overlap the one seen more often. The bound starts high
+    and falls to a third when a round shortens the sequence by less than a share of `min_gain`, so that frequent pairs go
+    first. The grammar is done when no pair is seen `least` times (a rule costs as much as it saves by four uses), or after
+    `rounds`. Symbols stay within two bytes where terminals do: then the most frequent pairs get the numbers left.
+    """
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
-    known = 0
+    known, bound = 0, max(least, len(seq) >> 13)
+    room = (1 << 16) - terminals if terminals < 1 << 16 else 1 << 31
     for _ in range(rounds):
-        if len(seq) < 2 * min_count:
+        if len(seq) < 2 * least or known >= room:
             break
         pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
         # Counts by a small hash bound the pairs' counts from above: only promising places are sorted.
-        mark = ((seq[:-1] * np.uint32(0x9E3779B1)) ^ (seq[1:] * np.uint32(0x85EBCA6B))) >> np.uint32(14)
-        place = np.flatnonzero(np.bincount(mark, minlength=1 << 18)[mark] >= min_count)
+        mark = ((seq[:-1] * np.uint32(0x9E3779B1)) ^ (seq[1:] * np.uint32(0x85EBCA6B))) >> np.uint32(12)
+        place = np.flatnonzero(np.bincount(mark, minlength=1 << 20)[mark] >= bound)
         which, found = pd.factorize(pair[place])
-        good = np.bincount(which, minlength=len(found)) >= min_count
-        if not good.any():
-            break
-        number = np.cumsum(good) - 1
-        hit = good[which]
-        place, which = place[hit], number[which[hit]]
-        # Places next to each other share a symbol: in a run of them, take every second, from the first.
-        new_run = np.concatenate([[True], np.diff(place) != 1])
-        start = place[new_run][np.cumsum(new_run) - 1]
-        take = (place - start) % 2 == 0
-        place, which = place[take], which[take]
-        used = np.bincount(which, minlength=int(number[-1]) + 1) > 0
-        chosen, which = found[good][used], (np.cumsum(used) - 1)[which]
-        seq = seq.copy()
-        seq[place] = terminals + known + which
-        keep = np.ones(len(seq), dtype=bool)
-        keep[place + 1] = False
-        before, seq = len(seq), seq[keep]
-        rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
-        known += len(chosen)
+        count = np.bincount(which, minlength=len(found))
+        good, before = count >= bound, len(seq)
+        if good.any():
+            hit = good[which]
+            place, which = place[hit], which[hit]
+            take = _apart(place, count[which])
+            place, which = place[take], which[take]
+            # Pairs that lost most of their places to others wait for a later round.
+            won = np.bincount(which, minlength=len(found))
+            kept = won >= max(least - 1, bound // 2)
+            if kept.sum() > room - known:
+                order = np.argsort(-np.where(kept, won, 0), kind="stable")[: room - known]
+                kept = np.zeros(len(found), dtype=bool)
+                kept[order] = True
+            here = kept[which]
+            place, which = place[here], (np.cumsum(kept) - 1)[which[here]]
+            seq = seq.copy()
+            seq[place] = terminals + known + which
+            keep = np.ones(len(seq), dtype=bool)
+            keep[place + 1] = False
+            seq = seq[keep]
+            chosen = found[kept]
+            rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+            known += len(chosen)
         if before - len(seq) < min_gain * before:
-            break
-    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), seq
+            if bound == least:
+                break
+            bound = max(least, bound // 3)
+    return _pruned(np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), seq, terminals)
 
 
 def lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
@@ -177,8 +232,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     """
     small_batches(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(lambda it: _write(it, tokenizer, end_id, shard_ids), SHARDS).write.parquet(path)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("tie"))
+    ordered = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ordered.select("doc_id", "text").mapInArrow(lambda it: _write(it, tokenizer, end_id, shard_ids), SHARDS).write.parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
