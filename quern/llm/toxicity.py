@@ -6,7 +6,7 @@ leader gives every coordinate its own rate, and its L1 term leaves few weights t
 is a short list that travels in the tasks' closure (at most 2 ** bits weights, checked).
 
 Learning reads a bounded sample: the `most_docs` labelled rows with the smallest seeded hash. Repeated labels
-of a document count as toxic if one says so; null labels are ignored. Without labelled rows the score is 0.5.
+of a document count as toxic if one says so, any label above 0 does; null labels are ignored. Without labelled rows the score is 0.5.
 Null and empty texts have no features and score by the bias alone. Repeated rows are scored each. Only doc_id
 and text are read.
 """
@@ -75,7 +75,7 @@ def _train(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBa
     for batch in batches:
         if len(batch):
             rows += _distinct(batch.column("text"), bits)
-            labels += batch.column("label").to_pylist()
+            labels += [x > 0 for x in batch.column("label").to_pylist()]
     if not rows:
         return
     at, w, bias = fit(rows, np.array(labels, dtype=float), bits)
