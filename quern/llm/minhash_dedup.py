@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
-from quern.llm.shared import Scratch, runs, small_batches, spread, table
+from quern.llm.shared import Scratch, runs, small_batches, spread, stored, table
 from quern.llm.textvec import Words, mix
 
 SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, bits binary"
@@ -156,9 +156,11 @@ def _with(pairs: DataFrame, hubs: DataFrame, facts: DataFrame, what: str) -> Dat
     return pairs.join(facts.select(F.col("doc_id").alias("b"), F.col(what).alias(f"b_{what}")), "b").join(own, ["a", "salt"])
 
 
-def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+def _texts_of(ids: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """The different texts of the ids (doc_id): rows that repeat are one."""
-    return texts.join(ids.distinct(), "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text").alias("_hash")).agg(F.first("text").alias("text")).select("doc_id", "text")
+    # Written first, so that Spark knows the ids' size before it plans: few ids go to the texts, not the texts to them.
+    wanted = scratch.stored(ids.distinct(), "wanted")
+    return texts.join(wanted, "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text").alias("_hash")).agg(F.first("text").alias("text")).select("doc_id", "text")
 
 
 def _links(pairs: DataFrame, leaders: DataFrame, texts: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
@@ -168,7 +170,7 @@ def _links(pairs: DataFrame, leaders: DataFrame, texts: DataFrame, s: Settings,
     likely = scratch.stored(likely.distinct(), "likely")
     wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id"))
     likely, hubs = _salted(likely)
-    full = _with(likely, hubs, scratch.stored(_texts_of(wanted, texts), "texts"), "text").select("a", "b", "a_text", "b_text")
+    full = _with(likely, hubs, scratch.stored(_texts_of(wanted, texts, scratch), "texts"), "text").select("a", "b", "a_text", "b_text")
     return scratch.stored(full.mapInArrow(lambda it: _confirmed(it, s), "a long, b long").distinct(), "links")
 
 
@@ -252,13 +254,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["a", "b"])
 
 
-def _dealt(members: DataFrame, block: int) -> DataFrame:
+def _dealt(members: DataFrame, block: int, scratch: Scratch) -> DataFrame:
     """members (key, doc_id and others) with a block and a part: keys of up to `block` documents are one block each.
 
     Larger ones are dealt to parts by a hash, and each pair of parts is a block of its own, so that no task gets a whole
     large key.
     """
-    large = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts")).where("parts > 1")
+    large = scratch.stored(members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts")).where("parts > 1"), "large")
     parts = F.coalesce("parts", F.lit(1))
     dealt = members.join(large, "key", "left").withColumn("own", F.pmod(F.xxhash64("doc_id"), parts).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -269,12 +271,12 @@ def _dealt(members: DataFrame, block: int) -> DataFrame:
 def _across(members: DataFrame, leaders: DataFrame, texts: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
     """Links between components within buckets: members has key, doc_id and comp."""
     facts = leaders.select("doc_id", F.col("n_shingles").alias("n"), "bits")
-    rows = _dealt(members, 2048).join(facts, "doc_id").select("block", "part", "doc_id", "comp", "n", "bits")
+    rows = _dealt(members, 2048, scratch).join(facts, "doc_id").select("block", "part", "doc_id", "comp", "n", "bits")
     likely = spread(rows, "block").sortWithinPartitions("block").mapInArrow(lambda it: _screened(it, s), "block long, part int, doc_id long, comp long")
     likely = scratch.stored(likely, "screened")
     # Few are left in a block, as a rule; where many are, they are dealt again, to blocks whose texts fit in memory.
-    again = _dealt(likely.select(F.struct("block", "part").alias("from"), F.col("block").alias("key"), "doc_id", "comp"), 512).drop("from")
-    own = scratch.stored(_texts_of(likely.select("doc_id"), texts), "texts").join(leaders.select("doc_id", "bits"), "doc_id")
+    again = _dealt(likely.select(F.struct("block", "part").alias("from"), F.col("block").alias("key"), "doc_id", "comp"), 512, scratch).drop("from")
+    own = scratch.stored(_texts_of(likely.select("doc_id"), texts, scratch), "texts").join(leaders.select("doc_id", "bits"), "doc_id")
     rows = spread(again.join(own, "doc_id").select("block", "part", "doc_id", "comp", "bits", "text"), "block").sortWithinPartitions("block", "doc_id")
     return scratch.stored(rows.mapInArrow(lambda it: _blocks(it, s), "a long, b long"), "across")
 
@@ -302,8 +304,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         labels = components(links, scratch)
         # Buckets whose documents are in several components: those are compared across components.
         known = crowded.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+        known = scratch.stored(known, "known")
         open_ = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high and n > 2").select("key")
-        more = _across(known.join(open_, "key").select("key", "doc_id", "comp").distinct(), leaders, texts, s, scratch)
+        members = scratch.stored(known.join(scratch.stored(open_, "open"), "key").select("key", "doc_id", "comp").distinct(), "members")
+        more = _across(members, leaders, texts, s, scratch)
         if not more.isEmpty():
             labels = components(links.unionByName(more), scratch)
     # A document's component: that of its sets, by way of their least ids.
@@ -324,7 +328,7 @@ def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     gone = found.where("doc_id != component_id").select("doc_id", F.lit(1).alias("why"))
     again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(0).alias("why"))
     # Documents that go and ids that repeat are few, as a rule: all other rows need no shuffle where those can be sent to them.
-    flags = gone.unionByName(again).groupBy(F.col("doc_id").alias("_one_id")).agg(F.max("why").alias("_one_why"))
+    flags = stored(gone.unionByName(again).groupBy(F.col("doc_id").alias("_one_id")).agg(F.max("why").alias("_one_why")), "flags")
     rows = docs.where("doc_id is not null").select(F.struct(*columns).alias("_row"))
     marked = rows.join(flags, F.col("_row.doc_id") == F.col("_one_id"), "left").where("_one_why is null or _one_why = 0")
     copies = marked.where("_one_why = 0").groupBy("_one_id", F.xxhash64("_row.text").alias("_hash")).agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
