@@ -56,11 +56,14 @@ def designators(family: Column, modifiers: Column) -> Column:
     return F.array_distinct(F.concat(segments, F.filter(modifiers, lambda m: F.length(m) == 1)))
 
 
-def rejection(q: Column, d: Column, known: Sequence[str] = (), least: float = 0.5) -> Column:
-    """The first constraint that the pair fails, null where it passes: brand, generation, modifiers, line designator."""
-    brand = brand_similarity(q, d) < least
+def rejection(q: Column, d: Column, known: Sequence[str] = (), least: float = 0.5, similar: Column | None = None, resolved: Column | None = None) -> Column:
+    """The first constraint that the pair fails, null where it passes: brand, generation, modifiers, line designator.
+
+    similar, resolved: the brands' similarity and the query's brand by known_brand, where they are known already.
+    """
+    brand = (brand_similarity(q, d) if similar is None else similar) < least
     if known:
-        brand = brand | (F.lower(d["brand"]).isin(*known) & _once(known_brand(q["brand"], known), lambda k: (k != F.lower(d["brand"])) & k.isin(*known)))
+        brand = brand | (F.lower(d["brand"]).isin(*known) & _once(known_brand(q["brand"], known) if resolved is None else resolved, lambda k: (k != F.lower(d["brand"])) & k.isin(*known)))
     brand = q["brand"].isNotNull() & ~_names_brand(q, d) & brand
     line, own = designators(q["family"], q["modifiers"]), designators(d["family"], d["modifiers"])
     generation = q["generation"].isNotNull() & ~q["generation"].eqNullSafe(d["generation"])
@@ -86,18 +89,22 @@ def device_text(d: Column) -> Column:
     return F.array_join(F.filter(F.transform(words, lambda w: F.regexp_replace(w, "[0-9]+", "")), lambda w: w != ""), " ")
 
 
-def score_parts(q: Column, d: Column, code: Column, scale: float = 10.0) -> dict[str, Column]:
-    """The six components of a score, each from 0 to 1."""
-    one, zero = F.lit(1.0), F.lit(0.0)
+def family_similarity(q: Column, d: Column) -> Column:
     asked, own = query_text(q), device_text(d)
+    return F.when(asked == "", F.lit(0.0)).otherwise(_once(F.struct(asked.alias("a"), own.alias("b")), lambda t: F.greatest(edit_similarity(t["a"], t["b"]), jaro_winkler(t["a"], t["b"]))))
+
+
+def score_parts(q: Column, d: Column, code: Column, scale: float = 10.0, similar: Column | None = None, family: Column | None = None) -> dict[str, Column]:
+    """The six components of a score, each from 0 to 1. similar, family: the two similarities, where they are known already."""
+    one, zero = F.lit(1.0), F.lit(0.0)
     words = F.when(q["brand"].isNull(), 0).when(q["family"].isNull() | (q["family"] == q["brand"]), 1).otherwise(1 + F.size(F.split(q["family"], "-")))
     known = words + q["generation"].isNotNull().cast("int") + F.size(q["modifiers"])
     total = known + F.size(q["unparsed"])
     return {
-        "brand_match": F.coalesce(brand_similarity(q, d), one),
+        "brand_match": F.coalesce(brand_similarity(q, d) if similar is None else similar, one),
         "generation_match": F.when(q["generation"].isNull() | q["generation"].eqNullSafe(d["generation"]), one).otherwise(zero),
         "modifier_set_match": F.when((F.size(q["modifiers"]) == 0) | _same_set(F.array_distinct(q["modifiers"]), F.array_distinct(d["modifiers"])), one).otherwise(zero),
-        "family_similarity": F.when(code.isNotNull(), one).when(asked == "", zero).otherwise(_once(F.struct(asked.alias("a"), own.alias("b")), lambda t: F.greatest(edit_similarity(t["a"], t["b"]), jaro_winkler(t["a"], t["b"])))),
+        "family_similarity": F.when(code.isNotNull(), one).otherwise(family_similarity(q, d) if family is None else family),
         "token_coverage": F.when(code.isNotNull(), one).when(total == 0, zero).otherwise(known / F.greatest(total, F.lit(1))),
         "popularity": F.when(d["popularity"] > 0, d["popularity"] / (d["popularity"] + scale)).otherwise(zero),
     }

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,7 +29,18 @@ def collapse_spaces(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+@F.pandas_udf("string")
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def unicode_form(c: Column) -> Column:
+    """NFKC in lower case. Spark has no NFKC of its own, so texts cross to Python for this step alone."""
+    return F.lower(_nfkc(c))
+
+
 def normalise(c: Column) -> Column:
+    """Lower case, separators, punctuation and spaces; unicode_form comes before where text may hold other forms."""
     return collapse_spaces(strip_punctuation(unify_separators(F.lower(c))))
 
 
@@ -55,6 +69,56 @@ def expand_synonyms(words: Column, synonyms: Mapping[str, Sequence[str]]) -> Col
     return F.flatten(F.transform(words, lambda w: F.coalesce(table[w], F.array(w))))
 
 
+def expand_compounds(c: Column, synonyms: Mapping[str, Sequence[str]]) -> Column:
+    """Synonyms of the words that hold both letters and digits, before those are split."""
+    table = literal_map(synonyms)
+    mixed = lambda w: w.rlike(r"\p{L}") & w.rlike(r"\p{N}")
+    return F.array_join(F.flatten(F.transform(tokens(c), lambda w: F.coalesce(F.when(mixed(w), table[w]), F.array(w)))), " ")
+
+
+def extract_attributes(words: Column, patterns: Mapping[str, Sequence[str]]) -> Column:
+    """struct(storage, network, dual_sim, color, year, rest) of words, from left to right: two words at once, then one.
+
+    patterns: words of storage, network, dual_sim and color, in that order of precedence; spaces and hyphens in them don't
+    count. The last hit of a kind stays, and words that hit leave.
+    """
+    sets = {k: sorted({"".join(x.lower().replace("-", " ").split()) for x in patterns.get(k, [])}) for k in ("storage", "network", "dual_sim", "color")}
+    kind = lambda key: F.coalesce(*[F.when(key.isin(*v), k) for k, v in sets.items() if v], F.lit(None).cast("string"))
+    none = F.lit(None).cast("string")
+    start = F.struct(F.lit(0).alias("skip"), *[none.alias(k) for k in (*sets, "year")], F.array().cast("array<string>").alias("rest"))
+
+    def step(s: Column, i: Column) -> Column:
+        one, two = F.lower(F.get(words, i)), F.lower(F.concat(F.get(words, i), F.get(words, i + 1)))
+        wide, own = kind(two), F.coalesce(kind(one), F.when(one.rlike("^20[0-9]{2}$"), "year"))
+        hit, value = F.coalesce(wide, own), F.when(wide.isNotNull(), two).otherwise(one)
+        free = s["skip"] == 0
+        taken = {k: F.when(free & (hit == k), value).otherwise(s[k]).alias(k) for k in (*sets, "year")}
+        skip = F.when(~free, s["skip"] - 1).when(wide.isNotNull(), 1).otherwise(0)
+        rest = F.when(free & hit.isNull(), F.concat(s["rest"], F.array(F.get(words, i)))).otherwise(s["rest"])
+        return F.struct(skip.cast("int").alias("skip"), *taken.values(), rest.alias("rest"))
+
+    places = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+    finish = lambda s: F.struct(s["storage"].alias("storage"), s["network"].alias("network"), s["dual_sim"].isNotNull().alias("dual_sim"), s["color"].alias("color"), s["year"].cast("int").alias("year"), s["rest"].alias("rest"))
+    return F.aggregate(places, start, step, finish)
+
+
+def single_edit(a: Column, b: Column) -> Column:
+    """Whether one insertion, deletion, substitution or swap of neighbours makes b of a, both of three characters or more."""
+    return (F.length(a) >= 3) & (F.length(b) >= 3) & (F.abs(F.length(a) - F.length(b)) <= 1) & (osa_distance(a, b) == 1)
+
+
+def split_codes(c: Column, pattern: Column | None = None) -> Column:
+    """Codes between | or ;, trimmed; only those of the pattern, where there is one."""
+    codes = F.filter(F.transform(F.split(c, "[|;]"), lambda x: F.trim(x)), lambda x: x != "")
+    return codes if pattern is None else F.when(pattern.isNull(), codes).otherwise(F.filter(codes, lambda x: F.regexp_like(x, pattern)))
+
+
+def yes_no(c: Column) -> Column:
+    """The words for yes and no."""
+    said = F.lower(F.trim(c))
+    return F.coalesce(literal_map({"да": "yes", "нет": "no", "true": "yes", "false": "no", "1": "yes", "0": "no"})[said], said)
+
+
 def repair_keyboard(words: Column, source: str, target: str, known: Sequence[str]) -> Column:
     """Words typed in another layout, where the key-by-key reading is a known word."""
     return F.transform(words, lambda w: F.when(F.translate(w, source, target).isin(*known), F.translate(w, source, target)).otherwise(w))

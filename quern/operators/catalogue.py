@@ -79,10 +79,10 @@ def top_k(rows: DataFrame, group: Sequence[str], order: Sequence[Column], k: int
 
 
 def shared_trigrams(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_text: Column, right_text: Column, least: int = 1) -> DataFrame:
-    """Pairs of ids and the number of different trigrams that both texts have, by an inverted index."""
+    """Pairs of ids and how many of the left text's trigrams, repeated ones too, the right text has, by an inverted index."""
     from quern.functions.text import trigrams
 
-    a = left.select(left_id, F.explode(F.array_distinct(trigrams(left_text))).alias("gram"))
+    a = left.select(left_id, F.explode(trigrams(left_text)).alias("gram"))
     b = right.select(right_id, F.explode(F.array_distinct(trigrams(right_text))).alias("gram"))
     return a.join(b, "gram").groupBy(left_id, right_id).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
@@ -136,10 +136,13 @@ def prefix_suggestions(asked: DataFrame, items: DataFrame, query: str, item: str
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """df in the session's checkpoint folder; a temporary one only where none is set (local mode)."""
+    """df in the session's checkpoint folder; a temporary one only where none is set in local mode."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quern-"))
     return df.checkpoint()
 
 
@@ -180,3 +183,14 @@ def category_metrics(rows: DataFrame, category: str, expected: str, given: str,
 def exported(rows: DataFrame, origin: str, prefix: str, fields: Sequence[str]) -> DataFrame:
     """Rows whose origin starts with prefix, as one JSON document each; write with .text for files."""
     return rows.where(F.startswith(origin, F.lit(prefix))).select(fields[0], F.to_json(F.struct(*fields)).alias("document"))
+
+
+def fingerprint(rows: DataFrame, key: str) -> DataFrame:
+    """version (12 hex digits) and n of a set of keys, whatever their order.
+
+    Keys are dealt to 65,536 groups by a digest, each group's sorted keys are hashed, and then the hashes in the order of groups,
+    so that one task never holds all keys. The value differs from a hash of all sorted keys at once.
+    """
+    groups = rows.groupBy(F.left(F.md5(F.col(key).cast("binary")), F.lit(4)).alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(key)), "|"), 256).alias("h"), F.count("*").alias("n"))
+    every = F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda x: x["h"])  # 65,536 at most
+    return groups.agg(F.left(F.sha2(F.array_join(every, "|"), 256), F.lit(12)).alias("version"), F.sum("n").alias("n"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import matching, rules, text
 from quern.operators import catalogue as cat
+from quern.operators.matching import with_similarities
 from quern.plans.inputs import DEVICES, VOTES, devices, table, votes
 from quern.sources import csv
 from quern.streaming import tasks
@@ -17,7 +18,7 @@ from quern.streaming import tasks
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 SYNONYMS = {"small": ["s"], "large": ["l"], "hot": ["heat", "proof"], "gizmo": ["gadget"]}
-COLOURS, STOP = ["red", "blue", "green"], ["old", "new"]
+STOP = ["old", "new"]
 CYRILLIC = {"a": "а", "e": "е", "o": "о", "t": "т", "n": "н", "r": "р", "h": "х"}
 
 
@@ -59,34 +60,54 @@ def transliterate_docs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.transliterate(F.lower("text"), CYRILLIC).alias("cyrillic"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'SM-' || p_partkey WHEN p_partkey % 3 = 1 AND p_partkey < 10000 AND p_partkey >= 1000 THEN 'CPH' || p_partkey END AS code FROM part")
+CODED = """coded AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN ' sm-' || p_size || lower(p_type) WHEN 1 THEN 'cph' || p_partkey WHEN 2 THEN p_partkey || 'a' || p_size WHEN 3 THEN p_name
+  WHEN 4 THEN 'SM-' || p_size || '/DS' ELSE (1000 + p_partkey) || 'A ' END AS raw FROM part)"""
+
+
+@query(f"WITH {CODED} SELECT p_partkey, CASE WHEN regexp_full_match(upper(trim(raw)), 'SM-[A-Z0-9]+|CPH[0-9][0-9][0-9][0-9]|[0-9]{{4,7}}A[A-Z0-9]*') THEN upper(trim(raw)) END AS code FROM coded")
 def model_code_detect(spark, sf):
-    p = table(spark, sf, "part")
-    key = F.col("p_partkey").cast("string")
-    raw = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" sm-"), key)).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("cph"), key)).otherwise(F.col("p_name"))
+    p, k = table(spark, sf, "part"), F.col("p_partkey") % 6
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    raw = F.when(k == 0, F.concat(F.lit(" sm-"), size, F.lower("p_type"))).when(k == 1, F.concat(F.lit("cph"), key)).when(k == 2, F.concat(key, F.lit("a"), size)).when(k == 3, F.col("p_name"))
+    raw = raw.when(k == 4, F.concat(F.lit("SM-"), size, F.lit("/DS"))).otherwise(F.concat((1000 + F.col("p_partkey")).cast("string"), F.lit("A ")))
     return p.select("p_partkey", text.model_code(raw).alias("code"))
 
 
-@query(f"WITH {DEVICES} SELECT id, CASE WHEN modifier IN ('old', 'new') THEN family ELSE modifier END AS brand, generation, CAST(1 AS INTEGER) AS modifiers FROM devices")
+@query(f"""WITH {DEVICES}, w AS (SELECT id, list_filter(string_split(name || CASE WHEN id % 3 = 0 THEN ' pro max' WHEN id % 3 = 1 THEN ' fold' ELSE '' END || CASE WHEN id % 4 <> 3 THEN ' ' || generation ELSE '' END || CASE id % 5 WHEN 0 THEN ' 9' WHEN 1 THEN ' a5b' ELSE '' END, ' '), lambda x: x NOT IN ('old', 'new')) AS words FROM devices),
+s AS (SELECT id, list_filter(words, lambda x: x IN ('pro', 'max', 'plus', 'ultra', 'mini', 'lite', 'fe', 'air', 'fold', 'flip', 'se')) AS m, list_filter(words, lambda x: regexp_full_match(x, '[0-9]+')) AS n,
+  list_filter(words, lambda x: regexp_full_match(x, '[a-z]+') AND x NOT IN ('pro', 'max', 'plus', 'ultra', 'mini', 'lite', 'fe', 'air', 'fold', 'flip', 'se')) AS p, list_filter(words, lambda x: NOT regexp_full_match(x, '[a-z]+|[0-9]+')) AS odd FROM w)
+SELECT id, p[1] AS brand, CASE WHEN len(p) > 1 THEN array_to_string(p[2:], '-') ELSE p[1] END AS family, CAST(n[1] AS INTEGER) AS generation, array_to_string(m, '|') AS modifiers, array_to_string(list_concat(odd, n[2:]), '|') AS unparsed FROM s""")
 def slot_parse(spark, sf):
-    d = devices(spark, sf)
-    words = text.tokens(F.concat_ws(" ", "name", F.col("generation").cast("string"), F.lit("pro")))
-    s = text.slots(words, STOP)
-    return d.select("id", s["brand"].alias("brand"), s["generation"].alias("generation"), F.size(s["modifiers"]).alias("modifiers"))
+    d, n = devices(spark, sf), F.col("id")
+    more = [F.when(n % 3 == 0, "pro max").when(n % 3 == 1, "fold"), F.when(n % 4 != 3, F.col("generation").cast("string")), F.when(n % 5 == 0, "9").when(n % 5 == 1, "a5b")]
+    s = text.slots(text.tokens(F.concat_ws(" ", "name", *more)), STOP)
+    return d.select("id", s["brand"].alias("brand"), s["family"].alias("family"), s["generation"].alias("generation"), F.array_join(s["modifiers"], "|").alias("modifiers"), F.array_join(s["unparsed"], "|").alias("unparsed"))
 
 
-@query("""SELECT p_partkey, list_filter(string_split(p_name, ' '), lambda w: w IN ('red', 'blue', 'green'))[1] AS color, CASE WHEN p_size >= 26 THEN 2000 + p_size % 26 END AS year FROM part""")
+ATTRIBUTES = {"storage": ["64 gb", "128gb", "1-tb"], "network": ["5g", "lte"], "dual_sim": ["dual sim", "2sim"], "color": ["red", "blue", "hot pink"]}
+
+
+@query("""WITH RECURSIVE w AS (SELECT p_partkey, string_split(p_name || CASE p_partkey % 5 WHEN 0 THEN ' 64 GB red' WHEN 1 THEN ' dual SIM 128gb' WHEN 2 THEN ' hot pink 5G' WHEN 3 THEN ' 64 lte blue' ELSE '' END || CASE WHEN p_size >= 26 THEN ' ' || (2000 + p_size) ELSE ' 1999' END, ' ') AS words FROM part),
+keyed AS (SELECT p_partkey, words, i, lower(words[i]) AS one, lower(words[i] || words[i + 1]) AS two FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM w)),
+kinds AS (SELECT *, CASE WHEN two IN ('64gb', '128gb', '1tb') THEN 'storage' WHEN two IN ('5g', 'lte') THEN 'network' WHEN two IN ('dualsim', '2sim') THEN 'dual' WHEN two IN ('red', 'blue', 'hotpink') THEN 'color' END AS k2,
+  CASE WHEN one IN ('64gb', '128gb', '1tb') THEN 'storage' WHEN one IN ('5g', 'lte') THEN 'network' WHEN one IN ('dualsim', '2sim') THEN 'dual' WHEN one IN ('red', 'blue', 'hotpink') THEN 'color' WHEN regexp_full_match(one, '20[0-9][0-9]') THEN 'year' END AS k1 FROM keyed),
+walk AS (SELECT p_partkey, 1 AS i FROM w UNION ALL SELECT k.p_partkey, k.i + CASE WHEN k.k2 IS NOT NULL THEN 2 ELSE 1 END FROM walk JOIN kinds k ON k.p_partkey = walk.p_partkey AND k.i = walk.i),
+seen AS (SELECT k.p_partkey, k.i, coalesce(k2, k1) AS kind, CASE WHEN k2 IS NOT NULL THEN two ELSE one END AS value, words[k.i] AS word FROM walk JOIN kinds k ON k.p_partkey = walk.p_partkey AND k.i = walk.i)
+SELECT p_partkey, arg_max(value, i) FILTER (kind = 'storage') AS storage, arg_max(value, i) FILTER (kind = 'network') AS network, coalesce(bool_or(kind = 'dual'), false) AS dual_sim, arg_max(value, i) FILTER (kind = 'color') AS color,
+  CAST(arg_max(value, i) FILTER (kind = 'year') AS INTEGER) AS year, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (kind IS NULL), '') AS rest FROM seen GROUP BY p_partkey""")
 def attribute_extract(spark, sf):
-    p = table(spark, sf, "part")
-    words = F.split(F.concat_ws(" ", "p_name", F.when(F.col("p_size") >= 26, (2000 + F.col("p_size") % 26).cast("string"))), " ")
-    year = F.get(F.filter(words, lambda w: w.rlike("^20[0-9][0-9]$")), F.lit(0)).cast("int")
-    return p.select("p_partkey", F.get(F.filter(words, lambda w: w.isin(*COLOURS)), F.lit(0)).alias("color"), year.alias("year"))
+    k = F.col("p_partkey") % 5
+    more = F.when(k == 0, "64 GB red").when(k == 1, "dual SIM 128gb").when(k == 2, "hot pink 5G").when(k == 3, "64 lte blue")
+    words = F.split(F.concat_ws(" ", "p_name", more, F.when(F.col("p_size") >= 26, (2000 + F.col("p_size")).cast("string")).otherwise("1999")), " ")
+    found = table(spark, sf, "part").select("p_partkey", text.extract_attributes(words, ATTRIBUTES).alias("a"))
+    return found.select("p_partkey", *[F.col(f"a.{c}") for c in ("storage", "network", "dual_sim", "color", "year")], F.array_join("a.rest", " ").alias("rest"))
 
 
 NAME_PAIRS = """WITH names AS (SELECT DISTINCT p_name AS n FROM part),
 grams AS (SELECT n, '  ' || lower(n) || '  ' AS p FROM names),
-ex AS (SELECT DISTINCT n, substr(p, CAST(i AS BIGINT), 3) AS g FROM grams, unnest(range(1, length(p) - 1)) AS t(i)),
-pairs AS (SELECT a.n AS a, b.n AS b, count(*) AS shared FROM ex a JOIN ex b ON a.g = b.g AND a.n < b.n GROUP BY 1, 2)"""
+every AS (SELECT n, substr(p, CAST(i AS BIGINT), 3) AS g FROM grams, unnest(range(1, length(p) - 1)) AS t(i)), ex AS (SELECT DISTINCT n, g FROM every),
+pairs AS (SELECT a.n AS a, b.n AS b, count(*) AS shared FROM every a JOIN ex b ON a.g = b.g AND a.n < b.n GROUP BY 1, 2),
+twins AS (SELECT a.n AS a, b.n AS b, count(*) AS common FROM ex a JOIN ex b ON a.g = b.g AND a.n < b.n GROUP BY 1, 2)"""
 
 
 def _pairs(spark, sf):
@@ -101,7 +122,7 @@ def trigram_candidates(spark, sf):
     return _pairs(spark, sf)
 
 
-@query(NAME_PAIRS + ", sizes AS (SELECT n, count(*) AS c FROM ex GROUP BY n) SELECT a, b, round(shared / (x.c + y.c - shared), 9) AS jaccard FROM pairs JOIN sizes x ON x.n = a JOIN sizes y ON y.n = b")
+@query(NAME_PAIRS + ", sizes AS (SELECT n, count(*) AS c FROM ex GROUP BY n) SELECT a, b, round(common / (x.c + y.c - common), 9) AS jaccard FROM twins JOIN sizes x ON x.n = a JOIN sizes y ON y.n = b")
 def trigram_jaccard(spark, sf):
     return _pairs(spark, sf).select("a", "b", F.round(text.jaccard(text.trigrams(F.col("a")), text.trigrams(F.col("b"))), 9).alias("jaccard"))
 
@@ -167,9 +188,9 @@ def override_merge(spark, sf):
     return cat.merge_override(base, patch, "key", ["c_acctbal", "c_mktsegment"]).drop("key").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 200000)")
 def anti_join(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey").join(table(spark, sf, "orders").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    return table(spark, sf, "customer").select("c_custkey").join(table(spark, sf, "orders").where("o_orderstatus = 'F' and o_totalprice > 200000").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
 @query("""WITH a AS (SELECT o_custkey, list_sort(list_distinct(list(o_orderpriority) FILTER (o_orderstatus = 'F'))) AS f, list_sort(list_distinct(list(o_orderpriority) FILTER (o_totalprice > 300000))) AS p FROM orders GROUP BY 1),
@@ -251,12 +272,24 @@ def group_status(spark, sf):
     return g.select("family", "n", F.when(F.col("a") != F.col("b"), "disagree").when(F.col("a") == rules.ASK, "agree-on-clarification").otherwise(F.col("a")).alias("status"))
 
 
-@query(f"""WITH {DEVICES} SELECT id, CASE WHEN support <> 'conditional' THEN support WHEN id % 3 = 0 THEN 'clarification_required' WHEN brand = 'brand#3' THEN 'not_supported' WHEN generation < 12 THEN 'not_supported' ELSE 'supported' END AS status FROM devices""")
+#: Conditions by id: null, none, a region, a version, both, and one whose version is no number; regions and versions are sometimes unknown.
+CONTEXT = """ctx AS (SELECT *, CASE WHEN id % 4 <> 0 THEN ' ' || brand END AS region, CASE WHEN id % 5 <> 0 THEN generation || '.' || (id % 20) END AS version,
+  CASE WHEN id % 7 IN (2, 4) THEN 'BRAND#' || (id % 26) END AS region_rule, CASE id % 7 WHEN 3 THEN '12.9' WHEN 4 THEN '30.0.1' WHEN 5 THEN 'beta' END AS version_rule FROM devices)"""
+
+
+@query(f"""WITH {DEVICES}, {CONTEXT}, v AS (SELECT *, CASE WHEN version IS NULL OR version_rule IS NULL OR version_rule = 'beta' THEN false ELSE
+    list_transform(string_split(version || '.0', '.'), lambda x: CAST(x AS INTEGER)) < list_resize(list_transform(string_split(version_rule, '.'), lambda x: CAST(x AS INTEGER)), 3, 0) END AS older FROM ctx)
+SELECT id, CASE WHEN support <> 'conditional' THEN support WHEN region_rule IS NULL AND version_rule IS NULL THEN 'clarification_required'
+  WHEN upper(trim(region)) = region_rule THEN 'not_supported' WHEN older THEN 'not_supported'
+  WHEN (region_rule IS NOT NULL AND region IS NULL) OR (version_rule IS NOT NULL AND version IS NULL) THEN 'clarification_required' ELSE 'supported' END AS status FROM v""")
 def condition_resolve(spark, sf):
     d = devices(spark, sf)
-    row = lambda s, v: F.struct(F.lit(s).alias("scope"), F.lit(v).alias("value"), F.lit("not_supported").alias("support"))
-    conditions = F.when(F.col("id") % 3 == 0, F.array().cast("array<struct<scope:string,value:string,support:string>>")).otherwise(F.array(row("region", " BRAND#3"), row("osVersion", "12")))
-    return d.select("id", rules.resolve_conditions(F.col("support"), conditions, F.col("brand"), F.col("generation").cast("string")).alias("status"))
+    k, n = F.col("id") % 7, F.col("id")
+    row = lambda s, v: F.struct(F.lit(s).alias("scope"), v.alias("value"), F.lit("not_supported").alias("support"))
+    region_rule, none = F.concat(F.lit("brand#"), (n % 26).cast("string"), F.lit(" ")), F.array().cast("array<struct<scope:string,value:string,support:string>>")
+    conditions = F.when(k == 1, none).when(k == 2, F.array(row("region", region_rule))).when(k == 3, F.array(row("osVersion", F.lit("12.9")))).when(k == 4, F.array(row("region", region_rule), row("osVersion", F.lit("30.0.1")))).when(k == 5, F.array(row("osVersion", F.lit("beta"))))
+    region, version = F.when(n % 4 != 0, F.concat(F.lit(" "), "brand")), F.when(n % 5 != 0, F.concat(F.col("generation").cast("string"), F.lit("."), (n % 20).cast("string")))
+    return d.select("id", rules.resolve_conditions(F.col("support"), conditions, region, version).alias("status"))
 
 
 @query(f"WITH {DEVICES} SELECT id, CASE WHEN confidence IN ('quarantined', 'unverified') THEN 'clarification_required' ELSE support END AS status, CASE WHEN confidence IN ('quarantined', 'derived') THEN 'clarification_required' ELSE support END AS strict FROM devices")
@@ -274,27 +307,10 @@ def generation_rule(spark, sf):
     return devices(spark, sf).select("id", rules.generation_rule(F.expr(FAMILY), F.col("generation")).alias("status"))
 
 
-AGENTS = ["Mozilla/5.0 (iPhone; CPU iPhone OS 17_4 like Mac OS X)", "Mozilla/5.0 (Linux; Android 13; SM-S911B)", "Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7)", "Mozilla/5.0 (Windows NT 10.0; Win64)", "Mozilla/5.0 (HarmonyOS; Android 12; NOH-AN00)"]
-AGENT_SQL = "CASE event_id % 5 " + " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(AGENTS)) + " END"
-
-
-@query(f"""WITH s AS (SELECT event_id, event_id % 5 AS k, event_id % 3 AS touch, event_id % 4 = 0 AS mobile, 400 + event_id % 400 AS side, {AGENT_SQL} AS agent FROM events),
-p AS (SELECT *, CASE WHEN k = 0 THEN 'ios' WHEN k = 4 THEN 'harmonyos' WHEN k = 1 THEN 'android' WHEN k = 2 AND touch > 0 THEN 'ios' ELSE 'other' END AS platform FROM s)
-SELECT event_id, platform, CASE k WHEN 0 THEN '17.4' WHEN 1 THEN '13' WHEN 4 THEN '12' END AS version,
- CASE WHEN platform = 'ios' THEN CASE k WHEN 0 THEN 'phone' ELSE 'tablet' END WHEN platform IN ('android', 'harmonyos') THEN CASE WHEN mobile THEN 'phone' WHEN side >= 600 THEN 'tablet' ELSE 'phone' END ELSE 'laptop' END AS device_type,
- platform <> 'other' AND (touch = 0 OR event_id % 10 = 0) AS emulated,
- round(greatest(0, least(1, CASE WHEN platform = 'android' THEN 0.95 ELSE 0.85 END + CASE WHEN event_id % 7 = 0 THEN -0.1 WHEN event_id % 7 = 1 THEN 0.03 ELSE 0 END)), 6) AS confidence FROM p""")
-def signal_detection(spark, sf):
-    e = table(spark, sf, "events").select("event_id", F.expr(AGENT_SQL).alias("agent"), F.expr("event_id % 3").alias("touch"), F.expr("event_id % 4 = 0").alias("mobile"), F.expr("400 + event_id % 400").alias("side"), F.expr("CASE WHEN event_id % 10 = 0 THEN 'Google SwiftShader' ELSE 'Apple GPU' END").alias("gpu"), F.expr("CASE event_id % 7 WHEN 0 THEN false WHEN 1 THEN true END").alias("same"))
-    e = e.withColumn("platform", rules.platform(F.col("agent"), F.lit(None).cast("string"), F.col("touch")))
-    base = F.when(F.col("platform") == "android", 0.95).otherwise(0.85)
-    return e.select("event_id", "platform", rules.os_version(F.col("agent")).alias("version"), rules.device_type(F.col("agent"), F.col("platform"), F.col("mobile"), F.col("side")).alias("device_type"), rules.emulated(F.col("platform"), F.col("touch"), F.col("gpu")).alias("emulated"), F.round(rules.detection_confidence(base, F.col("same")), 6).alias("confidence"))
-
-
-@query(f"WITH {DEVICES} SELECT substr(sha256(string_agg(CAST(id AS VARCHAR) || ':' || support, '|' ORDER BY CAST(id AS VARCHAR) || ':' || support)), 1, 12) AS version, count(*) AS n FROM (SELECT * FROM devices)")
+@query(f"""WITH {DEVICES}, k AS (SELECT CAST(id AS VARCHAR) || ':' || support AS k FROM devices), g AS (SELECT substr(md5(k), 1, 4) AS g, sha256(string_agg(k, '|' ORDER BY k)) AS h, count(*) AS n FROM k GROUP BY 1)
+SELECT substr(sha256(string_agg(h, '|' ORDER BY g)), 1, 12) AS version, CAST(sum(n) AS BIGINT) AS n FROM g""")
 def catalog_fingerprint(spark, sf):
-    d = devices(spark, sf).select(F.concat_ws(":", F.col("id").cast("string"), "support").alias("k"))
-    return d.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("k")), "|"), 256), 1, 12).alias("version"), F.count("*").alias("n"))
+    return cat.fingerprint(devices(spark, sf).select(F.concat_ws(":", F.col("id").cast("string"), "support").alias("k")), "k")
 
 
 @query(f"WITH {DEVICES} SELECT brand, confidence, count(*) AS n FROM devices GROUP BY GROUPING SETS ((brand), (confidence), ())")
@@ -417,7 +433,9 @@ def _matched(spark: SparkSession, sf: str) -> DataFrame:
     q = d.groupBy("family", "modifier").agg(F.min_by(F.struct("id", "brand", "generation"), "id").alias("_one")).select(F.concat_ws("-", "family", "modifier").alias("query"), "family", "_one.*")
     unparsed = F.when(n % 5 == 0, F.array(F.lit("x1"))).otherwise(F.array().cast("array<string>"))
     q = q.select("query", F.col("family"), F.struct(brand.alias("brand"), F.when(n % 4 != 3, F.col("family")).alias("family"), F.when(n % 2 == 0, F.col("generation")).alias("generation"), F.when(n % 7 < 3, some(n)).otherwise(F.array().cast("array<string>")).alias("modifiers"), unparsed.alias("unparsed")).alias("q"))
-    return q.join(items, "family").withColumn("reason", matching.rejection(F.col("q"), F.col("d"), [f"brand#{i}" for i in range(1, 26)]))
+    known = [f"brand#{i}" for i in range(1, 26)]
+    pairs = with_similarities(q.join(items, "family"), known)
+    return pairs.withColumn("reason", matching.rejection(F.col("q"), F.col("d"), known, similar=F.col("similar"), resolved=F.col("resolved")))
 
 
 @query()
@@ -426,7 +444,7 @@ def constraint_reject(spark, sf):
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    parts = matching.score_parts(F.col("q"), F.col("d"), F.lit(None).cast("string"))
+    parts = matching.score_parts(F.col("q"), F.col("d"), F.lit(None).cast("string"), similar=F.col("similar"), family=F.col("family_like"))
     return _matched(spark, sf).where("reason is null").withColumn("score", matching.weighted_score(parts)).withColumn("popularity", F.col("d.popularity"))
 
 
