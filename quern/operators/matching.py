@@ -46,14 +46,24 @@ def retrieve(queries: DataFrame, catalog: DataFrame, least: int = 1) -> DataFram
 
 
 def with_similarities(pairs: DataFrame, known: Sequence[str] = ()) -> DataFrame:
-    """pairs (q, d) with similar, family_like and resolved (the query's brand): computed once for each different pair of names, which are few, and joined back."""
-    names = F.struct(F.col("q.brand").alias("qb"), F.col("q.family").alias("qf"), F.col("d.brand").alias("db"), F.col("d.family").alias("df"), F.col("d.modifiers").alias("dm"))
-    keyed = pairs.withColumn("_names", F.to_json(names))
-    one = keyed.groupBy("_names").agg(F.first("q").alias("q"), F.first("d").alias("d"))
-    brands = one.select("q.brand").distinct().select("brand", (matching.known_brand(F.col("brand"), known) if known else F.lower("brand")).alias("resolved"))
-    facts = one.select("_names", F.col("q.brand").alias("_brand"), matching.brand_similarity(F.col("q"), F.col("d")).alias("similar"), matching.family_similarity(F.col("q"), F.col("d")).alias("family_like"))
-    facts = facts.join(brands, F.col("_brand").eqNullSafe(F.col("brand"))).drop("_brand", "brand")
-    return keyed.join(facts, "_names").drop("_names")
+    """pairs (q, d) with similar, family_like and resolved (the query's brand).
+
+    Each is computed once for each different pair of names or texts, which are few, and joined back.
+    """
+    q, d = F.col("q"), F.col("d")
+    brands = F.to_json(F.struct(F.col("q.brand").alias("q"), F.col("d.brand").alias("d"), F.col("d.family").alias("f")))
+    texts = F.to_json(F.struct(matching.query_text(q).alias("q"), matching.device_text(d).alias("d")))
+    out = pairs.withColumns({"_brands": brands, "_texts": texts, "_brand": F.coalesce("q.brand", F.lit(""))})
+    once = lambda key: out.groupBy(key).agg(F.first("q").alias("q"), F.first("d").alias("d"))
+    own = F.col("q.brand")
+    facts = {
+        "_brands": matching.brand_similarity(q, d).alias("similar"),
+        "_texts": matching.family_similarity(q, d).alias("family_like"),
+        "_brand": (matching.known_brand(own, known) if known else F.lower(own)).alias("resolved"),
+    }
+    for key, fact in facts.items():
+        out = out.join(once(key).select(key, fact), key)
+    return out.drop(*facts)
 
 
 def ranked(queries: DataFrame, catalog: DataFrame, known: Sequence[str] = (), least: int = 1) -> DataFrame:
