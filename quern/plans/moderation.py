@@ -9,6 +9,7 @@ from quern.operators import catalogue as cat
 from quern.operators import matching, moderation
 from quern.plans.inputs import DEVICES, devices, table
 from quern.plans.queries import query
+from quern.streaming import tasks
 
 #: Queries of every tier: a code, a whole name, a name with a modifier, and words with a letter lost; and what they are asked of.
 ASKED = """items AS (SELECT *, name || ' ' || brand AS alias, 'X-' || (id % 1900) AS own_code FROM devices), asked AS (SELECT id, id % 5 AS k, CASE id % 5 WHEN 0 THEN 'SM-' || (id % 2100) WHEN 1 THEN name || ' ' || brand WHEN 2 THEN name || ' ' || brand ELSE substr(name, 2) END AS raw, brand, family, modifier, generation FROM devices WHERE id % 10 < 6)"""
@@ -148,3 +149,14 @@ def level_counts(spark, sf):
 def presentation(spark, sf):
     shown = moderation.presented(F.when(F.col("support") == "conditional", rules.ASK).otherwise(F.col("support")), F.col("name"), F.col("id") % 2 == 0)
     return devices(spark, sf).select("id", shown.alias("p")).select("id", "p.title", "p.action")
+
+
+@query("""WITH a AS (SELECT user_id, event_type, count(*) AS n, min(ts) AS c, max(ts) AS l, arg_max(event_id, (ts, event_id)) AS p FROM events WHERE event_id % 3 > 0 GROUP BY 1, 2), b AS (SELECT user_id, event_type, count(*) AS n, min(ts) AS c, max(ts) AS l, arg_max(event_id, (ts, event_id)) AS p FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2)
+SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event_type) AS event_type, coalesce(a.n, 0) + coalesce(b.n, 0) AS occurrences, epoch_us(least(a.c, b.c)) AS created_us, epoch_us(greatest(a.l, b.l)) AS last_seen_us, CASE WHEN a.l IS NULL OR b.l >= a.l THEN b.p ELSE a.p END AS payload,
+  CASE WHEN a.n IS NOT NULL AND a.user_id % 2 = 0 THEN 'resolved' ELSE 'open' END AS status FROM a FULL JOIN b ON a.user_id = b.user_id AND a.event_type = b.event_type""")
+def task_merge(spark, sf):
+    key, e = ["user_id", "event_type"], table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    count = lambda rows: tasks.count_tasks(rows, key, "ts", "event_id")
+    old = count(e.where("event_id % 3 > 0")).withColumn("status", F.when(F.col("user_id") % 2 == 0, "resolved").otherwise("open"))
+    out = tasks.merge_tasks(old, count(e.where("event_id % 3 = 0")), key)
+    return out.select(*key, "occurrences", F.unix_micros("created_at").alias("created_us"), F.unix_micros("last_seen_at").alias("last_seen_us"), "payload", "status")
