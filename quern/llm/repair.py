@@ -93,9 +93,9 @@ def compress(ids: np.ndarray, terminals: int = 1 << 16, least: int = 6, rounds:
         if len(seq) < 2 * least or known >= room:
             break
         pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        # Counts by a small hash bound the pairs' counts from above: only promising places are sorted.
-        mark = ((seq[:-1] * np.uint32(0x9E3779B1)) ^ (seq[1:] * np.uint32(0x85EBCA6B))) >> np.uint32(12)
-        place = np.flatnonzero(np.bincount(mark, minlength=1 << 20)[mark] >= bound)
+        # Counts by a small hash bound the pairs' counts from above (in a core's cache): only promising places are sorted.
+        mark = ((seq[:-1] * np.uint32(0x9E3779B1)) ^ (seq[1:] * np.uint32(0x85EBCA6B))) >> np.uint32(14)
+        place = np.flatnonzero(np.bincount(mark, minlength=1 << 18)[mark] >= bound)
         which, found = pd.factorize(pair[place])
         count = np.bincount(which, minlength=len(found))
         good, before = count >= bound, len(seq)
