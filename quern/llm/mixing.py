@@ -9,7 +9,8 @@ The network has a node per pattern and source, which are metadata of the corpus;
 The selection takes, for each pattern and repetition, documents in the order of a seeded hash as long as they fit in the
 routed words, whole documents only. The place where that ends is found in two rounds of sums over hash buckets and an
 exact running sum within the last bucket, so that a source with a third of all documents is never ordered in one
-task. What is then left to a goal goes to the largest document that fits, twice, and then to the one that comes closest.
+task. What is then left to a goal goes the same way to documents no larger than it, then to the largest that fits, twice,
+and at last to the one that comes closest.
 
 Null texts have size 0 and are never taken; documents of size 0 are taken 0 times. Sources without words count in the
 cycle of weights. Null sources form a source of their own, last in the order. Repeated rows are documents of their own. An
@@ -96,12 +97,10 @@ def route(patterns: list[tuple[tuple[int, ...], int]], quotas: Sequence[float],
     return [sorted(flow[i * repeats : (i + 1) * repeats], reverse=True) for i in range(k)]
 
 
-def _reached(docs: DataFrame, goals: DataFrame, scratch: Scratch, bits: int = 9, rounds: int = 3) -> DataFrame:
-    """goals (goal, pattern, words): a row for each goal and document of its pattern that the mix takes (row, goal)."""
-    asked = docs.join(goals, "pattern")
-    level = asked.withColumn("base", F.lit(0).cast("long"))
+def _prefix(asked: DataFrame, bits: int = 9) -> DataFrame:
+    """The documents of each goal in the order of their hash, up to the first that no longer fits in its words (row, goal, size)."""
+    level, taken = asked.withColumn("base", F.lit(0).cast("long")), None
     # Only documents in the bucket where the goal falls go on; the ones before it are taken as they are.
-    taken, left = None, goals.select("goal", "words")
     for step in range(2):
         bucket = F.shiftrightunsigned("hash", 64 - bits * (step + 1)).bitwiseAND(F.lit((1 << bits) - 1))
         level = level.withColumn("bucket", bucket)
@@ -114,15 +113,27 @@ def _reached(docs: DataFrame, goals: DataFrame, scratch: Scratch, bits: int = 9,
         level = joined.where(F.col("bucket") == F.col("edge")).drop("base", "bucket", "edge").withColumnRenamed("new_base", "base")
     running = F.sum("size").over(W.partitionBy("goal").orderBy("hash", "doc_id", "row").rowsBetween(W.unboundedPreceding, 0))
     last = level.withColumn("end", F.col("base") + running).where(F.col("end") <= F.col("words"))
-    taken = scratch.stored(taken.unionByName(last.select("row", "goal", "size")), "taken", keep=True)
+    return taken.unionByName(last.select("row", "goal", "size"))
+
+
+def _reached(docs: DataFrame, goals: DataFrame, scratch: Scratch, rounds: int = 3) -> DataFrame:
+    """goals (goal, pattern, words): a row for each goal and document of its pattern that the mix takes (row, goal)."""
+    asked = docs.join(goals, "pattern")
+    taken = scratch.stored(_prefix(asked), "taken", keep=True)
+
+    def rest() -> DataFrame:
+        """The documents not taken yet, with what is left of their goal as gap."""
+        held = taken.groupBy("goal").agg(F.sum("size").alias("held"))
+        left = goals.join(held, "goal", "left").select("goal", (F.col("words") - F.coalesce("held", F.lit(0))).alias("gap"))
+        return asked.join(left, "goal").join(taken.select("row", "goal"), ["row", "goal"], "left_anti")
+
+    small = rest().where(F.col("size") <= F.col("gap")).drop("words").withColumnRenamed("gap", "words")
+    taken = scratch.stored(taken.unionByName(_prefix(small)), "taken", keep=True)
     for step in range(rounds):  # one row a goal each: the largest that fits, and at last the closest
-        left = left.join(taken.groupBy("goal").agg(F.sum("size").alias("held")), "goal", "left").select("goal", "words", (F.col("words") - F.coalesce("held", F.lit(0))).alias("gap"))
-        rest = asked.join(left.drop("words"), "goal").join(taken.select("row", "goal"), ["row", "goal"], "left_anti")
         over = F.abs(F.col("gap") - F.col("size"))
         fits = F.lit(True) if step == rounds - 1 else F.col("size") <= F.col("gap")
-        best = rest.where((over < F.abs("gap")) & fits).groupBy("goal").agg(F.min(F.struct(over.alias("over"), "hash", "doc_id", "row", "size")).alias("best"))
+        best = rest().where((over < F.abs("gap")) & fits).groupBy("goal").agg(F.min(F.struct(over.alias("over"), "hash", "doc_id", "row", "size")).alias("best"))
         taken = scratch.stored(taken.unionByName(best.select("best.row", "goal", "best.size")), "taken", keep=True)
-        left = left.select("goal", "words")
     return taken.select("row", "goal")
 
 
