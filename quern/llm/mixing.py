@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from quern.llm.shared import WORD, Scratch, table
 
 SEED = 20_240_901
+#: Most goals whose rows are sent to all tasks: a pattern and two numbers each.
+MOST_SENT = 50_000
 
 
 def capped_targets(sizes: Sequence[float], weights: Sequence[float], share: float, most: float) -> list[float]:
@@ -97,7 +99,12 @@ def route(patterns: list[tuple[tuple[int, ...], int]], quotas: Sequence[float],
     return [sorted(flow[i * repeats : (i + 1) * repeats], reverse=True) for i in range(k)]
 
 
-def _prefix(asked: DataFrame, bits: int = 9) -> DataFrame:
+def _by_goal(goals: DataFrame, n: int) -> DataFrame:
+    """goals has a row for each of n goals: with few of them it goes to the documents, which must not be dealt by their goal."""
+    return F.broadcast(goals) if n <= MOST_SENT else goals
+
+
+def _prefix(asked: DataFrame, n: int, bits: int = 9) -> DataFrame:
     """The documents of each goal in the order of their hash, up to the first that no longer fits in its words (row, goal, size)."""
     level, taken = asked.withColumn("base", F.lit(0).cast("long")), None
     # Only documents in the bucket where the goal falls go on; the ones before it are taken as they are.
@@ -107,7 +114,7 @@ def _prefix(asked: DataFrame, bits: int = 9) -> DataFrame:
         sums = level.groupBy("goal", "bucket").agg(F.sum("size").alias("n"), F.first("words").alias("words"), F.first("base").alias("base"))
         before = F.sum("n").over(W.partitionBy("goal").orderBy("bucket")) - F.col("n")
         edge = sums.withColumn("new_base", F.col("base") + before).where((F.col("new_base") <= F.col("words")) & (F.col("words") < F.col("new_base") + F.col("n"))).select("goal", F.col("bucket").alias("edge"), "new_base")
-        joined = level.join(edge, "goal", "left")
+        joined = level.join(_by_goal(edge, n), "goal", "left")
         done = joined.where(F.col("edge").isNull() | (F.col("bucket") < F.col("edge"))).select("row", "goal", "size")
         taken = done if taken is None else taken.unionByName(done)
         level = joined.where(F.col("bucket") == F.col("edge")).drop("base", "bucket", "edge").withColumnRenamed("new_base", "base")
@@ -116,19 +123,19 @@ def _prefix(asked: DataFrame, bits: int = 9) -> DataFrame:
     return taken.unionByName(last.select("row", "goal", "size"))
 
 
-def _reached(docs: DataFrame, goals: DataFrame, scratch: Scratch, rounds: int = 3) -> DataFrame:
-    """goals (goal, pattern, words): a row for each goal and document of its pattern that the mix takes (row, goal)."""
-    asked = docs.join(goals, "pattern")
-    taken = scratch.stored(_prefix(asked), "taken", keep=True)
+def _reached(docs: DataFrame, goals: DataFrame, n: int, scratch: Scratch, rounds: int = 3) -> DataFrame:
+    """n goals (goal, pattern, words): a row for each goal and document of its pattern that the mix takes (row, goal)."""
+    asked = docs.join(_by_goal(goals, n), "pattern")
+    taken = scratch.stored(_prefix(asked, n), "taken", keep=True)
 
     def rest() -> DataFrame:
         """The documents not taken yet, with what is left of their goal as gap."""
         held = taken.groupBy("goal").agg(F.sum("size").alias("held"))
         left = goals.join(held, "goal", "left").select("goal", (F.col("words") - F.coalesce("held", F.lit(0))).alias("gap"))
-        return asked.join(left, "goal").join(taken.select("row", "goal"), ["row", "goal"], "left_anti")
+        return asked.join(taken.select("row", "goal"), ["row", "goal"], "left_anti").join(_by_goal(left, n), "goal")
 
     small = rest().where(F.col("size") <= F.col("gap")).drop("words").withColumnRenamed("gap", "words")
-    taken = scratch.stored(taken.unionByName(_prefix(small)), "taken", keep=True)
+    taken = scratch.stored(taken.unionByName(_prefix(small, n)), "taken", keep=True)
     for step in range(rounds):  # one row a goal each: the largest that fits, and at last the closest
         over = F.abs(F.col("gap") - F.col("size"))
         fits = F.lit(True) if step == rounds - 1 else F.col("size") <= F.col("gap")
@@ -169,7 +176,7 @@ def mix(docs: DataFrame, members: Column, quotas: Callable[[dict], dict], repeat
         goals = spark.createDataFrame(rows, "goal long, pattern array<string>, words long")
         full = spark.createDataFrame(whole, "pattern array<string>, full long")
         facts = facts.where(F.col("size") > 0)
-        extra = _reached(facts, goals, scratch).groupBy("row").agg(F.count("*").alias("extra"))
+        extra = _reached(facts, goals, len(rows), scratch).groupBy("row").agg(F.count("*").alias("extra"))
     copies = facts.join(full, "pattern", "left").join(extra, "row", "left").select(F.col("row").alias("_mix_r"), (F.coalesce("full", F.lit(0)) + F.coalesce("extra", F.lit(0))).alias("_mix_copies"))
     out = kept.join(copies.where("_mix_copies > 0"), kept["_mix_row"] == copies["_mix_r"], "left").drop("_mix_r", "_mix_row", "_mix_hash")
     return out.withColumn("_mix_copies", F.coalesce("_mix_copies", F.lit(0).cast("long")))
