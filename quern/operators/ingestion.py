@@ -173,3 +173,20 @@ def quarantined(devices: DataFrame, breaches: DataFrame) -> tuple[DataFrame, Dat
     """The devices that no breach names, and a row (id, code) per breach and device."""
     named = breaches.select("code", F.explode("device_ids").alias("id"))
     return devices.join(named.select("id").distinct(), "id", "left_anti"), named.select("id", "code")
+
+
+def edit_breaches(devices: DataFrame, edited: DataFrame, signatures: DataFrame | None = None) -> DataFrame:
+    """The breaches of the catalogue as it would be with the edited devices in place of those of their ids, as far as one of them is named.
+
+    Edits are judged together. Signatures get the consensus that their known candidates would have then, so that a changed
+    status is no breach by itself; those without a known candidate keep theirs. Columns as in violations.
+    """
+    after = devices.join(edited.select("id").distinct(), "id", "left_anti").unionByName(edited)
+    if signatures is not None:
+        known = after.select("id", "support").dropDuplicates(["id"])
+        named = signatures.select("screen", F.explode("candidates").alias("id")).join(known, "id")
+        agreed = named.groupBy("screen").agg(set_consensus(F.col("support")).alias("_agreed"))
+        signatures = signatures.join(agreed, "screen", "left").withColumn("consensus", F.coalesce("_agreed", "consensus")).drop("_agreed")
+    found = violations(after, signatures).withColumn("_breach", F.struct(*VIOLATION))
+    named = found.select("_breach", F.explode("device_ids").alias("id")).join(edited.select("id").distinct(), "id", "left_semi")
+    return named.select("_breach").distinct().select("_breach.*")

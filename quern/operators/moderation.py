@@ -50,6 +50,27 @@ def with_source(sources: Column, confidence: Column, url: Column) -> tuple[Colum
     return more, F.when(url.isNotNull(), "verified").otherwise(confidence)
 
 
+def device_from_form(forms: DataFrame) -> DataFrame:
+    """Devices as a moderator enters them; code is VALIDATION_ERROR, and the rest of no use, where a supported one has no source.
+
+    forms: id, brand, brand_title, marketing_name, support, and sources, aliases (lists), notes, popularity, which may be null.
+    """
+    sourced = F.coalesce(F.size("sources"), F.lit(0)) > 0
+    name = F.concat_ws(" ", "brand_title", "marketing_name")
+    none = F.array().cast("array<string>")
+    return forms.select(
+        "id", "brand", "brand_title", "marketing_name", "support",
+        F.when((F.col("support") == "supported") & ~sourced, "VALIDATION_ERROR").alias("code"),
+        name.alias("display_name"),
+        F.array_distinct(F.concat(F.coalesce("aliases", none), F.array(F.lower(name)))).alias("aliases"),
+        F.when(F.col("support") == "not_supported", "none").otherwise("physical+esim").alias("dual_sim"),
+        F.coalesce("notes", F.lit("")).alias("notes"),
+        F.coalesce("popularity", F.lit(0.5)).alias("popularity"),
+        F.coalesce("sources", none).alias("sources"),
+        F.when(sourced, "verified").otherwise("derived").alias("confidence"),
+    )
+
+
 def transition(kind: Column, action: Column) -> Column:
     """rejected, resolved or invalid."""
     out = F.when(action == "reject", "rejected")

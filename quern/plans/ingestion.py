@@ -214,3 +214,14 @@ def single_edit(spark, sf):
     # Each token meets the nine modifiers as a list of its own row.
     tokens = cut.unionByName(bent).distinct().where(F.length("token") >= 3)
     return tokens.select("token", F.explode(F.array(*[F.lit(m) for m in text.MODIFIERS if len(m) >= 3])).alias("modifier")).select("token", "modifier", text.single_edit(F.col("token"), F.col("modifier")).alias("near"))
+
+
+EDITED = BREACHES.replace(BROKEN, BROKEN.replace("broken AS", "before AS", 1) + """, edited AS (SELECT * REPLACE ('conditional' AS support, FALSE AS question) FROM before WHERE ord % 50 < 2),
+broken AS (SELECT * FROM before WHERE id NOT IN (SELECT id FROM edited) UNION ALL SELECT * FROM edited)""")
+
+
+@query(f"WITH {EDITED}, named AS (SELECT DISTINCT invariant, code, ids FROM (SELECT *, unnest(string_split(ids, ',')) AS id FROM v WHERE code <> 'SCREEN_SIGNATURE_CONSENSUS_MISMATCH') WHERE id IN (SELECT CAST(id AS VARCHAR) FROM edited)) SELECT CAST(invariant AS INTEGER) AS invariant, code, ids FROM named")
+def edit_check(spark, sf):
+    broken, signs = _broken(spark, sf)
+    edited = broken.where("ord % 50 < 2").withColumns({"support": F.lit("conditional"), "question": F.lit(None).cast("string")})
+    return ingestion.edit_breaches(broken, edited, signs).select("invariant", "code", F.array_join("device_ids", ",").alias("ids"))

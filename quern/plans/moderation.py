@@ -160,3 +160,14 @@ def task_merge(spark, sf):
     old = count(e.where("event_id % 3 > 0")).withColumn("status", F.when(F.col("user_id") % 2 == 0, "resolved").otherwise("open"))
     out = tasks.merge_tasks(old, count(e.where("event_id % 3 = 0")), key)
     return out.select(*key, "occurrences", F.unix_micros("created_at").alias("created_us"), F.unix_micros("last_seen_at").alias("last_seen_us"), "payload", "status")
+
+
+@query(f"""WITH {DEVICES} SELECT id, support, CASE WHEN support = 'supported' AND id % 3 = 0 THEN 'VALIDATION_ERROR' END AS code, CASE WHEN id % 4 = 0 THEN 'Nova|' ELSE '' END || lower(brand || ' ' || name) || CASE WHEN id % 4 = 1 THEN '|x' ELSE '' END AS aliases,
+CASE support WHEN 'not_supported' THEN 'none' ELSE 'physical+esim' END AS dual_sim, CASE WHEN id % 2 = 0 THEN 0.25 ELSE 0.5 END AS popularity, CASE WHEN id % 3 = 0 THEN 'derived' ELSE 'verified' END AS confidence FROM devices""")
+def device_form(spark, sf):
+    n = F.col("id")
+    d = devices(spark, sf)
+    aliases = F.when(n % 4 == 0, F.array(F.lit("Nova"))).when(n % 4 == 1, F.array(F.lower(F.concat_ws(" ", "brand", "name")), F.lit("x")))
+    sources = F.when(n % 3 > 0, F.array(F.lit("http://a"))).when(n % 2 == 0, F.array().cast("array<string>"))
+    forms = d.select("id", "brand", F.col("brand").alias("brand_title"), F.col("name").alias("marketing_name"), "support", sources.alias("sources"), aliases.alias("aliases"), F.lit(None).cast("string").alias("notes"), F.when(n % 2 == 0, 0.25).alias("popularity"))
+    return moderation.device_from_form(forms).select("id", "support", "code", F.array_join("aliases", "|").alias("aliases"), "dual_sim", "popularity", "confidence")

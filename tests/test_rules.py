@@ -70,3 +70,21 @@ def test_breaches_leave_no_device(spark):
     signs = spark.createDataFrame([("s", ["a", "none"], "mixed")], "screen string, candidates array<string>, consensus string")
     codes = sorted(r["code"] for r in ingestion.violations(d, signs).collect())
     assert codes == ["CONDITIONAL_CLARIFYING_QUESTION_MISSING", "CONDITIONAL_CONDITIONS_MISSING", "DUPLICATE_MODEL_CODE", "IOS_MAX_VERSION_MISSING", "IOS_SCREEN_SIGNATURES_MISSING", "SCREEN_SIGNATURE_CONSENSUS_MISMATCH", "SCREEN_SIGNATURE_UNKNOWN_CANDIDATE"]
+
+
+def test_edits_are_judged_by_their_own_breaches(spark):
+    cols = "id string, ord long, brand string, family string, name string, codes array<string>, aliases array<string>, platform string, support string, confidence string, screens array<string>, max_version string, conditions array<string>, question string, sources array<string>"
+    row = lambda i, **kw: tuple({"id": i, "ord": ord(i), "brand": "b", "family": "f", "name": f"n{i}", "codes": [f"c{i}"], "aliases": [], "platform": "android", "support": "supported", "confidence": "derived", "screens": [], "max_version": None, "conditions": [], "question": None, "sources": [], **kw}.values())
+    d = spark.createDataFrame([row("a"), row("b", codes=["CX"]), row("c", codes=["cx"])], cols)
+    signs = spark.createDataFrame([(1, ["a"], "supported")], "screen int, candidates array<string>, consensus string")
+    check = lambda *rows: sorted((r["code"], r["device_ids"]) for r in ingestion.edit_breaches(d, spark.createDataFrame(list(rows), cols), signs).collect())
+    assert check(row("a", support="not_supported")) == []  # the signature follows; b and c were wrong before
+    assert check(row("d", codes=["CA"], ord=200)) == [("DUPLICATE_MODEL_CODE", ["a", "d"])]
+    assert check(row("a", support="conditional")) == [("CONDITIONAL_CLARIFYING_QUESTION_MISSING", ["a"]), ("CONDITIONAL_CONDITIONS_MISSING", ["a"])]
+
+
+def test_form_without_sources(spark):
+    forms = spark.createDataFrame([("a", "b", "B", "X", "supported", None, None, None, None), ("c", "b", "B", "Y", "not_supported", ["u"], ["b y"], "n", 0.1)], "id string, brand string, brand_title string, marketing_name string, support string, sources array<string>, aliases array<string>, notes string, popularity double")
+    a, c = moderation.device_from_form(forms).orderBy("id").collect()
+    assert (a["code"], a["confidence"], a["popularity"], a["aliases"], a["sources"]) == ("VALIDATION_ERROR", "derived", 0.5, ["b x"], [])
+    assert (c["code"], c["confidence"], c["dual_sim"], c["aliases"]) == (None, "verified", "none", ["b y"])
