@@ -249,15 +249,22 @@ def parse_conditions(c: Column) -> Column:
     return F.flatten(F.transform(F.split(c, ";"), rows))
 
 
-def trace(raw: Column, synonyms: Mapping[str, Sequence[str]]) -> Column:
-    """step, value and changed for each step of the normalisation, in order."""
+def trace(raw: Column, synonyms: Mapping[str, Sequence[str]], keyboard: tuple[str, str, Sequence[str]], letters: Mapping[str, str]) -> Column:
+    """step, value and changed for each step of the normalisation, in order.
+
+    keyboard: the keys of a layout, those at their places in the other one, and the known words. letters: transliterations.
+    """
     joined = lambda f: lambda v: F.array_join(f(tokens(v)), " ")
     steps = {
         "unicode": F.lower,
         "separators": lambda v: strip_punctuation(unify_separators(v)),
+        "compounds": lambda v: expand_compounds(v, synonyms),
         "letters and digits": split_letters_digits,
         "lookalikes": joined(repair_lookalikes),
+        "keyboard": joined(lambda w: repair_keyboard(w, *keyboard)),
         "synonyms": joined(lambda w: expand_synonyms(w, synonyms)),
+        "transliteration": lambda v: transliterate(v, letters),
+        "tokens": joined(lambda w: w),
     }
     out, before = [], raw
     for step, f in steps.items():
