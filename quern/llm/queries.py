@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm.collocations import OP12_SQL, op12_phrase_collocations
 from quern.llm.embedding_dedup import op3_embedding_dedup
 from quern.llm.minhash_dedup import op5_minhash_dedup
 from quern.llm.mixing import op1_source_mixing
@@ -19,9 +20,9 @@ from quern.llm.warc_revisit import OP6_SQL, op6_warc_revisits
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_source_mixing, op2_quality_classifier, op3_embedding_dedup, op4_quality_rules, op5_minhash_dedup, op6_warc_revisits, op7_token_counts, op8_best_fit_packing, op9_repair_token_shards, op10_toxicity_ftrl]
+    found = [op1_source_mixing, op2_quality_classifier, op3_embedding_dedup, op4_quality_rules, op5_minhash_dedup, op6_warc_revisits, op7_token_counts, op8_best_fit_packing, op9_repair_token_shards, op10_toxicity_ftrl, op12_phrase_collocations]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc_revisits": OP6_SQL}
+    return {"op6_warc_revisits": OP6_SQL, "op12_phrase_collocations": OP12_SQL}
