@@ -1,10 +1,11 @@
 """Phrases of two to four words that stand together far more often than apart, per language.
 
-Texts are cut at punctuation and line ends into pieces, and those at blanks into words. A first scan counts words and a
-second one pairs of frequent words, by 64-bit hash: what is seen often enough sets a bit in a bitmap of bounded size. Hashes
-and bits can only let too much through, never too little, since a phrase is never seen more often than a pair in it. The third
-scan builds a generalised suffix automaton of each shard's pieces, cut where a pair isn't frequent, and gives the
-exact counts of its substrings of at most four words, as text; Spark adds them up.
+Texts are cut at punctuation and line ends into pieces, and those at blanks into words. A first scan counts words, a
+second one pairs of frequent words and a third one triples of frequent pairs, by 64-bit hash: what is seen often enough sets a bit
+in a bitmap of bounded size. Hashes and bits can only let too much through, never too little, since a phrase is never seen more
+often than a part of it. The last scan builds a generalised suffix automaton of each shard's pieces, as deep at
+each word as its parts are frequent, and gives the exact counts of its substrings of at most four words, as text; Spark adds
+them up.
 
 The automaton is built from its link tree: word positions are grouped by the last word, the last two and so on up to
 the depth. Groups of one end set are one state, from its shortest to its longest string; the size of that set
@@ -92,14 +93,29 @@ class _Stream:
         seeds = np.array([_seed(x) for x in names] or [0], dtype=np.uint64)
         self.hash = mix(w.hash ^ seeds[self.lang])
 
-    def pairs(self) -> np.ndarray:
-        """The hash of each pair of neighbours; whether they are in one piece is for the caller to see."""
-        with np.errstate(over="ignore"):
-            return mix(self.hash[:-1] * _FACTOR + self.hash[1:])
-
     def neighbours(self) -> np.ndarray:
+        """Whether each word but the first stands in one piece with the word before it."""
         return self.piece[:-1] == self.piece[1:]
 
+    def context(self, bits: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of how many words (up to depth) the longest string is that ends at each word and is counted, and the hash of the string of
+        `depth` words. bits[d - 1]: the frequent strings of d words; longer ones count if both their parts of one word less are frequent."""
+        n = len(self.hash)
+        often = _set(bits[0], self.hash) if bits else np.ones(n, dtype=bool)
+        size, string = often.astype(np.int8), self.hash
+        for d in range(2, depth + 1):
+            # Both parts of one word less are frequent, and the strings are in one piece.
+            ends = 1 + np.flatnonzero(often[1:] & often[:-1] & self.neighbours())
+            with np.errstate(over="ignore"):
+                longer = mix(string[ends - 1] * _FACTOR + self.hash[ends])
+            string = np.zeros(n, dtype=np.uint64)
+            string[ends] = longer
+            often = np.zeros(n, dtype=bool)
+            # Where no bitmap tells which strings are frequent, all of them count.
+            often[ends] = _set(bits[d - 1], longer) if d <= len(bits) else True
+            size[often] = d
+        return size, string
+
 
 def _set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     at = hashes & np.uint64(len(bits) * 8 - 1)
@@ -113,9 +129,9 @@ def _streams(batches: Iterator[pa.RecordBatch], part_bytes: int) -> Iterator[_St
                 yield _Stream(texts, code, names)
 
 
-def _hash_counts(batches: Iterator[pa.RecordBatch], words, part_bytes: int, shard: int) -> Iterator[pa.RecordBatch]:
-    """Hashes and counts of words, or given the bitmap of frequent words, of pairs of them; a row per hash and shard."""
-    bits = None if words is None else np.frombuffer(words.value, dtype=np.uint8)
+def _hash_counts(batches: Iterator[pa.RecordBatch], sent: list, part_bytes: int, shard: int) -> Iterator[pa.RecordBatch]:
+    """Hashes and counts of the strings one word longer than those of the last bitmap sent; a row per hash and shard."""
+    bits = [np.frombuffer(b.value, dtype=np.uint8) for b in sent]
     held, n = [], 0
 
     def counted():
@@ -123,15 +139,11 @@ def _hash_counts(batches: Iterator[pa.RecordBatch], words, part_bytes: int, shar
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
 
     for s in _streams(batches, part_bytes):
-        if bits is None:
-            found = s.hash
-        elif len(s.hash) < 2:
+        if not len(s.hash):
             continue
-        else:
-            often = _set(bits, s.hash)
-            found = s.pairs()[often[:-1] & often[1:] & s.neighbours()]
-        held.append(found)
-        n += len(found)
+        size, string = s.context(bits, len(bits) + 1)
+        held.append(string[size == len(bits) + 1])
+        n += len(held[-1])
         if n >= shard:
             yield counted()
             held, n = [], 0
@@ -140,13 +152,13 @@ def _hash_counts(batches: Iterator[pa.RecordBatch], words, part_bytes: int, shar
 
 
 class Automaton:
-    """The suffix automaton, to a depth, of sequences of word ids: joined[i] tells whether word i follows word i - 1 in one.
+    """The suffix automaton, to a depth, of word ids: context[i] is the number of words of the longest string that ends at i.
 
     A state has the strings of `shortest` to `longest` words that end at position `end` (and at count - 1 others); link is the
     state of the next shorter suffix, -1 for the root.
     """
 
-    def __init__(self, ids: np.ndarray, joined: np.ndarray, depth: int = DEPTH):
+    def __init__(self, ids: np.ndarray, context: np.ndarray, depth: int = DEPTH):
         n = len(ids)
         base = int(ids.max()) + 1 if n else 1
         at, group = np.arange(n), None  # positions with a context of this length, and their groups
@@ -157,7 +169,7 @@ class Automaton:
             if d == 1:
                 key = ids.astype(np.int64)
             else:
-                more = joined[at - d + 2] & (at >= d - 1)
+                more = context[at] >= d
                 at, before = at[more], group[more]
                 key = before * base + ids[at - d + 1]
             _, first, now, size = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
@@ -195,59 +207,51 @@ class _Shard:
     """Words of several parts by id, with the text of each word, until an automaton takes them."""
 
     def __init__(self):
-        self.hashes, self.joined, self.known, self.texts, self.langs, self.n = [], [], np.zeros(0, np.uint64), [], [], 0
+        self.hashes, self.sizes, self.known, self.texts, self.langs, self.n = [], [], np.zeros(0, np.uint64), [], [], 0
 
-    def add(self, s: _Stream, keep: np.ndarray, joined: np.ndarray) -> None:
+    def add(self, s: _Stream, size: np.ndarray) -> None:
+        """Takes the words with a context; a word without one stands in no string of two."""
+        keep = size > 0
         h = s.hash[keep]
         new, first = np.unique(h, return_index=True)
         unknown = ~np.isin(new, self.known)
         place = np.flatnonzero(keep)[first[unknown]]
         w = s.words
-        low = LOWER[w.bytes]
-        self.texts += [low[a:b].tobytes() for a, b in zip(w.start[place].tolist(), w.end[place].tolist())]
+        self.texts += [LOWER[w.bytes[a:b]].tobytes() for a, b in zip(w.start[place].tolist(), w.end[place].tolist())]
         self.langs += [s.names[i] for i in s.lang[place].tolist()]
         self.known = np.concatenate([self.known, new[unknown]])
         self.hashes.append(h)
-        self.joined.append(joined[keep])
+        self.sizes.append(size[keep])
         self.n += len(h)
 
-    def counts(self) -> pa.RecordBatch:
+    def counts(self, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
         order = np.argsort(self.known, kind="stable")
         ids = order[np.searchsorted(self.known, np.concatenate(self.hashes), sorter=order)]
-        automaton = Automaton(ids, np.concatenate(self.joined))
-        end, length, count = automaton.substrings()
-        words = pa.array(self.texts, pa.binary())
-        out = []
+        end, length, count = Automaton(ids, np.concatenate(self.sizes)).substrings()
+        words, langs = pa.array(self.texts, pa.binary()), pa.array(self.langs, pa.string())
         for d in range(1, DEPTH + 1):
-            here = length == d
-            at = end[here]
-            phrase = pc.binary_join_element_wise(*[words.take(pa.array(ids[at - k])) for k in range(d - 1, -1, -1)], pa.scalar(b" ")).cast(pa.string())
-            out.append((pa.array(self.langs, pa.string()).take(pa.array(ids[at])), phrase, pa.array(np.full(len(at), d, np.int32)), pa.array(count[here].astype(np.int64))))
-        return pa.RecordBatch.from_arrays([pa.chunked_array(list(x)).combine_chunks() for x in zip(*out)], ["lang", "phrase", "words", "f"])
+            here = np.flatnonzero(length == d)
+            for lo in range(0, len(here), rows):
+                at, f = end[here[lo : lo + rows]], count[here[lo : lo + rows]]
+                phrase = pc.binary_join_element_wise(*[words.take(pa.array(ids[at - k])) for k in range(d - 1, -1, -1)], pa.scalar(b" ")).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(ids[at])), phrase, pa.array(np.full(len(at), d, np.int32)), pa.array(f.astype(np.int64))], ["lang", "phrase", "words", "f"])
 
 
-def _phrase_counts(batches: Iterator[pa.RecordBatch], words, pairs, part_bytes: int, shard: int) -> Iterator[pa.RecordBatch]:
+def _phrase_counts(batches: Iterator[pa.RecordBatch], sent: list, part_bytes: int, shard: int) -> Iterator[pa.RecordBatch]:
     """lang, phrase, words and f of each shard; of no words: all words of the language in it."""
-    often, paired = (np.frombuffer(x.value, dtype=np.uint8) for x in (words, pairs))
+    bits = [np.frombuffer(b.value, dtype=np.uint8) for b in sent]
     held, total = _Shard(), {}
     for s in _streams(batches, part_bytes):
         if not len(s.hash):
             continue
         for code, n in zip(*np.unique(s.lang, return_counts=True)):
             total[s.names[code]] = total.get(s.names[code], 0) + int(n)
-        joined = np.zeros(len(s.hash), dtype=bool)
-        joined[1:] = s.neighbours()
-        joined[1:] &= _set(paired, s.pairs())
-        # A word that isn't frequent is in no frequent pair: it goes, and none is joined to it.
-        keep = _set(often, s.hash)
-        joined &= keep
-        joined[1:] &= keep[:-1]
-        held.add(s, keep, joined)
+        held.add(s, s.context(bits, DEPTH)[0])
         if held.n >= shard:
-            yield held.counts()
+            yield from held.counts()
             held = _Shard()
     if held.n:
-        yield held.counts()
+        yield from held.counts()
     if total:
         yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([""] * len(total)), pa.array([0] * len(total), pa.int32()), pa.array(list(total.values()), pa.int64())], ["lang", "phrase", "words", "f"])
 
@@ -257,28 +261,26 @@ def _bitmap(hashes: DataFrame, most_bits: int) -> bytes:
     n = hashes.count()
     size = min(most_bits, 1 << max(10, (16 * n).bit_length()))
     at = F.col("h").bitwiseAND(F.lit(size - 1))
-    cells = hashes.select(F.shiftright(at, 6).alias("i"), F.expr(f"shiftleft(1L, cast(h & 63 as int))").alias("bit")).groupBy("i").agg(F.bit_or("bit").alias("bits")).toArrow()
+    cells = hashes.select(F.shiftright(at, 6).alias("i"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit")).groupBy("i").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(size // 64, dtype=np.int64)
     out[cells["i"].to_numpy()] = cells["bits"].to_numpy()
     return out.astype("<i8").tobytes()
 
 
-def phrase_counts(docs: DataFrame, scratch: Scratch, least: int = 30, most_bits: int = 1 << 28, part_bytes: int = 1 << 22, shard: int = 1 << 22) -> DataFrame:
+def phrase_counts(docs: DataFrame, scratch: Scratch, least: int = 30, most_bits: int = 1 << 28, part_bytes: int = 1 << 20, shard: int = 1 << 20) -> DataFrame:
     """lang, phrase, words and f, exactly, of all phrases of up to four words with f >= least, and each language's words at words 0.
 
-    The two bitmaps that go to all tasks have at most most_bits bits each. A shard has about `shard` words.
+    The three bitmaps that go to all tasks have at most most_bits bits each. A shard has about `shard` words or hashes.
     """
     sc = docs.sparkSession.sparkContext
     small_batches(docs.sparkSession)
     texts = docs.select("text", F.col("lang").cast("string").alias("lang"))
-    bits = [None]
-    for _ in range(2):
-        words = bits[-1]
-        counts = texts.mapInArrow(lambda it, w=words: _hash_counts(it, w, part_bytes, shard), "h long, c long")
+    sent = []
+    for _ in range(1, DEPTH):
+        counts = texts.mapInArrow(lambda it, sent=tuple(sent): _hash_counts(it, sent, part_bytes, shard), "h long, c long")
         often = scratch.stored(counts.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("h"), "frequent")
-        bits.append(sc.broadcast(_bitmap(often, most_bits)))
-    _, words, pairs = bits
-    counts = texts.mapInArrow(lambda it: _phrase_counts(it, words, pairs, part_bytes, shard), "lang string, phrase string, words int, f long")
+        sent.append(sc.broadcast(_bitmap(often, most_bits)))
+    counts = texts.mapInArrow(lambda it: _phrase_counts(it, sent, part_bytes, shard), "lang string, phrase string, words int, f long")
     return counts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("words") == 0))
 
 
