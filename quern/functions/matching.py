@@ -1,6 +1,6 @@
 """Constraints and scores of a query's slots against a device, as column builders.
 
-q is a struct as text.slots gives (brand, family, generation, modifiers, unparsed), d one of a device (brand, family,
+q is a struct as query.parse_slots gives (brand, family, generation, modifiers, unparsed), d one of a device (brand, family,
 generation, modifiers, popularity), code the query's model code or null. Lists in both are not null.
 """
 

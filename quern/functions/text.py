@@ -11,10 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Characters that separate words, code forms, and words that name a variant.
+# Characters that separate words.
 SEPARATORS = r"[-‐‑‒–—_./\\'\"`‘’“”,]+"
-CODE_FORMS = [r"^SM-[A-Z0-9]+$", r"^CPH[0-9]{4}$", r"^[0-9]{4,7}A[A-Z0-9]*$"]
-MODIFIERS = ["pro", "max", "plus", "ultra", "mini", "lite", "fe", "air", "fold", "flip", "se"]
 
 
 def unify_separators(c: Column) -> Column:
@@ -35,9 +33,14 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def nfkc(c: Column) -> Column:
+    """Spark has no NFKC of its own, so texts cross to Python for this step alone."""
+    return _nfkc(c)
+
+
 def unicode_form(c: Column) -> Column:
-    """NFKC in lower case. Spark has no NFKC of its own, so texts cross to Python for this step alone."""
-    return F.lower(_nfkc(c))
+    """NFKC in lower case."""
+    return F.lower(nfkc(c))
 
 
 def normalise(c: Column) -> Column:
@@ -88,19 +91,21 @@ def extract_attributes(words: Column, patterns: Mapping[str, Sequence[str]]) ->
     none = F.lit(None).cast("string")
     start = F.struct(F.lit(0).alias("skip"), *[none.alias(k) for k in (*sets, "year")], F.array().cast("array<string>").alias("rest"))
 
-    def step(s: Column, i: Column) -> Column:
-        one, two = F.lower(F.get(words, i)), F.lower(F.concat(F.get(words, i), F.get(words, i + 1)))
-        wide, own = kind(two), F.coalesce(kind(one), F.when(one.rlike("^20[0-9]{2}$"), "year"))
-        hit, value = F.coalesce(wide, own), F.when(wide.isNotNull(), two).otherwise(one)
+    def kinds(w: Column, i: Column) -> Column:
+        """What a word alone is, and what it is with the one after it."""
+        both = F.lower(F.concat(w, F.get(words, i + 1)))
+        return F.struct(w.alias("word"), F.lower(w).alias("one"), both.alias("two"), F.coalesce(kind(F.lower(w)), F.when(F.lower(w).rlike("^20[0-9]{2}$"), "year")).alias("own"), kind(both).alias("wide"))
+
+    def step(s: Column, x: Column) -> Column:
         free = s["skip"] == 0
+        hit, value = F.coalesce(x["wide"], x["own"]), F.when(x["wide"].isNotNull(), x["two"]).otherwise(x["one"])
         taken = {k: F.when(free & (hit == k), value).otherwise(s[k]).alias(k) for k in (*sets, "year")}
-        skip = F.when(~free, s["skip"] - 1).when(wide.isNotNull(), 1).otherwise(0)
-        rest = F.when(free & hit.isNull(), F.concat(s["rest"], F.array(F.get(words, i)))).otherwise(s["rest"])
+        skip = F.when(~free, s["skip"] - 1).when(x["wide"].isNotNull(), 1).otherwise(0)
+        rest = F.when(free & hit.isNull(), F.concat(s["rest"], F.array(x["word"]))).otherwise(s["rest"])
         return F.struct(skip.cast("int").alias("skip"), *taken.values(), rest.alias("rest"))
 
-    places = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
     finish = lambda s: F.struct(s["storage"].alias("storage"), s["network"].alias("network"), s["dual_sim"].isNotNull().alias("dual_sim"), s["color"].alias("color"), s["year"].cast("int").alias("year"), s["rest"].alias("rest"))
-    return F.aggregate(places, start, step, finish)
+    return F.aggregate(F.transform(words, kinds), start, step, finish)
 
 
 def single_edit(a: Column, b: Column) -> Column:
@@ -135,28 +140,6 @@ def transliterate(c: Column, table: Mapping[str, str]) -> Column:
     return out
 
 
-def model_code(c: Column) -> Column:
-    """The upper-case text, if it has the form of a model code."""
-    up = F.upper(F.trim(c))
-    match = F.lit(False)
-    for form in CODE_FORMS:
-        match = match | up.rlike(form)
-    return F.when(match, up)
-
-
-def slots(words: Column, stop_words: Sequence[str]) -> Column:
-    """Brand, family, generation, modifiers and unparsed words of a tokenised query."""
-    kept = F.filter(words, lambda w: ~w.isin(*stop_words)) if stop_words else words
-    modifiers = F.array_distinct(F.filter(kept, lambda w: w.isin(*MODIFIERS)))
-    rest = F.filter(kept, lambda w: ~w.isin(*MODIFIERS))
-    numbers = F.filter(rest, lambda w: w.rlike("^[0-9]+$"))
-    plain = F.filter(rest, lambda w: w.rlike("^[a-z]+$"))
-    odd = F.filter(rest, lambda w: ~w.rlike("^[a-z]+$") & ~w.rlike("^[0-9]+$"))
-    unparsed = F.concat(odd, F.when(F.size(numbers) > 1, F.slice(numbers, 2, F.size(numbers))).otherwise(F.array().cast("array<string>")))
-    family = F.when(F.size(plain) > 1, F.array_join(F.slice(plain, 2, F.greatest(F.size(plain), F.lit(1))), "-")).otherwise(F.get(plain, F.lit(0)))
-    return F.struct(F.get(plain, F.lit(0)).alias("brand"), family.alias("family"), F.get(numbers, F.lit(0)).cast("int").alias("generation"), modifiers.alias("modifiers"), unparsed.alias("unparsed"))
-
-
 def trigrams(c: Column) -> Column:
     """Trigrams of the lower-case text with two spaces on each side, repeated ones too."""
     padded = F.concat(F.lit("  "), F.lower(c), F.lit("  "))
@@ -247,28 +230,3 @@ def parse_conditions(c: Column) -> Column:
         return F.filter(F.transform(values, lambda v: F.struct(named.alias("scope"), F.trim(v).alias("value"), support.alias("support"))), lambda r: r["scope"].isNotNull() & r["support"].isNotNull() & (r["value"] != ""))
 
     return F.flatten(F.transform(F.split(c, ";"), rows))
-
-
-def trace(raw: Column, synonyms: Mapping[str, Sequence[str]], keyboard: tuple[str, str, Sequence[str]], letters: Mapping[str, str]) -> Column:
-    """step, value and changed for each step of the normalisation, in order.
-
-    keyboard: the keys of a layout, those at their places in the other one, and the known words. letters: transliterations.
-    """
-    joined = lambda f: lambda v: F.array_join(f(tokens(v)), " ")
-    steps = {
-        "unicode": F.lower,
-        "separators": lambda v: strip_punctuation(unify_separators(v)),
-        "compounds": lambda v: expand_compounds(v, synonyms),
-        "letters and digits": split_letters_digits,
-        "lookalikes": joined(repair_lookalikes),
-        "keyboard": joined(lambda w: repair_keyboard(w, *keyboard)),
-        "synonyms": joined(lambda w: expand_synonyms(w, synonyms)),
-        "transliteration": lambda v: transliterate(v, letters),
-        "tokens": joined(lambda w: w),
-    }
-    out, before = [], raw
-    for step, f in steps.items():
-        value = f(before)
-        out.append(F.struct(F.lit(step).alias("step"), value.alias("value"), (value != before).alias("changed")))
-        before = value
-    return F.array(*out)

@@ -135,7 +135,7 @@ def prefix_suggestions(asked: DataFrame, items: DataFrame, query: str, item: str
     return top_k(found, [query], [F.desc("shared"), F.asc(item)], k)
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """df in the session's checkpoint folder; a temporary one only where none is set in local mode."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -152,14 +152,14 @@ def components(keyed: DataFrame, node: str, key: str) -> DataFrame:
     Each round goes from nodes to keys and back, by aggregations alone, and then to the label of the label. Rounds
     end when none changes; checkpoints cut the lineage.
     """
-    links = _checkpointed(keyed.select(node, key).where(F.col(key).isNotNull()).distinct())
-    labels = _checkpointed(keyed.select(node).distinct().withColumn("component", F.col(node)))
+    links = checkpointed(keyed.select(node, key).where(F.col(key).isNotNull()).distinct())
+    labels = checkpointed(keyed.select(node).distinct().withColumn("component", F.col(node)))
     while True:
         low = links.join(labels, node).groupBy(key).agg(F.min("component").alias("low"))
         near = links.join(low, key).groupBy(node).agg(F.min("low").alias("low"))
         step = labels.join(near, node, "left").select(node, F.col("component").alias("before"), F.least("component", "low").alias("component"))
         onward = step.select(F.col(node).alias("component"), F.col("component").alias("onward"))
-        new = _checkpointed(step.join(onward, "component", "left").select(node, "before", F.least("component", "onward").alias("component")))
+        new = checkpointed(step.join(onward, "component", "left").select(node, "before", F.least("component", "onward").alias("component")))
         if new.where("before <> component").isEmpty():
             return new.drop("before")
         labels = new.drop("before")

@@ -1,48 +1,106 @@
 """Search as one plan: retrieval in tiers, constraints, scores, rank and decision for a table of queries at once.
 
 queries: query (its id), q (slots: brand, family, generation, modifiers, unparsed), code (a model code or null) and words (the
-normalised text). catalog: id, name, codes, aliases, d (brand, family, generation, modifiers, popularity) and status.
+normalised text), as `asked` makes them of raw texts. catalog: id, name, codes, aliases, d (brand, family, generation,
+modifiers, popularity) and status.
 
-The catalogue's sides are its keys and trigrams, which Spark sends to the queries while they are small. Candidates of the
-trigram tier are found once for each different text, since many queries ask the same.
+Work is done once for what is alike: equal queries are one ask, devices of one text meet a query's text once, and names are
+compared once a pair of texts. Asks meet devices only where no constraint of their names and generation is against it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import matching, text
-from quern.operators.catalogue import decide, shared_trigrams, top_k, unique_keys
+from quern.functions.query import Dictionary, normalised
+from quern.operators.catalogue import checkpointed, decide, shared_trigrams, top_k, unique_keys
 
 
-def retrieve(queries: DataFrame, catalog: DataFrame, least: int = 1) -> DataFrame:
-    """query, id, reason and shared of each candidate: by code alone where there is one, else by alias, else by trigrams.
+def asked(rows: DataFrame, query: str, raw: str, dictionary: Dictionary) -> DataFrame:
+    """The queries that search takes, from raw texts. Each different text is read once, and what was read is checkpointed."""
+    read = rows.select(F.col(raw).alias("_raw")).distinct().withColumn("_n", normalised(F.col("_raw"), dictionary))
+    read = checkpointed(read.select("_raw", F.col("_n.q").alias("q"), F.col("_n.code").alias("code"), F.col("_n.normalised").alias("words")))
+    return rows.select(F.col(query).alias("query"), F.col(raw).alias("_given")).join(read, F.col("_given").eqNullSafe(F.col("_raw"))).select("query", "q", "code", "words")
 
-    A code or alias that several devices have finds none; a code that is missed has no second chance. An alias without
-    modifiers stands for its whole family (of the generation, where one is asked for). shared: trigrams in common, only of the last tier.
+
+def top_shared_trigrams(left: DataFrame, right: DataFrame, left_text: str, right_text: str, k: int, least: int = 1) -> DataFrame:
+    """For each different left text the k right ones that have most of its trigrams (repeated ones count), ties by text: both texts and shared.
+
+    Rare trigrams propose, common ones only verify. The rarest of a text, as long as few right texts have them, give
+    first partners; the k-th best count of those is a bound. A partner with as many must have one of the rarer trigrams, namely of
+    those before which too little is left to reach the bound. So a common trigram proposes only where a text has
+    too few partners without it.
     """
+    grams = text.trigrams
+    own = right.select(F.col(right_text).alias("_own")).where("_own is not null").distinct().withColumn("_set", F.array_distinct(grams(F.col("_own"))))
+    posting = own.select("_own", F.explode("_set").alias("gram"))
+    often = posting.groupBy("gram").agg(F.count("*").alias("texts"))
+    asks = left.select(F.col(left_text).alias("_ask")).where("_ask is not null").distinct()
+    each = asks.select("_ask", F.explode(grams(F.col("_ask"))).alias("gram")).groupBy("_ask", "gram").agg(F.count("*").alias("n")).join(often, "gram")
+    rarest = W.partitionBy("_ask").orderBy("texts", "gram")
+    each = each.withColumns({"upto": F.sum("n").over(rarest), "met": F.sum("texts").over(rarest), "total": F.sum("n").over(W.partitionBy("_ask"))})
+    weights = each.groupBy("_ask").agg(F.map_from_entries(F.collect_list(F.struct("gram", "n"))).alias("_n"), F.first("total").alias("total"))
+
+    def partners(proposing: DataFrame) -> DataFrame:
+        pairs = proposing.select("_ask", "gram").join(posting, "gram").select("_ask", "_own").distinct()
+        counted = F.aggregate("_set", F.lit(0).cast("long"), lambda s, g: s + F.coalesce(F.try_element_at("_n", g), F.lit(0)))
+        return pairs.join(weights, "_ask").join(own, "_own").select("_ask", "_own", counted.alias("shared")).where(F.col("shared") >= least)
+
+    order = [F.desc("shared"), F.asc("_own")]
+    first = top_k(partners(each.where(F.col("met") <= 4 * k)), ["_ask"], order, k)
+    bound = first.groupBy("_ask").agg(F.when(F.count("*") == k, F.min("shared")).alias("bound"))
+    needed = F.col("total") - F.col("upto") + F.col("n") >= F.greatest(F.coalesce("bound", F.lit(least)), F.lit(least))
+    best = top_k(partners(each.join(bound, "_ask", "left").where(needed)), ["_ask"], order, k)
+    return best.select(F.col("_ask").alias(left_text), F.col("_own").alias(right_text), "shared", "rank")
+
+
+def _plain(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.trim(c)), r"\s+", " "))
+
+
+def _keyed(queries: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(query, id) by code, (query, id) by alias, and the queries that neither a code nor an alias settles."""
     code = unique_keys(catalog.select("id", F.explode("codes").alias("c")), F.upper(F.trim("c")), "id")
-    plain = lambda c: F.trim(F.regexp_replace(F.lower(F.trim(c)), r"\s+", " "))
-    alias = unique_keys(catalog.select("id", F.explode(F.concat("aliases", F.array("name"))).alias("a")), plain("a"), "id")
-    by_code = queries.where("code is not null").join(code, F.upper(F.trim("code")) == F.col("key")).select("query", "id", F.lit("MATCH_MODEL_CODE").alias("reason"), F.lit(None).cast("long").alias("shared"))
+    alias = unique_keys(catalog.select("id", F.explode(F.concat("aliases", F.array("name"))).alias("a")), _plain(F.col("a")), "id")
+    by_code = queries.where("code is not null").join(code, F.upper(F.trim("code")) == F.col("key")).select("query", "id")
     rest = queries.where("code is null")
-    hits = rest.join(alias, plain("words") == F.col("key")).select("query", "q", F.col("id").alias("hit"))
+    hits = rest.join(alias, _plain(F.col("words")) == F.col("key")).select("query", "q", F.col("id").alias("hit"))
     lines = catalog.select("id", F.col("d.family").alias("line"), F.col("d.generation").alias("generation"))
     hits = hits.join(lines.select(F.col("id").alias("hit"), "line"), "hit")
     fits = F.col("q.generation").isNull() | (F.col("q.generation") == F.col("generation"))
     wide = hits.where(F.size("q.modifiers") == 0).join(lines, "line").where(fits)
     several = wide.groupBy("query").count().where("count > 1").select("query")
     by_alias = wide.join(several, "query", "left_semi").select("query", "id").unionByName(hits.join(several, "query", "left_anti").select("query", F.col("hit").alias("id")))
-    by_alias = by_alias.select("query", "id", F.lit("MATCH_EXACT_ALIAS").alias("reason"), F.lit(None).cast("long").alias("shared"))
-    fuzzy = rest.join(hits.select("query"), "query", "left_anti").select("query", matching.query_text(F.col("q")).alias("asked")).where("asked <> ''")
+    return by_code, by_alias, rest.join(hits.select("query"), "query", "left_anti")
+
+
+def _text_pairs(fuzzy: DataFrame, catalog: DataFrame, least: int, k: int | None) -> DataFrame:
+    """asked, own and shared of different texts that have trigrams in common."""
+    ask = fuzzy.select(matching.query_text(F.col("q")).alias("asked")).where("asked <> ''").distinct()
+    own = catalog.select(matching.device_text(F.col("d")).alias("own")).distinct()
+    if k is not None:
+        return top_shared_trigrams(ask, own, "asked", "own", k, least).drop("rank")
+    return shared_trigrams(ask, own, "asked", "own", F.col("asked"), F.col("own"), least)
+
+
+def retrieve(queries: DataFrame, catalog: DataFrame, least: int = 1, k: int | None = None) -> DataFrame:
+    """query, id, reason and shared of each candidate: by code alone where there is one, else by alias, else by trigrams.
+
+    A code or alias that several devices have finds none; a code that is missed has no second chance. An alias without
+    modifiers stands for its whole family (of the generation, where one is asked for). shared: trigrams in common, only of the
+    last tier, `least` at least. k: of that tier, only the devices of the k texts that have most in common.
+    """
+    by_code, by_alias, fuzzy = _keyed(queries, catalog)
+    pairs = _text_pairs(fuzzy, catalog, least, k)
     texts = catalog.select("id", matching.device_text(F.col("d")).alias("own"))
-    # Devices of one text share their trigrams; texts meet, not devices.
-    pairs = shared_trigrams(fuzzy.select("asked").distinct(), texts.select("own").distinct(), "asked", "own", F.col("asked"), F.col("own"), least)
-    by_grams = fuzzy.join(pairs, "asked").join(texts, "own").select("query", "id", F.lit("MATCH_FUZZY_FAMILY").alias("reason"), "shared")
-    return by_code.unionByName(by_alias).unionByName(by_grams)
+    none = F.lit(None).cast("long").alias("shared")
+    by_grams = fuzzy.select("query", matching.query_text(F.col("q")).alias("asked")).join(pairs, "asked").join(texts, "own").select("query", "id", F.lit("MATCH_FUZZY_FAMILY").alias("reason"), "shared")
+    return by_code.select("query", "id", F.lit("MATCH_MODEL_CODE").alias("reason"), none).unionByName(by_alias.select("query", "id", F.lit("MATCH_EXACT_ALIAS").alias("reason"), none)).unionByName(by_grams)
 
 
 def with_similarities(pairs: DataFrame, known: Sequence[str] = ()) -> DataFrame:
@@ -66,30 +124,71 @@ def with_similarities(pairs: DataFrame, known: Sequence[str] = ()) -> DataFrame:
     return out.drop(*facts)
 
 
-def ranked(queries: DataFrame, catalog: DataFrame, known: Sequence[str] = (), least: int = 1) -> DataFrame:
-    """query, id, reason, q, d, code, status and score of the candidates that no constraint rejects."""
-    found = retrieve(queries, catalog, least).join(queries.select("query", "q", "code"), "query").join(catalog.select("id", "d", "status"), "id")
-    found = with_similarities(found, known)
-    kept = found.where(matching.rejection(F.col("q"), F.col("d"), known, similar=F.col("similar"), resolved=F.col("resolved")).isNull())
-    return kept.withColumn("score", matching.weighted_score(matching.score_parts(F.col("q"), F.col("d"), F.col("code"), similar=F.col("similar"), family=F.col("family_like")))).withColumn("popularity", F.col("d.popularity"))
+def ranked(queries: DataFrame, catalog: DataFrame, known: Sequence[str] = (), least: int = 1, k: int | None = None) -> DataFrame:
+    """query, id, reason, q, d, code, status and score of the candidates that no constraint rejects.
 
-
-def search(queries: DataFrame, catalog: DataFrame, known: Sequence[str] = (), sure: float = 0.8, gap: float = 0.08, least: int = 1) -> DataFrame:
+    Texts are compared before queries and devices meet. Devices that differ in popularity alone meet a query once, and a query that
+    names a generation meets devices of that generation only, as others are rejected.
+    """
+    by_code, by_alias, fuzzy = _keyed(queries, catalog)
+    name = {"asked": matching.query_text(F.col("q")), "brand": F.coalesce("q.brand", F.lit(""))}
+    form = F.struct(F.col("d.brand").alias("brand"), F.col("d.family").alias("family"), F.col("d.generation").alias("generation"), F.col("d.modifiers").alias("modifiers"), F.lit(0.0).alias("popularity"))
+    devices = catalog.withColumns({"own": matching.device_text(F.col("d")), "maker": F.col("d.brand"), "line": F.col("d.family")}).select("id", "d", "status", "own", "maker", "line", F.to_json(form).alias("form"))
+    forms = devices.groupBy("form").agg(*[F.first(c).alias(c) for c in ("d", "own", "maker", "line")])
+    asks, exact = fuzzy.select("query", "q", "code").withColumns(name), by_alias.join(queries.select("query", "q", "code"), "query").withColumns(name).join(devices.select("id", "own", "maker", "line", "form"), "id")
+    pairs = _text_pairs(fuzzy, catalog, least, k)
+    # Facts of a pair of texts: the similarity of their brands and families.
+    brands = asks.select("asked", "brand").distinct().withColumn("resolved", F.when(F.col("brand") != "", matching.known_brand(F.col("brand"), known) if known else F.lower("brand")))
+    names = lambda q, d: (F.struct(F.when(F.col(q) != "", F.col(q)).alias("brand")), F.struct(F.col(d).alias("brand"), F.col("line").alias("family")))
+    q_name, d_name = names("brand", "maker")
+    like = F.greatest(text.edit_similarity(F.col("asked"), F.col("own")), text.jaro_winkler(F.col("asked"), F.col("own")))
+    facts = {"similar": matching.brand_similarity(q_name, d_name), "family_like": F.when(F.col("asked") == "", F.lit(0.0)).otherwise(like)}
+    met = pairs.select("asked", "own").withColumn("family_like", facts["family_like"]).join(brands, "asked").join(forms.select("own", "maker", "line").distinct(), "own").withColumn("similar", facts["similar"])
+    # Each different ask meets the forms of its texts.
+    ask_key = F.to_json("q")
+    each = asks.withColumn("ask", ask_key).groupBy("ask").agg(F.first("q").alias("q"), F.first("asked").alias("asked"), F.first("brand").alias("brand"))
+    meeting = each.join(met, ["asked", "brand"])
+    any_generation = forms.select("form", "own", "maker", "line", "d")
+    sides = ["own", "maker", "line"]
+    with_it = meeting.where("q.generation is not null").withColumn("generation", F.col("q.generation")).join(any_generation.withColumn("generation", F.col("d.generation")), [*sides, "generation"]).drop("generation")
+    without = meeting.where("q.generation is null").join(any_generation, sides)
+    kept = with_it.unionByName(without).where(matching.rejection(F.col("q"), F.col("d"), known, similar=F.col("similar"), resolved=F.col("resolved")).isNull())
+    by_grams = kept.select("ask", "form", "similar", "family_like").join(devices.select("id", "d", "status", "form"), "form").join(asks.select("query", "q", "code").withColumn("ask", ask_key), "ask")
+    # Aliases and codes name few devices each.
+    own_brand = F.when(F.col("brand") != "", matching.known_brand(F.col("brand"), known) if known else F.lower("brand"))
+    alias_facts = exact.select("asked", "brand", "own", "maker", "line").distinct().withColumns({**facts, "resolved": own_brand})
+    aliased = exact.join(alias_facts, ["asked", "brand", "own", "maker", "line"]).join(devices.select("id", "d", "status"), "id")
+    aliased = aliased.where(matching.rejection(F.col("q"), F.col("d"), known, similar=F.col("similar"), resolved=F.col("resolved")).isNull())
+    none = F.lit(None).cast("double")
+    coded = by_code.join(queries.select("query", "q", "code"), "query").join(devices.select("id", "d", "status"), "id").withColumns({"similar": none, "family_like": none})
+    columns = ["query", "id", "q", "d", "code", "status", "similar", "family_like"]
+    tier = lambda rows, reason: rows.select(*columns, F.lit(reason).alias("reason"))
+    out = tier(coded, "MATCH_MODEL_CODE").unionByName(tier(aliased, "MATCH_EXACT_ALIAS")).unionByName(tier(by_grams, "MATCH_FUZZY_FAMILY"))
+    return out.withColumn("score", matching.weighted_score(matching.score_parts(F.col("q"), F.col("d"), F.col("code"), similar=F.col("similar"), family=F.col("family_like")))).withColumn("popularity", F.col("d.popularity"))
+
+
+def _once(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The different queries, with a key of their own as query, and the key of each query."""
+    key = F.md5(F.to_json(F.struct("q", "code", "words")))
+    keyed = queries.withColumn("_key", key)
+    return keyed.groupBy("_key").agg(*[F.first(c).alias(c) for c in ("q", "code", "words")]).withColumnRenamed("_key", "query"), keyed.select("query", "_key")
+
+
+def search(queries: DataFrame, catalog: DataFrame, known: Sequence[str] = (), sure: float = 0.8, gap: float = 0.08, least: int = 1, k: int | None = None) -> DataFrame:
     """One row per query: leader, score, lead, outcome and status (of a determined device or of equal ones, else clarification)."""
-    scored = ranked(queries, catalog, known, least)
+    each, keys = _once(queries)
+    scored = ranked(each, catalog, known, least, k)
     narrower = matching.narrower(F.col("q"), F.col("d"), F.col("code"))
-    out = decide(scored, "query", "id", "score", sure, gap, [F.desc("popularity")], "status", F.size("q.unparsed") == 0, narrower, queries)
+    out = decide(scored, "query", "id", "score", sure, gap, [F.desc("popularity")], "status", F.size("q.unparsed") == 0, narrower, each)
     out = out.join(catalog.select(F.col("id").alias("leader"), "status"), "leader", "left")
-    return out.withColumn("status", F.when(F.col("outcome").isin("DETERMINED", "RESOLVED_BY_EQUIVALENCE"), F.col("status")).otherwise("clarification_required")).select("query", "leader", "score", "lead", "outcome", "status")
-
-
-def suggest(queries: DataFrame, catalog: DataFrame, k: int = 5, known: Sequence[str] = (), least: int = 1) -> DataFrame:
-    """The k best candidates of each query, without a decision."""
-    return top_k(ranked(queries, catalog, known, least), ["query"], [F.desc("score"), F.desc("popularity"), F.asc("id")], min(k, 10)).select("query", "id", "rank", "score")
+    out = out.withColumn("status", F.when(F.col("outcome").isin("DETERMINED", "RESOLVED_BY_EQUIVALENCE"), F.col("status")).otherwise("clarification_required"))
+    return keys.join(out.withColumnRenamed("query", "_key"), "_key").select("query", "leader", "score", "lead", "outcome", "status")
 
 
-def slots_of(words: DataFrame, raw: str, stop_words: Sequence[str], synonyms: dict | None = None) -> DataFrame:
-    """words with q, code and words: the queries that search takes, from raw text."""
-    plain = text.split_letters_digits(text.normalise(F.col(raw)))
-    found = text.expand_synonyms(text.tokens(plain), synonyms) if synonyms else text.tokens(plain)
-    return words.withColumns({"q": text.slots(found, stop_words), "code": text.model_code(F.col(raw)), "words": text.normalise(F.col(raw))})
+def suggest(queries: DataFrame, catalog: DataFrame, k: int = 5, known: Sequence[str] = (), least: int = 1, most: int = 10) -> DataFrame:
+    """The k best candidates of each query (from 1 to `most`, as a request may ask for), without a decision."""
+    if not 1 <= k <= most:
+        raise ValueError(f"k must be from 1 to {most}")
+    each, keys = _once(queries)
+    best = top_k(ranked(each, catalog, known, least), ["query"], [F.desc("score"), F.desc("popularity"), F.asc("id")], k)
+    return keys.join(best.withColumnRenamed("query", "_key"), "_key").select("query", "id", "rank", "score")

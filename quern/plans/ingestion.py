@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.functions import query as query_words
 from quern.functions import rules, text
 from quern.operators import catalogue as cat
 from quern.operators import ingestion
@@ -207,13 +208,13 @@ SELECT t AS token, w AS modifier,
   OR (length(w) = length(t) + 1 AND (SELECT count(*) FROM range(1, length(w) + 1) r(i) WHERE left(w, i - 1) || substr(w, i + 1) = t) > 0) AS near FROM p""")
 def single_edit(spark, sf):
     names = table(spark, sf, "part").select("p_name").distinct()
-    mods = spark.createDataFrame([(w,) for w in text.MODIFIERS if len(w) >= 3], "modifier string")
+    mods = spark.createDataFrame([(w,) for w in query_words.MODIFIERS if len(w) >= 3], "modifier string")
     cut = names.select(F.explode(F.array(*[F.substring("p_name", i, 4) for i in (1, 2, 3, 5)])).alias("token"))
     w = F.col("modifier")
     bent = mods.select(F.explode(F.array(*[F.concat(F.expr("left(modifier, length(modifier) - 1)"), F.lit(z)) for z in ("", "x", "qq")], F.concat(F.substring(w, 2, 1), F.substring(w, 1, 1), F.substring(w, 3, 9)))).alias("token"))
     # Each token meets the nine modifiers as a list of its own row.
     tokens = cut.unionByName(bent).distinct().where(F.length("token") >= 3)
-    return tokens.select("token", F.explode(F.array(*[F.lit(m) for m in text.MODIFIERS if len(m) >= 3])).alias("modifier")).select("token", "modifier", text.single_edit(F.col("token"), F.col("modifier")).alias("near"))
+    return tokens.select("token", F.explode(F.array(*[F.lit(m) for m in query_words.MODIFIERS if len(m) >= 3])).alias("modifier")).select("token", "modifier", text.single_edit(F.col("token"), F.col("modifier")).alias("near"))
 
 
 EDITED = BREACHES.replace(BROKEN, BROKEN.replace("broken AS", "before AS", 1) + """, edited AS (SELECT * REPLACE ('conditional' AS support, FALSE AS question) FROM before WHERE ord % 50 < 2),

@@ -6,57 +6,11 @@ from pyspark.sql import functions as F
 
 from quern.functions import rules
 from quern.operators import catalogue as cat
-from quern.operators import matching, moderation
+from quern.operators import moderation
 from quern.plans.inputs import DEVICES, devices, table
 from quern.plans.queries import query
 from quern.streaming import tasks
 
-#: Queries of every tier: a code, a whole name, a name with a modifier, and words with a letter lost; and what they are asked of.
-ASKED = """items AS (SELECT *, name || ' ' || brand AS alias, 'X-' || (id % 1900) AS own_code FROM devices), asked AS (SELECT id, id % 5 AS k, CASE id % 5 WHEN 0 THEN 'SM-' || (id % 2100) WHEN 1 THEN name || ' ' || brand WHEN 2 THEN name || ' ' || brand ELSE substr(name, 2) END AS raw, brand, family, modifier, generation FROM devices WHERE id % 10 < 6)"""
-
-
-def _catalog(spark, sf):
-    d = devices(spark, sf)
-    status = rules.confidence_gate(F.when(F.col("support") == "conditional", rules.ASK).otherwise(F.col("support")), F.col("confidence"))
-    return d.select("id", "name", F.array(F.concat(F.lit("sm-"), (F.col("id") % 1900).cast("string"))).alias("codes"), F.array(F.concat_ws(" ", "name", "brand")).alias("aliases"), F.struct(F.col("modifier").alias("brand"), "family", "generation", F.array().cast("array<string>").alias("modifiers"), (F.col("id") % 40).cast("double").alias("popularity")).alias("d"), status.alias("status"))
-
-
-def _asked(spark, sf):
-    d, k = devices(spark, sf).where("id % 10 < 6"), F.col("id") % 5
-    whole = F.concat_ws(" ", "name", "brand")
-    raw = F.when(k == 0, F.concat(F.lit("SM-"), (F.col("id") % 2100).cast("string"))).when(k.isin(1, 2), whole).otherwise(F.expr("substr(name, 2)"))
-    q = F.struct(F.when(k > 0, F.split(raw, " ")[0]).alias("brand"), F.when(k > 0, F.split(raw, " ")[1]).alias("family"), F.when(k == 2, F.col("generation")).alias("generation"), F.array().cast("array<string>").alias("modifiers"), F.array().cast("array<string>").alias("unparsed"))
-    return d.select(F.col("id").alias("query"), q.alias("q"), F.when(k == 0, raw).alias("code"), raw.alias("words"))
-
-
-TIERS = f"""{DEVICES}, {ASKED}, names AS (SELECT id, name AS key FROM items UNION ALL SELECT id, alias FROM items), aliases AS (SELECT key, min(id) AS id FROM names GROUP BY 1 HAVING min(id) = max(id)), codes AS (SELECT 'SM-' || (id % 1900) AS key, min(id) AS id FROM items GROUP BY 1 HAVING min(id) = max(id)),
-hits AS (SELECT a.id AS query, a.k, a.generation, x.id AS hit, i.family FROM asked a JOIN aliases x ON x.key = a.raw JOIN items i ON i.id = x.id WHERE k > 0),
-wide AS (SELECT h.query, i.id FROM hits h JOIN items i ON i.family = h.family AND (h.k <> 2 OR i.generation = h.generation)), many AS (SELECT query FROM wide GROUP BY 1 HAVING count(*) > 1),
-fuzzy AS (SELECT id AS query, split_part(raw, ' ', 1) || ' ' || split_part(raw, ' ', 2) AS t FROM asked WHERE k > 0 AND id NOT IN (SELECT query FROM hits)),
-own AS (SELECT id, modifier || ' ' || family AS t FROM items), grams AS (SELECT t, substr('  ' || t || '  ', CAST(i AS BIGINT), 3) AS g FROM (SELECT DISTINCT t FROM own), unnest(range(1, length(t) + 3)) AS r(i)), sets AS (SELECT DISTINCT t, g FROM grams),
-asks AS (SELECT t, substr('  ' || t || '  ', CAST(i AS BIGINT), 3) AS g FROM (SELECT DISTINCT t FROM fuzzy), unnest(range(1, length(t) + 3)) AS r(i)), pairs AS (SELECT a.t AS asked, s.t AS own, count(*) AS shared FROM asks a JOIN sets s USING (g) GROUP BY 1, 2 HAVING count(*) >= 4),
-cand AS (SELECT a.id AS query, c.id, 'MATCH_MODEL_CODE' AS reason, CAST(NULL AS BIGINT) AS shared FROM asked a JOIN codes c ON c.key = a.raw WHERE k = 0
- UNION ALL SELECT query, id, 'MATCH_EXACT_ALIAS', NULL FROM wide WHERE query IN (SELECT query FROM many) UNION ALL SELECT query, hit, 'MATCH_EXACT_ALIAS', NULL FROM hits WHERE query NOT IN (SELECT query FROM many)
- UNION ALL SELECT f.query, o.id, 'MATCH_FUZZY_FAMILY', p.shared FROM fuzzy f JOIN pairs p ON p.asked = f.t JOIN own o ON o.t = p.own)"""
-
-
-@query(f"WITH {TIERS} SELECT query, reason, count(*) AS n, min(id) AS first_id, max(id) AS last_id, max(shared) AS most_shared FROM cand GROUP BY 1, 2")
-def retrieval_tiers(spark, sf):
-    found = matching.retrieve(_asked(spark, sf), _catalog(spark, sf), least=4)
-    return found.groupBy("query", "reason").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max("shared").alias("most_shared"))
-
-
-@query()
-def search(spark, sf):
-    out = matching.search(_asked(spark, sf), _catalog(spark, sf), least=8)
-    return out.withColumns({"score": F.round("score", 9), "lead": F.round("lead", 9)})
-
-
-@query()
-def suggest(spark, sf):
-    return matching.suggest(_asked(spark, sf).where("code is null"), _catalog(spark, sf), 5, least=8).withColumn("score", F.round("score", 9))
-
-
 @query("SELECT user_id, event_type, n AS occurrences, total FROM (SELECT *, count(*) OVER () AS total FROM (SELECT user_id, event_type, count(*) AS n, max(ts) AS seen FROM events GROUP BY 1, 2 HAVING count(*) > 1)) ORDER BY n DESC, seen DESC, user_id, event_type LIMIT 20 OFFSET 20")
 def task_page(spark, sf):
     t = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("occurrences"), F.max("ts").alias("seen")).where("occurrences > 1")

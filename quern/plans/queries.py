@@ -60,30 +60,6 @@ def transliterate_docs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.transliterate(F.lower("text"), CYRILLIC).alias("cyrillic"))
 
 
-CODED = """coded AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN ' sm-' || p_size || lower(p_type) WHEN 1 THEN 'cph' || p_partkey WHEN 2 THEN p_partkey || 'a' || p_size WHEN 3 THEN p_name
-  WHEN 4 THEN 'SM-' || p_size || '/DS' ELSE (1000 + p_partkey) || 'A ' END AS raw FROM part)"""
-
-
-@query(f"WITH {CODED} SELECT p_partkey, CASE WHEN regexp_full_match(upper(trim(raw)), 'SM-[A-Z0-9]+|CPH[0-9][0-9][0-9][0-9]|[0-9]{{4,7}}A[A-Z0-9]*') THEN upper(trim(raw)) END AS code FROM coded")
-def model_code_detect(spark, sf):
-    p, k = table(spark, sf, "part"), F.col("p_partkey") % 6
-    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
-    raw = F.when(k == 0, F.concat(F.lit(" sm-"), size, F.lower("p_type"))).when(k == 1, F.concat(F.lit("cph"), key)).when(k == 2, F.concat(key, F.lit("a"), size)).when(k == 3, F.col("p_name"))
-    raw = raw.when(k == 4, F.concat(F.lit("SM-"), size, F.lit("/DS"))).otherwise(F.concat((1000 + F.col("p_partkey")).cast("string"), F.lit("A ")))
-    return p.select("p_partkey", text.model_code(raw).alias("code"))
-
-
-@query(f"""WITH {DEVICES}, w AS (SELECT id, list_filter(string_split(name || CASE WHEN id % 3 = 0 THEN ' pro max' WHEN id % 3 = 1 THEN ' fold' ELSE '' END || CASE WHEN id % 4 <> 3 THEN ' ' || generation ELSE '' END || CASE id % 5 WHEN 0 THEN ' 9' WHEN 1 THEN ' a5b' ELSE '' END, ' '), lambda x: x NOT IN ('old', 'new')) AS words FROM devices),
-s AS (SELECT id, list_filter(words, lambda x: x IN ('pro', 'max', 'plus', 'ultra', 'mini', 'lite', 'fe', 'air', 'fold', 'flip', 'se')) AS m, list_filter(words, lambda x: regexp_full_match(x, '[0-9]+')) AS n,
-  list_filter(words, lambda x: regexp_full_match(x, '[a-z]+') AND x NOT IN ('pro', 'max', 'plus', 'ultra', 'mini', 'lite', 'fe', 'air', 'fold', 'flip', 'se')) AS p, list_filter(words, lambda x: NOT regexp_full_match(x, '[a-z]+|[0-9]+')) AS odd FROM w)
-SELECT id, p[1] AS brand, CASE WHEN len(p) > 1 THEN array_to_string(p[2:], '-') ELSE p[1] END AS family, CAST(n[1] AS INTEGER) AS generation, array_to_string(m, '|') AS modifiers, array_to_string(list_concat(odd, n[2:]), '|') AS unparsed FROM s""")
-def slot_parse(spark, sf):
-    d, n = devices(spark, sf), F.col("id")
-    more = [F.when(n % 3 == 0, "pro max").when(n % 3 == 1, "fold"), F.when(n % 4 != 3, F.col("generation").cast("string")), F.when(n % 5 == 0, "9").when(n % 5 == 1, "a5b")]
-    s = text.slots(text.tokens(F.concat_ws(" ", "name", *more)), STOP)
-    return d.select("id", s["brand"].alias("brand"), s["family"].alias("family"), s["generation"].alias("generation"), F.array_join(s["modifiers"], "|").alias("modifiers"), F.array_join(s["unparsed"], "|").alias("unparsed"))
-
-
 ATTRIBUTES = {"storage": ["64 gb", "128gb", "1-tb"], "network": ["5g", "lte"], "dual_sim": ["dual sim", "2sim"], "color": ["red", "blue", "hot pink"]}
 
 

@@ -87,27 +87,6 @@ def keyboard_repair(spark, sf):
     return devices(spark, sf).select("id", F.array_join(text.repair_keyboard(typed, RUSSIAN_KEYS, LATIN_KEYS, KNOWN), " ").alias("repaired"))
 
 
-TRACED = "p_brand || '-' || p_name || ' X' || p_size || CASE WHEN p_partkey % 2 = 0 THEN ' цу' ELSE ' цй' END"
-
-
-@query(r"""WITH a AS (SELECT p_partkey, """ + TRACED + r""" AS v0, lower(""" + TRACED + r""") AS v1 FROM part),
-b AS (SELECT *, regexp_replace(regexp_replace(v1, '[-_./,]+', ' ', 'g'), '[^\p{L}\p{N}\s]', '', 'g') AS v2 FROM a),
-b1 AS (SELECT *, array_to_string(list_transform(list_filter(string_split(v2, ' '), lambda w: w <> ''), lambda w: CASE w WHEN 'x1' THEN 'extra one' WHEN 'x20' THEN 'twenty' ELSE w END), ' ') AS v3 FROM b),
-c AS (SELECT *, regexp_replace(regexp_replace(v3, '(\p{L})(\p{Nd})', '\1 \2', 'g'), '(\p{Nd})(\p{L})', '\1 \2', 'g') AS v4 FROM b1),
-d AS (SELECT *, array_to_string(list_transform(list_filter(string_split(v4, ' '), lambda w: w <> ''), lambda w: CASE WHEN regexp_matches(w, '^[0-9l]*l[0-9l]*$') THEN replace(w, 'l', '1')
-  WHEN regexp_matches(w, '^[a-z0]*0[a-z0]*$') THEN replace(w, '0', 'o') ELSE w END), ' ') AS v5 FROM c),
-k AS (SELECT *, array_to_string(list_transform(string_split(v5, ' '), lambda w: CASE w WHEN 'цу' THEN 'we' ELSE w END), ' ') AS v6 FROM d),
-e AS (SELECT *, array_to_string(list_transform(string_split(v6, ' '), lambda w: CASE w WHEN 'small' THEN 's' WHEN 'large' THEN 'l' WHEN 'hot' THEN 'heat proof' WHEN 'gizmo' THEN 'gadget' ELSE w END), ' ') AS v7 FROM k),
-f AS (SELECT *, replace(replace(v7, 'ц', 'c'), 'й', 'ji') AS v8 FROM e)
-SELECT p_partkey, 'unicode' AS step, v1 AS value, v1 <> v0 AS changed FROM f UNION ALL SELECT p_partkey, 'separators', v2, v2 <> v1 FROM f UNION ALL SELECT p_partkey, 'compounds', v3, v3 <> v2 FROM f UNION ALL
-SELECT p_partkey, 'letters and digits', v4, v4 <> v3 FROM f UNION ALL SELECT p_partkey, 'lookalikes', v5, v5 <> v4 FROM f UNION ALL SELECT p_partkey, 'keyboard', v6, v6 <> v5 FROM f UNION ALL SELECT p_partkey, 'synonyms', v7, v7 <> v6 FROM f UNION ALL
-SELECT p_partkey, 'transliteration', v8, v8 <> v7 FROM f UNION ALL SELECT p_partkey, 'tokens', v8, FALSE FROM f""")
-def normalise_trace(spark, sf):
-    words = SYNONYMS | {"x1": ["extra", "one"], "x20": ["twenty"]}
-    steps = text.trace(F.expr(TRACED), words, ("йцу", "qwe", ["we"]), {"ц": "c", "й": "ji"})
-    return table(spark, sf, "part").select("p_partkey", F.inline(steps))
-
-
 @query(f"""WITH {DEVICES} SELECT id, to_json({{'id': id, 'brand': brand, 'support': support}}) AS document FROM devices WHERE starts_with(CASE WHEN generation % 3 = 0 THEN 'moderator:' || brand ELSE 'import' END, 'moderator:')""")
 def override_export(spark, sf):
     origin = F.when(F.col("generation") % 3 == 0, F.concat(F.lit("moderator:"), "brand")).otherwise("import")

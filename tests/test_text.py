@@ -47,12 +47,6 @@ def test_normalisation_steps(spark):
     assert words == ["12", "oppo", "x1"]
 
 
-def test_slots(spark):
-    df = spark.createDataFrame([(["the", "acme", "nova", "x", "12", "pro", "7", "a5b"],)], "t array<string>")
-    s = df.select(text.slots(F.col("t"), ["the"]).alias("s")).first()["s"]
-    assert (s["brand"], s["family"], s["generation"], s["modifiers"], s["unparsed"]) == ("acme", "nova-x", 12, ["pro"], ["a5b", "7"])
-
-
 def test_screen_key(spark):
     df = spark.createDataFrame([(900, 400, 2.625), (390, 844, 3.0)], "w int, h int, d double")
     assert [r[0] for r in df.select(text.screen_key(F.col("w"), F.col("h"), F.col("d"))).collect()] == ["400x900@2.625", "390x844@3"]
