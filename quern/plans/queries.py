@@ -361,12 +361,6 @@ def ttl_filter(spark, sf):
     return tasks.within_retention(table(spark, sf, "events"), "ts", F.expr("timestamp_ntz'2024-01-31 00:00:00'"), 10).select("event_id", "user_id")
 
 
-@query()
-def rate_limit(spark, sf):
-    e = table(spark, sf, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    return tasks.rate_limit(e, "user_id", "ts", "event_id", 3, 86_400)
-
-
 @query('''SELECT p_partkey, p_name AS f0, p_brand || ',"x"' AS f1, p_type AS f2, CAST(p_size AS VARCHAR) AS f3, CAST(4 AS INTEGER) AS n FROM part''')
 def csv_tokenize(spark, sf):
     p = table(spark, sf, "part")

@@ -1,10 +1,9 @@
-"""Task counters and rate limits, in batch and as Structured Streaming."""
+"""Task counters, in batch and as Structured Streaming."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -38,26 +37,3 @@ def merge_tasks(tasks: DataFrame, counted: DataFrame, key: Sequence[str]) -> Dat
 
 def within_retention(rows: DataFrame, time: str, now, days: int) -> DataFrame:
     return rows.where(F.col(time) > F.lit(now) - F.expr(f"interval {days} days"))
-
-
-def rate_limit(requests: DataFrame, key: str, time: str, item: str, limit: int, seconds: int) -> DataFrame:
-    """Each request and whether it is within `limit` in its key's window, which starts at the first request after the last window.
-
-    Rows are handled key by key in time order; the state is one window's start and count. Keys are users or
-    tokens, of which none is expected to hold a large share of all requests.
-    """
-    schema = f"{key} {dict(requests.dtypes)[key]}, {item} {dict(requests.dtypes)[item]}, allowed boolean"
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        who, start, n = None, None, 0
-        for pdf in batches:
-            allowed = []
-            for k, t in zip(pdf[key], pdf["_us"]):
-                if k != who or t - start >= seconds * 1_000_000:
-                    who, start, n = k, t, 0
-                n += 1
-                allowed.append(n <= limit)
-            yield pd.DataFrame({key: pdf[key], item: pdf[item], "allowed": allowed})
-
-    rows = requests.select(key, item, F.unix_micros(time).alias("_us")).repartition(key).sortWithinPartitions(key, "_us", item)
-    return rows.mapInPandas(fold, schema)

@@ -94,18 +94,3 @@ def test_stream_equals_batch(spark, tmp_path):
     q = tasks.stream_tasks(source, ["u"], "t", "p", lambda b, n: final.update({r["u"]: tuple(r) for r in b.collect()}), str(tmp_path / "cp"))
     q.awaitTermination()
     assert set(final.values()) == {tuple(r) for r in tasks.count_tasks(df, ["u"], "t", "p").collect()}
-
-
-def test_rate_limit_windows_start_at_a_request(spark):
-    rng = random.Random(1)
-    rows = sorted((rng.choice("ab"), i, rng.randint(0, 300)) for i in range(80))
-    df = spark.createDataFrame(rows, "k string, i int, s int").withColumn("t", F.timestamp_seconds("s"))
-    got = {r["i"]: r["allowed"] for r in tasks.rate_limit(df, "k", "t", "i", 3, 60).collect()}
-    state, want = {}, {}
-    for k, i, s in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
-        start, n = state.get(k, (None, 0))
-        if start is None or s - start >= 60:
-            start, n = s, 0
-        state[k] = (start, n + 1)
-        want[i] = n + 1 <= 3
-    assert got == want
