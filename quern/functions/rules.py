@@ -27,16 +27,38 @@ def in_version_range(v: Column, low: Column, high: Column) -> Column:
     return v.isNotNull() & inside(low, version_compare(v, low) >= 0) & inside(high, version_compare(v, high) <= 0)
 
 
+def _holds(c: Column, region: Column, version: Column) -> Column:
+    """Whether a condition matches: the region is its value, or the version is below it."""
+    return F.coalesce(F.when(c["scope"] == "region", F.upper(F.trim(c["value"])) == F.upper(F.trim(region))).otherwise(version_compare(version, c["value"]) < 0), F.lit(False))
+
+
 def resolve_conditions(support: Column, conditions: Column, region: Column, version: Column) -> Column:
     """The status of a row, given its conditions (scope, value, support) and what is known of the context."""
     known = F.filter(conditions, lambda c: c.isNotNull())
-    holds = lambda c: F.coalesce(F.when(c["scope"] == "region", F.upper(F.trim(c["value"])) == F.upper(F.trim(region))).otherwise(version_compare(version, c["value"]) < 0), F.lit(False))
-    hit = F.filter(known, holds)
+    hit = F.filter(known, lambda c: _holds(c, region, version))
     unknown = F.exists(known, lambda c: F.when(c["scope"] == "region", region.isNull()).otherwise(version.isNull()))
     none = F.coalesce(F.size(known), F.lit(-1)) <= 0
     return F.when(support != "conditional", support).when(none, ASK).when(F.size(hit) > 0, F.get(hit, F.lit(0))["support"]).when(unknown, ASK).otherwise(YES)
 
 
+def device_resolution(support: Column, conditions: Column, confidence: Column, question: Column, region: Column, version: Column, derived: bool = True, unverified: bool = False) -> Column:
+    """struct(status, reasons, question): a device's status by its conditions and then by the confidence of its data.
+
+    reasons are codes in order. The question is the device's own, where its conditions leave the status open.
+    """
+    known = F.filter(conditions, lambda c: c.isNotNull())
+    first = F.get(F.filter(known, lambda c: _holds(c, region, version)), F.lit(0))
+    none = F.coalesce(F.size(known), F.lit(-1)) <= 0
+    status = resolve_conditions(support, conditions, region, version)
+    code = F.when(support != "conditional", "ESIM_STATUS_DIRECT").when(none, "ESIM_CONDITION_INVALID_CONFIGURATION").when(first["scope"] == "region", "ESIM_CONDITION_MATCHED_REGION").when(first.isNotNull(), "ESIM_CONDITION_MATCHED_OS_VERSION")
+    code = code.when(status == ASK, "ESIM_CONDITION_CONTEXT_MISSING").otherwise("ESIM_CONDITION_DEFAULT_SUPPORTED")
+    gated = confidence_gate(status, confidence, derived, unverified)
+    level = F.concat(F.lit("CATALOG_ENTRY_"), F.upper(confidence), F.when(gated != status, "_BLOCKED").otherwise(""))
+    level = F.when(confidence == "quarantined", "CATALOG_ENTRY_QUARANTINED_BLOCKED").otherwise(level)
+    reasons = F.when(status == ASK, F.array(code)).otherwise(F.array(code, level))
+    return F.struct(gated.alias("status"), reasons.alias("reasons"), F.when(status == ASK, question).alias("question"))
+
+
 def confidence_gate(status: Column, confidence: Column, derived: bool = True, unverified: bool = False) -> Column:
     closed = ["quarantined", *([] if derived else ["derived"]), *([] if unverified else ["unverified"])]
     return F.when(confidence.isin(*closed), ASK).otherwise(status)

@@ -1,63 +1,191 @@
-"""Which catalogue device a browser's signals belong to, and what to answer: joins with the catalogue's keys."""
+"""Which catalogue device a browser's signals belong to, and what to answer: joins with the catalogue's keys, and group rules.
+
+signals: a key, platform, type and ambiguous (of the device type), emulated, told (whether there is any signal), version,
+model (that client hints name), legacy (that the agent names), same (whether headers agree), region and screen.
+
+catalog: id, name, codes, aliases, platform, type, active, low and high (versions), support, conditions (scope, value, support),
+confidence, question (kind, question, options of value and label). screens: screen and id, of the known screens.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import rules
-from quern.operators.catalogue import set_consensus, unique_keys
+from quern.operators.catalogue import checkpointed, set_consensus, unique_keys
+from quern.operators.intervals import version_join
 
+ANSWER = ["method", "status", "confidence", "exact", "device", "candidates", "reasons", "clarification", "unknown_codes", "unknown_screen"]
+OPTIONS = "array<struct<id:string,label:string>>"
 
-def android(signals: DataFrame, catalog: DataFrame, key: str) -> DataFrame:
-    """key, device, method (model, legacy or unknown), status and answer_confidence of each signal.
 
-    signals: model, legacy, version, region and same. catalog: id, code, alias, support, conditions and confidence. The model
-    that client hints name comes first, by code and then by alias; else the one that the agent names. Keys of several
-    devices find none. The catalogue's sides are small, so Spark sends them to the signals while they are.
+def group_resolution(rows: DataFrame, group: Sequence[str], order: str) -> DataFrame:
+    """One row per group of candidates: n, status, exact, code, reasons, question, and members.
+
+    rows: id, name, r (as rules.device_resolution gives), conditions and question. All candidates of one status that isn't open give
+    it, exactly if there is one candidate; all open ones agree on asking; else they disagree. reasons: each
+    candidate's, in order, each once, where they agree. question: the candidates' own, where all have conditions of one
+    scope and the same question with the same options. members: (id, name) in order.
     """
-    code = unique_keys(catalog, F.upper(F.trim("code")), "id")
-    alias = unique_keys(catalog, F.lower(F.trim("alias")), "id")
-    found = signals
-    for name in ("model", "legacy"):
-        for what, keys, form in (("code", code, F.upper), ("alias", alias, F.lower)):
-            own = keys.select(F.col("key").alias("_key"), F.col("id").alias(f"_{name}_{what}"))
-            found = found.join(own, form(F.trim(name)) == F.col("_key"), "left").drop("_key")
-    model, legacy = (F.coalesce(f"_{n}_code", f"_{n}_alias") for n in ("model", "legacy"))
-    found = found.withColumns({"_device": F.coalesce(model, legacy), "_method": F.when(model.isNotNull(), "model").when(legacy.isNotNull(), "legacy").otherwise("unknown")})
-    facts = catalog.select(F.col("id").alias("_device"), "support", "conditions", F.col("confidence").alias("data_confidence"))
-    j = found.join(facts, "_device", "left")
-    status = rules.confidence_gate(rules.resolve_conditions(F.col("support"), F.col("conditions"), F.col("region"), F.col("version")), F.col("data_confidence"))
-    base = F.when(F.col("_method") == "model", rules.BASES["code"]).otherwise(rules.BASES["legacy"])
-    sure = F.when(F.col("_device").isNull(), 0.0).otherwise(rules.detection_confidence(base, F.col("same")))
-    out = j.select(key, F.col("_device").alias("device"), F.col("_method").alias("method"), F.coalesce(status, F.lit(rules.ASK)).alias("status"), sure.alias("answer_confidence"))
-    return out.withColumn("status", rules.answer_gate(F.col("status"), F.col("answer_confidence")))
-
-
-def ios(signals: DataFrame, catalog: DataFrame, key: str) -> DataFrame:
-    """key, candidates (how many), device (of a single one), status and confidence of each signal (version, screen, same).
-
-    catalog: id, low, high (versions), screen and status. Devices of the screen within the version range count; where there are
-    none, those of the screen; where the screen is unknown, those of the range. Ranges are compared once for each different
-    version and screen, of which there are few, whatever the number of signals.
+    own = F.col("question").isNotNull() & (F.size(F.array_distinct(F.transform("conditions", lambda c: c["scope"]))) == 1)
+    asked = F.to_json(F.when(own, F.col("question")))
+    member = F.struct(F.col(order).alias("_order"), F.col("id").alias("id"), F.col("name").alias("name"), F.col("r.reasons").alias("reasons"))
+    told = rows.groupBy(*group).agg(
+        F.count("*").alias("n"), F.min("r.status").alias("lo"), F.max("r.status").alias("hi"), F.count(asked).alias("n_asked"), F.min(asked).alias("q_lo"), F.max(asked).alias("q_hi"),
+        F.first(F.when(own, F.col("question")), ignorenulls=True).alias("q"), F.array_sort(F.collect_list(member)).alias("m"),
+    )
+    one = F.col("lo") == F.col("hi")
+    agree = one & (F.col("lo") != rules.ASK)
+    code = F.when(agree, "CANDIDATES_AGREE_ON_ESIM").when(one, "CANDIDATES_AGREE_ON_CLARIFICATION").otherwise("CANDIDATES_DISAGREE_ON_ESIM")
+    reasons = F.when(agree, F.array_distinct(F.flatten(F.transform("m", lambda m: m["reasons"])))).otherwise(F.array().cast("array<string>"))
+    shared = (F.col("n_asked") == F.col("n")) & (F.col("q_lo") == F.col("q_hi"))
+    members = F.transform("m", lambda m: F.struct(m["id"].alias("id"), m["name"].alias("name")))
+    return told.select(*group, "n", F.when(agree, F.col("lo")).otherwise(rules.ASK).alias("status"), (agree & (F.col("n") == 1)).alias("exact"), code.alias("code"), reasons.alias("reasons"), F.when(shared, F.col("q")).alias("question"), members.alias("members"))
+
+
+def _ask(kind: str | Column, question: str | Column, options: Column | None = None) -> Column:
+    lit = lambda x: F.lit(x) if isinstance(x, str) else x
+    return F.struct(lit(kind).alias("kind"), lit(question).alias("question"), (F.lit(None) if options is None else options).cast(OPTIONS).alias("options"))
+
+
+def _answer(question: Column) -> Column:
+    return _ask("answer_question", question["question"], F.transform(question["options"], lambda o: F.struct(o["value"].alias("id"), o["label"].alias("label"))))
+
+
+def _codes(*parts: Column) -> Column:
+    """The codes that aren't null, in order."""
+    return F.filter(F.array(*parts), lambda c: c.isNotNull())
+
+
+def _headers(same: Column) -> Column:
+    return F.when(same, "SIGNAL_HEADERS_CONSISTENT").when(~same, "SIGNAL_HEADERS_INCONSISTENT")
+
+
+def _open(signals: DataFrame, key: str, reasons: Column, clarification: Column) -> DataFrame:
+    nothing = F.array().cast("array<string>")
+    return signals.select(
+        key, "platform", "type", F.lit("unknown").alias("method"), F.lit(rules.ASK).alias("status"), F.lit(0.0).alias("confidence"), F.lit(False).alias("exact"), F.lit(None).cast("string").alias("device"), nothing.alias("candidates"),
+        reasons.alias("reasons"), clarification.alias("clarification"), nothing.alias("unknown_codes"), F.lit(None).cast("string").alias("unknown_screen"),
+    )
+
+
+def others(signals: DataFrame, key: str) -> DataFrame:
+    """Suspected emulation, watches that run iOS, and platforms that are no mobile ones: always a question."""
+    watch, other = F.col("type") == "watch", F.col("platform") == "other"
+    base = F.when(F.col("told"), "PLATFORM_NOT_MOBILE").otherwise("NO_SIGNALS")
+    reasons = _codes(F.when(F.col("emulated") | ~other, "PLATFORM_DETECTED").otherwise(base), F.when(F.col("emulated"), "EMULATION_SUSPECTED"))
+    text = F.when(F.col("emulated"), "unconfirmed signals").when(watch, "watch").when(F.col("ambiguous"), "computer or tablet").otherwise("no mobile device")
+    return _open(signals, key, reasons, _ask("manual_input", text))
+
+
+def android(signals: DataFrame, catalog: DataFrame, key: str, least: float = 0.8, derived: bool = True, unverified: bool = False) -> DataFrame:
+    """The model that client hints name comes first, by code and then by alias; else the one that the agent names.
+
+    Keys of several devices find none. The catalogue's sides are small, so Spark sends them to the signals while they are.
+    """
+    code = unique_keys(catalog.select("id", F.explode("codes").alias("c")), F.upper(F.trim("c")), "id")
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(F.trim(c)), r"\s+", " "))
+    alias = unique_keys(catalog.select("id", F.explode(F.concat("aliases", F.array("name"))).alias("a")), plain(F.col("a")), "id")
+    hint = F.trim("model")
+    found = signals.withColumns({"_model": F.when((hint != "") & (F.upper(hint) != "K"), hint), "_legacy": F.col("legacy")})
+    for name in ("_model", "_legacy"):
+        for what, keys, form in (("code", code, lambda c: F.upper(F.trim(c))), ("alias", alias, plain)):
+            own = keys.select(F.col("key").alias("_key"), F.col("id").alias(f"{name}_{what}"))
+            found = found.join(own, form(F.col(name)) == F.col("_key"), "left").drop("_key")
+    by_model, by_legacy = (F.coalesce(f"{n}_code", f"{n}_alias") for n in ("_model", "_legacy"))
+    found = found.withColumns({"_by_model": by_model, "_by_legacy": F.when(by_model.isNull(), by_legacy)}).withColumn("_device", F.coalesce("_by_model", "_by_legacy"))
+    facts = catalog.select(F.col("id").alias("_device"), "support", "conditions", "question", F.col("confidence").alias("_data"), F.col("type").alias("_type"))
+    j = found.join(facts, "_device", "left").withColumn("r", rules.device_resolution(F.col("support"), F.col("conditions"), F.col("_data"), F.col("question"), F.col("region"), F.col("version"), derived, unverified))
+    known, model = F.col("_device").isNotNull(), F.col("_model").isNotNull()
+    tried = F.col("_by_model").isNull() & F.col("_legacy").isNotNull()
+    base = F.when(F.col("_by_model").isNotNull(), rules.BASES["code"]).otherwise(rules.BASES["legacy"])
+    sure = F.when(known, rules.detection_confidence(base, F.col("same"))).otherwise(0.0)
+    status = F.when(known, rules.answer_gate(F.col("r.status"), sure, least)).otherwise(rules.ASK)
+    met = lambda c: F.when(c.isNotNull(), "CATALOG_EXACT_MATCH").otherwise("CATALOG_MODEL_CODE_UNKNOWN")
+    first = _codes(F.lit("PLATFORM_DETECTED"), F.when(model, "UA_CH_MODEL_RECEIVED").otherwise("UA_CH_MODEL_MISSING_OR_GENERIC"), F.when(model, met(F.col("_by_model"))), F.when(tried, "LEGACY_UA_MODEL_PARSED"), F.when(tried, met(F.col("_by_legacy"))), F.when(known, _headers(F.col("same"))))
+    low = F.when(known & (F.col("r.status") != rules.ASK) & (sure < least), "CONFIDENCE_BELOW_THRESHOLD")
+    nothing = F.array().cast("array<string>")
+    reasons = F.concat(first, F.when(known, F.col("r.reasons")).otherwise(nothing), _codes(low))
+    text = F.when(F.col("type") == "watch", "watch").when(F.col("ambiguous"), "phone or tablet").when(F.col("type") == "tablet", "unknown tablet").otherwise("unknown device")
+    clarification = F.when(~known, _ask("manual_input", text)).when(F.col("r.question").isNotNull(), _answer(F.col("r.question"))).when(status == rules.ASK, _ask("check_on_device", "unconfirmed data"))
+    unknown = F.when(~known, _codes(F.col("_model"), F.col("_legacy"))).otherwise(nothing)
+    method = F.when(F.col("_by_model").isNotNull(), "model").when(F.col("_by_legacy").isNotNull(), "legacy").otherwise("unknown")
+    return j.select(
+        key, "platform", F.coalesce("_type", "type").alias("type"), method.alias("method"), status.alias("status"), sure.alias("confidence"), known.alias("exact"), F.col("_device").cast("string").alias("device"), nothing.alias("candidates"),
+        reasons.alias("reasons"), clarification.alias("clarification"), unknown.alias("unknown_codes"), F.lit(None).cast("string").alias("unknown_screen"),
+    )
+
+
+def ios_candidates(asked: DataFrame, catalog: DataFrame, screens: DataFrame) -> DataFrame:
+    """ask, id: the candidates of each different ask (ask, type, version, screen; a screen that isn't known is null).
+
+    Devices of the screen within the version's range; where there are none, all of the screen; without a known screen, those of
+    the range. Only active iOS devices of the type count, but the choice between the first two is made before.
     """
-    asked = signals.select("version", "screen").distinct()
-    versions = asked.select("version").where("version is not null").distinct()
-    inside = versions.join(catalog, rules.in_version_range(F.col("version"), F.col("low"), F.col("high"))).select("version", "id", "status", F.col("screen").alias("own"))
-    of_screen = asked.join(catalog.select("id", "status", "screen", "low", "high"), "screen")
-    of_screen = of_screen.withColumn("two", rules.in_version_range(F.col("version"), F.col("low"), F.col("high"))).select("version", "screen", "id", "status", "two")
-    known = of_screen.groupBy("version", "screen").agg(F.max("two").alias("any_two")).withColumnsRenamed({"version": "_v", "screen": "_s"})
-    same = F.col("version").eqNullSafe(F.col("_v")) & (F.col("screen") == F.col("_s"))
-    by_screen = of_screen.join(known, same).where("two = any_two").select("version", "screen", "id", "status", "two")
-    by_range = asked.join(known, same, "left_anti").join(inside.drop("own"), "version").select("version", "screen", "id", "status", F.lit(False).alias("two"))
-    groups = by_screen.unionByName(by_range).groupBy("version", "screen").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), set_consensus(F.col("status")).alias("said"), F.bool_and("two").alias("two"))
-    groups = groups.withColumnsRenamed({"version": "_v", "screen": "_s"})
-    j = signals.join(groups, same, "left")
-    base = F.when(F.col("said") == "mixed", rules.BASES["disagree"]).when(F.col("two"), rules.BASES["both"]).otherwise(rules.BASES["one"])
-    sure = F.when(F.col("n").isNull(), 0.0).otherwise(rules.detection_confidence(base, F.col("same")))
-    status = F.when(F.col("said").isNull() | (F.col("said") == "mixed"), rules.ASK).otherwise(F.col("said"))
-    out = j.select(key, F.coalesce("n", F.lit(0)).cast("long").alias("candidates"), F.when(F.col("n") == 1, F.col("first_id")).alias("device"), status.alias("status"), sure.alias("confidence"))
-    return out.withColumn("status", rules.answer_gate(F.col("status"), F.col("confidence")))
+    fit = catalog.where("platform = 'ios' and active").select("id", "type", "low", "high")
+    within = version_join(asked.select("type", "version").distinct(), fit, "version", "low", "high", ("type",)).select("type", "version", "id")
+    seen = asked.where("screen is not null").join(screens.select("screen", "id").distinct(), "screen").select("ask", "type", "version", "id")
+    two = seen.join(within.withColumn("_two", F.lit(True)), ["type", "version", "id"], "left")
+    any_two = two.groupBy("ask").agg(F.max("_two").alias("any"))
+    by_screen = two.join(any_two, "ask").where("any is null or _two").join(fit.select("id", "type"), ["id", "type"], "left_semi").select("ask", "id")
+    return by_screen.unionByName(asked.where("screen is null").join(within, ["type", "version"]).select("ask", "id"))
+
+
+def ios(signals: DataFrame, catalog: DataFrame, screens: DataFrame, key: str, least: float = 0.8, derived: bool = True, unverified: bool = False) -> DataFrame:
+    """Groups are resolved once for each different type, version, region and known screen, of which there are few, whatever the number of signals."""
+    known = screens.select(F.col("screen").alias("_screen")).distinct()
+    rows = signals.withColumn("type", F.when(F.col("type") == "tablet", "tablet").otherwise("phone")).join(known, F.col("screen") == F.col("_screen"), "left")
+    rows = rows.withColumn("ask", F.to_json(F.struct("type", "version", F.upper(F.trim("region")).alias("region"), F.col("_screen").alias("screen"))))
+    asked = rows.select("ask", "type", "version", F.upper(F.trim("region")).alias("region"), F.col("_screen").alias("screen")).distinct()
+    facts = catalog.select("id", "name", "support", "conditions", "confidence", "question")
+    met = ios_candidates(asked, catalog, screens).join(asked.select("ask", "version", "region"), "ask").join(facts, "id")
+    met = met.withColumn("r", rules.device_resolution(F.col("support"), F.col("conditions"), F.col("confidence"), F.col("question"), F.col("region"), F.col("version"), derived, unverified))
+    groups = group_resolution(met, ["ask"], "id")
+    groups = groups.withColumnsRenamed({c: f"_g_{c}" for c in groups.columns if c != "ask"})
+    j = rows.join(groups, "ask", "left").withColumns({"_said": F.coalesce("_g_status", F.lit(rules.ASK)), "_code": F.coalesce("_g_code", F.lit("CANDIDATES_DISAGREE_ON_ESIM")), "_single": F.coalesce("_g_exact", F.lit(False))})
+    agree = F.col("_said") != rules.ASK
+    base = F.when(~agree, rules.BASES["disagree"]).when(F.col("version").isNotNull() & F.col("_screen").isNotNull(), rules.BASES["both"]).otherwise(rules.BASES["one"])
+    sure = rules.detection_confidence(base, F.col("same"))
+    status = rules.answer_gate(F.col("_said"), sure, least)
+    first = _codes(F.lit("PLATFORM_DETECTED"), F.when(F.col("version").isNotNull(), "IOS_VERSION_IMPLIES_MIN_MODEL"), F.when(F.col("_screen").isNotNull(), "SCREEN_SIGNATURE_MATCHED").otherwise("SCREEN_SIGNATURE_UNKNOWN"), _headers(F.col("same")), F.col("_code"))
+    nothing = F.array().cast("array<string>")
+    reasons = F.concat(first, F.coalesce("_g_reasons", nothing), _codes(F.when(agree & (sure < least), "CONFIDENCE_BELOW_THRESHOLD")))
+    ids = F.transform("_g_members", lambda m: m["id"].cast("string"))
+    choose = F.concat(F.transform("_g_members", lambda m: F.struct(m["id"].cast("string").alias("id"), m["name"].alias("label"))), F.array(F.struct(F.lit("__other__").alias("id"), F.lit("another model").alias("label"))))
+    asks = F.when(F.col("_g_n").isNull(), _ask("manual_input", "unknown device")).when(F.col("_g_question").isNotNull(), _answer(F.col("_g_question"))).otherwise(_ask("choose_candidate", "which model", choose))
+    return j.select(
+        key, "platform", "type", F.lit("version and screen").alias("method"), status.alias("status"), sure.alias("confidence"), F.col("_single").alias("exact"), F.when(F.col("_single"), F.get(ids, F.lit(0))).alias("device"), F.when(status == rules.ASK, F.coalesce(ids, nothing)).otherwise(nothing).alias("candidates"),
+        reasons.alias("reasons"), F.when(status == rules.ASK, asks).alias("clarification"), nothing.alias("unknown_codes"), F.when(F.col("_screen").isNull(), F.col("screen")).alias("unknown_screen"),
+    )
+
+
+def detect(signals: DataFrame, catalog: DataFrame, screens: DataFrame, key: str, least: float = 0.8, derived: bool = True, unverified: bool = False) -> DataFrame:
+    """One answer per signal, of the branch that its platform and type belong to.
+
+    Columns: key, platform, type, method, status, confidence, exact, device, candidates (of open answers), reasons (codes), clarification (kind,
+    question, options), and what moderation should see: unknown_codes and unknown_screen. Signals are read once and answers are checkpointed,
+    so that answers and side outputs come from one run.
+    """
+    # The branches share one scan: what they read of signals is checkpointed.
+    rows = checkpointed(signals.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("emulated", "ambiguous", "told")}))
+    mobile = F.col("platform").isin("android", "harmonyos")
+    apple = (F.col("platform") == "ios") & ~F.col("type").eqNullSafe("watch")
+    rest = rows.where(F.col("emulated") | ~(mobile | apple))
+    rows = rows.where(~F.col("emulated"))
+    out = android(rows.where(mobile), catalog, key, least, derived, unverified).unionByName(ios(rows.where(apple), catalog, screens, key, least, derived, unverified)).unionByName(others(rest, key))
+    return checkpointed(out)
+
+
+def unknown_codes(answers: DataFrame, key: str) -> DataFrame:
+    """code and key of each model that no device has, of signals that found none: what the task counter counts."""
+    return answers.select(F.explode("unknown_codes").alias("code"), key, "platform")
+
+
+def unknown_screens(answers: DataFrame, key: str) -> DataFrame:
+    return answers.where("unknown_screen is not null").select(F.col("unknown_screen").alias("screen"), key)
 
 
 def signatures(catalog: DataFrame, screen: str, item: str, status: str) -> DataFrame:
@@ -65,8 +193,20 @@ def signatures(catalog: DataFrame, screen: str, item: str, status: str) -> DataF
     return catalog.groupBy(screen).agg(set_consensus(F.col(status)).alias("consensus"), F.array_sort(F.collect_set(item)).alias("candidates"))
 
 
-def category(platform: Column, agent: Column, emulated: Column, kind: Column, model: Column) -> Column:
-    """The group of signals that a row belongs to for evaluation: the first that fits."""
-    agent, mobile = F.coalesce(agent, F.lit("")), platform.isin("android", "harmonyos")
-    out = F.when((platform != "other") & F.coalesce(emulated, F.lit(False)), "emulation").when((platform == "other") & agent.rlike("(?i)macintosh"), "ambiguous-mac").when(kind == "tablet", "tablet").when(platform == "ios", "ios")
-    return out.when(mobile & model.isNotNull(), "android-ua-ch").when(mobile, "android-no-ua-ch").when(agent.rlike("(?i)windows|x11|linux"), "desktop").otherwise("ambiguous")
+# Parts of agents that embedded views and browsers other than the usual ones name.
+WEBVIEW = r"(?i); wv\)|webview"
+BROWSERS = r"(?i)firefox|fxios|samsungbrowser|ucbrowser|opr/|opera|yabrowser|edga/"
+CHROMIUM = r"(?i)chrome|chromium|edge"
+
+
+def category(platform: Column, agent: Column, touch: Column, adapter: Column, mobile: Column, width: Column, height: Column, model: Column, brands: Column) -> Column:
+    """The group of signals that a row belongs to for evaluation: the first that fits. brands: what client hints call the browser."""
+    agent, phone = F.coalesce(agent, F.lit("")), platform.isin("android", "harmonyos")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    mac, hint = agent.rlike("(?i)macintosh"), F.lower(F.trim(model))
+    side = F.when(width.isNotNull() & height.isNotNull(), F.least(width, height))
+    tablet = agent.rlike("(?i)ipad") | (mac & yes(touch > 0)) | (phone & yes(F.when(mobile.isNotNull(), ~mobile).otherwise(side >= 600)))
+    unusual = agent.rlike(BROWSERS) | (yes(F.size(brands) > 0) & ~yes(F.exists(brands, lambda b: b.rlike(CHROMIUM))))
+    out = F.when(agent.rlike(WEBVIEW), "webview").when(rules.emulated(platform, touch, adapter), "devtools-emulation").when(mac & touch.isNull() & (platform == "other"), "ambiguous-signature").when(tablet, "tablet").when(platform == "ios", "iphone-generations")
+    out = out.when(phone & yes((hint != "") & (hint != "k")), "android-vendor-ua-ch").when(unusual, "non-standard-browser").when(phone, "android-no-ua-ch")
+    return out.when((platform == "other") & (agent != ""), "desktop-browser").otherwise("ambiguous-signature")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import rules
 from quern.operators import detection
+from quern.operators.intervals import version_join
 from quern.plans.inputs import DEVICES, devices, table
 from quern.plans.queries import query
 
@@ -102,55 +103,121 @@ def signal_detection(spark, sf):
     return s.select("event_id", "platform", "version", kind.alias("device_type"), rules.emulated(c("platform"), c("touch"), c("gpu")).alias("emulated"), F.round(rules.detection_confidence(base, c("same")), 6).alias("confidence"))
 
 
-#: Devices for detection: codes are shared by some, a third are of iOS with a version range and a screen.
-CATALOG = """catalog AS (SELECT id, brand, family, generation, support, confidence, upper(code) AS code, lower(name) AS alias, CASE WHEN id % 3 = 0 THEN 'ios' ELSE 'android' END AS platform,
-  CASE WHEN id % 5 > 0 THEN (8 + generation % 9) || '.0' END AS low, CASE WHEN id % 7 > 0 THEN (12 + generation % 9) || '.4' END AS high, (360 + (id * 37) % 500) || 'x' || (640 + id % 3) || '@2' AS screen FROM devices)"""
+#: Devices for detection: codes are shared by some, a third are of iOS with a version range and a screen. k tells the conditions of conditional ones.
+CATALOG = """catalog AS (SELECT id, name || ' ' || (id % 1700) AS name, support, confidence, upper(code) AS code, 'Nova ' || (id % 1600) AS alias, CASE WHEN id % 3 = 0 THEN 'ios' ELSE 'android' END AS platform, CASE WHEN id % 8 = 0 THEN 'tablet' ELSE 'phone' END AS type, id % 11 > 0 AS active,
+  CASE WHEN id % 5 > 0 THEN (8 + generation % 9) || '.0' END AS low, CASE WHEN id % 7 > 0 THEN (12 + generation % 9) || '.4' END AS high, (360 + (id * 37) % 500) || 'x' || (640 + id % 3) || '@2' AS screen, CASE WHEN support = 'conditional' THEN id % 4 END AS k,
+  CASE WHEN id % 3 > 0 OR id % 9 = 0 THEN 'Which region, ' || (id % 2) || '?' END AS question FROM devices)"""
+CONDITIONS = "array<struct<scope:string,value:string,support:string>>"
 
 
 def catalog(spark: SparkSession, sf: str) -> DataFrame:
     n, g = F.col("id"), F.col("generation")
     text = lambda c: c.cast("string")
+    rule = lambda scope, value, support: F.struct(F.lit(scope).alias("scope"), F.lit(value).alias("value"), F.lit(support).alias("support"))
+    china, k = rule("region", "cn", "not_supported"), n % 4
+    conditions = F.when((F.col("support") != "conditional") | (k == 0), F.array().cast(CONDITIONS)).when(k == 1, F.array(china)).when(k == 2, F.array(china, rule("osVersion", "13.0", "not_supported"))).otherwise(F.array(rule("osVersion", "16.1", "supported"), rule("region", "TR", "not_supported")))
+    option = lambda v, t: F.struct(F.lit(v).alias("value"), F.lit(t).alias("label"))
+    question = F.struct(F.lit("region").alias("kind"), F.concat(F.lit("Which region, "), text(n % 2), F.lit("?")).alias("question"), F.array(option("CN", "China"), option("other", "Other")).alias("options"))
     return devices(spark, sf).select(
-        "id", "brand", "family", "generation", "support", "confidence", F.upper("code").alias("code"), F.lower("name").alias("alias"), F.when(n % 3 == 0, "ios").otherwise("android").alias("platform"),
+        "id", F.concat_ws(" ", "name", text(n % 1700)).alias("name"), "support", "confidence", F.array(F.upper("code")).alias("codes"), F.array(F.concat(F.lit("Nova "), text(n % 1600))).alias("aliases"), F.when(n % 3 == 0, "ios").otherwise("android").alias("platform"), F.when(n % 8 == 0, "tablet").otherwise("phone").alias("type"), (n % 11 > 0).alias("active"),
         F.when(n % 5 > 0, F.concat(text(8 + g % 9), F.lit(".0"))).alias("low"), F.when(n % 7 > 0, F.concat(text(12 + g % 9), F.lit(".4"))).alias("high"),
-        F.concat(text(360 + (n * 37) % 500), F.lit("x"), text(640 + n % 3), F.lit("@2")).alias("screen"),
+        F.concat(text(360 + (n * 37) % 500), F.lit("x"), text(640 + n % 3), F.lit("@2")).alias("screen"), conditions.alias("conditions"), F.when((n % 3 > 0) | (n % 9 == 0), question).alias("question"),
     )
 
 
-@query(f"""WITH {DEVICES}, {CATALOG}, {PARTS}, codes AS (SELECT code AS key, min(id) AS id FROM catalog GROUP BY 1 HAVING min(id) = max(id)), aliases AS (SELECT alias AS key, min(id) AS id FROM catalog GROUP BY 1 HAVING min(id) = max(id)),
-s AS (SELECT * FROM parts WHERE platform IN ('android', 'harmonyos')),
-f AS (SELECT s.*, coalesce(a.id, b.id) AS by_model, coalesce(c.id, e.id) AS by_legacy FROM s LEFT JOIN codes a ON a.key = upper(trim(s.model)) LEFT JOIN aliases b ON b.key = lower(trim(s.model)) LEFT JOIN codes c ON c.key = upper(trim(s.legacy)) LEFT JOIN aliases e ON e.key = lower(trim(s.legacy))),
-r AS (SELECT f.*, d.id AS device, CASE WHEN d.id IS NULL THEN 'clarification_required' WHEN d.confidence IN ('quarantined', 'unverified') OR d.support = 'conditional' THEN 'clarification_required' ELSE d.support END AS status,
-  CASE WHEN d.id IS NULL THEN 0 ELSE greatest(0, least(1, CASE WHEN by_model IS NOT NULL THEN 0.95 ELSE 0.85 END + CASE WHEN same THEN 0.03 WHEN NOT same THEN -0.1 ELSE 0 END)) END AS confidence
-  FROM f LEFT JOIN catalog d ON d.id = coalesce(by_model, by_legacy))
-SELECT event_id, device, CASE WHEN by_model IS NOT NULL THEN 'model' WHEN by_legacy IS NOT NULL THEN 'legacy' ELSE 'unknown' END AS method, CASE WHEN confidence < 0.8 THEN 'clarification_required' ELSE status END AS status, round(confidence, 6) AS confidence FROM r""")
-def detect_android(spark, sf):
-    c = catalog(spark, sf).withColumn("conditions", F.lit(None).cast("array<struct<scope:string,value:string,support:string>>"))
-    s = signals(spark, sf).where(F.col("platform").isin("android", "harmonyos")).withColumn("region", F.lit(None).cast("string"))
-    return detection.android(s, c, "event_id").select("event_id", "device", "method", "status", F.round("answer_confidence", 6).alias("confidence"))
-
-
-@query(f"""WITH {DEVICES}, {CATALOG}, {PARTS}, s AS (SELECT event_id, same, CASE WHEN event_id % 5 > 0 THEN version END AS version, (360 + (event_id * 37) % 500) || 'x' || (640 + event_id % 4) || '@2' AS screen FROM parts WHERE platform = 'ios'),
-ios AS (SELECT *, CASE WHEN confidence IN ('quarantined', 'unverified') OR support = 'conditional' THEN 'clarification_required' ELSE support END AS status,
-  CAST(split_part(low, '.', 1) AS INTEGER) * 100 + CAST(split_part(low, '.', 2) AS INTEGER) AS lo, CAST(split_part(high, '.', 1) AS INTEGER) * 100 + CAST(split_part(high, '.', 2) AS INTEGER) AS hi FROM catalog WHERE platform = 'ios'),
-v AS (SELECT DISTINCT version, screen, CAST(split_part(version, '.', 1) AS INTEGER) * 100 + CAST(split_part(version, '.', 2) AS INTEGER) AS n FROM s),
-os AS (SELECT v.version, v.screen, i.id, i.status, i.screen AS own FROM v JOIN ios i ON coalesce(i.lo <= v.n, i.lo IS NULL) AND coalesce(v.n <= i.hi, i.hi IS NULL) WHERE v.version IS NOT NULL),
-sig AS (SELECT v.version, v.screen, i.id, i.status FROM v JOIN ios i ON i.screen = v.screen),
-pick AS (SELECT v.version, v.screen, (SELECT count(*) FROM sig WHERE sig.screen = v.screen AND sig.version IS NOT DISTINCT FROM v.version) AS n_sig, (SELECT count(*) FROM os WHERE os.screen = v.screen AND os.version = v.version AND os.own = v.screen) AS n_both FROM v),
-cand AS (SELECT p.version, p.screen, o.id, o.status, true AS two FROM pick p JOIN os o ON o.version = p.version AND o.screen = p.screen AND o.own = p.screen WHERE n_both > 0
-  UNION ALL SELECT p.version, p.screen, g.id, g.status, false FROM pick p JOIN sig g ON g.screen = p.screen AND g.version IS NOT DISTINCT FROM p.version WHERE n_both = 0 AND n_sig > 0
-  UNION ALL SELECT p.version, p.screen, o.id, o.status, false FROM pick p JOIN os o ON o.version = p.version AND o.screen = p.screen WHERE n_sig = 0),
-g AS (SELECT version, screen, count(*) AS n, min(id) AS first_id, CASE WHEN min(status) = max(status) THEN min(status) ELSE 'clarification_required' END AS status, CASE WHEN min(status) <> max(status) THEN 0.4 WHEN bool_and(two) THEN 0.92 ELSE 0.85 END AS base FROM cand GROUP BY 1, 2),
-r AS (SELECT event_id, coalesce(n, 0) AS candidates, CASE WHEN n = 1 THEN first_id END AS device, coalesce(status, 'clarification_required') AS status, CASE WHEN n IS NULL THEN 0 ELSE greatest(0, least(1, base + CASE WHEN same THEN 0.03 WHEN NOT same THEN -0.1 ELSE 0 END)) END AS confidence
-  FROM s LEFT JOIN g ON g.version IS NOT DISTINCT FROM s.version AND g.screen = s.screen)
-SELECT event_id, candidates, device, CASE WHEN confidence < 0.8 THEN 'clarification_required' ELSE status END AS status, round(confidence, 6) AS confidence FROM r""")
-def detect_ios(spark, sf):
-    n = F.col("event_id")
-    screen = F.concat((360 + (n * 37) % 500).cast("string"), F.lit("x"), (640 + n % 4).cast("string"), F.lit("@2"))
-    s = signals(spark, sf).where("platform = 'ios'").select("event_id", "same", F.when(n % 5 > 0, F.col("version")).alias("version"), screen.alias("screen"))
-    c = catalog(spark, sf).where("platform = 'ios'")
-    status = rules.confidence_gate(F.when(F.col("support") == "conditional", rules.ASK).otherwise(F.col("support")), F.col("confidence"))
-    return detection.ios(s, c.select("id", "low", "high", "screen", status.alias("status")), "event_id").withColumn("confidence", F.round("confidence", 6))
+def screens(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog(spark, sf).where("platform = 'ios' and confidence <> 'quarantined'").select("screen", "id")
+
+
+MODEL = "CASE WHEN event_id % 10 = 3 THEN ' k' WHEN event_id % 10 = 4 THEN 'nova  ' || (event_id % 1700) ELSE model END"
+REGION = "CASE event_id % 4 WHEN 0 THEN ' cn' WHEN 1 THEN 'US' WHEN 2 THEN 'TR' END"
+SCREEN = "CASE WHEN event_id % 9 > 0 THEN (360 + (event_id * 37) % 500) || 'x' || (640 + event_id % 4) || '@2' END"
+_N = lambda v: f"(CAST(split_part({v}, '.', 1) AS INTEGER) * 100 + CAST(coalesce(nullif(split_part({v}, '.', 2), ''), '0') AS INTEGER))"
+#: A device's status by its conditions, given upper-case region r and version number v; then by the confidence of its data.
+BY_RULE = """CASE WHEN k IS NULL THEN support WHEN k = 0 THEN 'clarification_required' WHEN k IN (1, 2) AND r = 'CN' THEN 'not_supported' WHEN k = 2 AND v < 1300 THEN 'not_supported' WHEN k = 3 AND v < 1601 THEN 'supported' WHEN k = 3 AND r = 'TR' THEN 'not_supported'
+  WHEN r IS NULL OR (k IN (2, 3) AND v IS NULL) THEN 'clarification_required' ELSE 'supported' END"""
+WHY = """CASE WHEN k IS NULL THEN 'ESIM_STATUS_DIRECT' WHEN k = 0 THEN 'ESIM_CONDITION_INVALID_CONFIGURATION' WHEN k IN (1, 2) AND coalesce(r = 'CN', false) OR k = 3 AND coalesce(r = 'TR', false) AND NOT coalesce(v < 1601, false) THEN 'ESIM_CONDITION_MATCHED_REGION'
+  WHEN k = 2 AND v < 1300 OR k = 3 AND v < 1601 THEN 'ESIM_CONDITION_MATCHED_OS_VERSION' WHEN r IS NULL OR (k IN (2, 3) AND v IS NULL) THEN 'ESIM_CONDITION_CONTEXT_MISSING' ELSE 'ESIM_CONDITION_DEFAULT_SUPPORTED' END"""
+RESOLVED = """SELECT *, CASE WHEN confidence IN ('quarantined', 'unverified') THEN 'clarification_required' ELSE by_rule END AS status, CASE WHEN by_rule = 'clarification_required' THEN [why] ELSE [why, 'CATALOG_ENTRY_' || upper(confidence) || CASE WHEN confidence IN ('quarantined', 'unverified') THEN '_BLOCKED' ELSE '' END] END AS own_reasons,
+  CASE WHEN by_rule = 'clarification_required' THEN question END AS open_question"""
+SURE = "greatest(0, least(1, {0} + CASE WHEN same THEN 0.03 WHEN NOT same THEN -0.1 ELSE 0 END))"
+_IOS = f"""ask AS (SELECT *, screen IN (SELECT screen FROM known) AS seen FROM sig WHERE platform = 'ios' AND NOT emulated AND type <> 'watch'),
+asks AS (SELECT DISTINCT kind, version, r, v, CASE WHEN seen THEN screen END AS screen FROM ask), fit AS (SELECT *, {_N('low')} AS lo, {_N('high')} AS hi FROM catalog WHERE platform = 'ios' AND active),
+inside AS (SELECT DISTINCT a.kind, a.version, f.id, f.screen FROM (SELECT DISTINCT kind, version, v FROM asks WHERE version IS NOT NULL) a JOIN fit f ON f.type = a.kind AND coalesce(f.lo <= a.v, true) AND coalesce(a.v <= f.hi, true)),
+of_screen AS (SELECT a.*, k.id, i.id IS NOT NULL AS two FROM asks a JOIN known k ON k.screen = a.screen LEFT JOIN inside i ON i.kind = a.kind AND i.version = a.version AND i.id = k.id),
+chosen AS (SELECT o.kind, o.version, o.r, o.v, o.screen, o.id FROM (SELECT *, bool_or(two) OVER (PARTITION BY kind, version, r, screen) AS any_two FROM of_screen) o JOIN fit f ON f.id = o.id AND f.type = o.kind WHERE two = any_two
+  UNION ALL SELECT a.kind, a.version, a.r, a.v, a.screen, i.id FROM asks a JOIN inside i ON i.kind = a.kind AND i.version = a.version WHERE a.screen IS NULL),
+judged AS ({RESOLVED} FROM (SELECT c.kind, c.version, c.r, c.v, c.screen AS asked_screen, d.* EXCLUDE (type, platform, screen), {BY_RULE} AS by_rule, {WHY} AS why FROM chosen c JOIN catalog d ON d.id = c.id)),
+flat AS (SELECT kind, version, r, asked_screen, id, unnest(own_reasons) AS code, generate_subscripts(own_reasons, 1) AS place FROM judged), firsts AS (SELECT kind, version, r, asked_screen, code, min((id, place)) AS spot FROM flat GROUP BY ALL), own_codes AS (SELECT kind, version, r, asked_screen, list(code ORDER BY spot) AS codes FROM firsts GROUP BY ALL),
+groups AS (SELECT kind, version, r, asked_screen, count(*) AS n, min(status) AS lo, max(status) AS hi, min(id) AS first_id, max(id) AS last_id, CASE WHEN bool_and(coalesce(k = 1 AND question IS NOT NULL, false)) AND min(question) = max(question) THEN min(question) END AS shared FROM judged GROUP BY ALL)"""
+DETECT = f"""{DEVICES}, {CATALOG}, {PARTS}, known AS (SELECT screen, id FROM catalog WHERE platform = 'ios' AND confidence <> 'quarantined'),
+sig AS (SELECT * REPLACE ({MODEL} AS model), {DEVICE_TYPE} AS type, {GUESS} AS ambiguous, {EMULATED_SQL} AS emulated, upper(trim({REGION})) AS r, {_N('version')} AS v, {SCREEN} AS screen, CASE WHEN {DEVICE_TYPE} = 'tablet' THEN 'tablet' ELSE 'phone' END AS kind FROM parts),
+codes AS (SELECT code AS key, min(id) AS id FROM catalog GROUP BY 1 HAVING min(id) = max(id)), aliases AS (SELECT key, min(id) AS id FROM (SELECT lower(name) AS key, id FROM catalog UNION SELECT lower(alias), id FROM catalog) GROUP BY 1 HAVING min(id) = max(id)),
+droid AS (SELECT s.* REPLACE (CASE WHEN upper(trim(model)) <> 'K' THEN trim(model) END AS model) FROM sig s WHERE platform IN ('android', 'harmonyos') AND NOT emulated),
+found AS (SELECT s.*, coalesce(a.id, b.id) AS by_model, CASE WHEN coalesce(a.id, b.id) IS NULL THEN coalesce(c.id, e.id) END AS by_legacy FROM droid s LEFT JOIN codes a ON a.key = upper(s.model) LEFT JOIN aliases b ON b.key = regexp_replace(lower(s.model), '\\s+', ' ', 'g') LEFT JOIN codes c ON c.key = upper(s.legacy) LEFT JOIN aliases e ON e.key = lower(s.legacy)),
+android AS ({RESOLVED}, {SURE.format("CASE WHEN by_model IS NOT NULL THEN 0.95 ELSE 0.85 END")} AS sure FROM (SELECT f.* , d.id, d.support, d.confidence, d.k, d.question, d.type AS own_type, {BY_RULE} AS by_rule, {WHY} AS why FROM found f LEFT JOIN catalog d ON d.id = coalesce(by_model, by_legacy))),
+{_IOS},
+ios AS (SELECT a.*, g.*  EXCLUDE (kind, version, r), o.codes, coalesce(lo = hi AND lo <> 'clarification_required', false) AS agree FROM ask a LEFT JOIN groups g ON g.kind = a.kind AND g.version IS NOT DISTINCT FROM a.version AND g.r IS NOT DISTINCT FROM a.r AND g.asked_screen IS NOT DISTINCT FROM CASE WHEN a.seen THEN a.screen END
+  LEFT JOIN own_codes o ON o.kind = g.kind AND o.version IS NOT DISTINCT FROM g.version AND o.r IS NOT DISTINCT FROM g.r AND o.asked_screen IS NOT DISTINCT FROM g.asked_screen),
+ios_sure AS (SELECT *, {SURE.format("CASE WHEN NOT agree THEN 0.4 WHEN version IS NOT NULL AND coalesce(seen, false) THEN 0.92 ELSE 0.85 END")} AS sure FROM ios),
+headers AS (SELECT event_id, CASE WHEN same THEN 'SIGNAL_HEADERS_CONSISTENT' WHEN NOT same THEN 'SIGNAL_HEADERS_INCONSISTENT' END AS h FROM sig),
+answers AS (
+  SELECT event_id, platform, coalesce(own_type, type) AS type, CASE WHEN by_model IS NOT NULL THEN 'model' WHEN by_legacy IS NOT NULL THEN 'legacy' ELSE 'unknown' END AS method, CASE WHEN id IS NULL OR sure < 0.8 THEN 'clarification_required' ELSE status END AS status, CASE WHEN id IS NULL THEN 0 ELSE sure END AS confidence, id IS NOT NULL AS exact, CAST(id AS VARCHAR) AS device, 0 AS n_candidates, NULL AS first_candidate,
+    list_filter(list_concat(['PLATFORM_DETECTED', CASE WHEN model IS NULL THEN 'UA_CH_MODEL_MISSING_OR_GENERIC' ELSE 'UA_CH_MODEL_RECEIVED' END, CASE WHEN by_model IS NOT NULL THEN 'CATALOG_EXACT_MATCH' WHEN model IS NOT NULL THEN 'CATALOG_MODEL_CODE_UNKNOWN' END, CASE WHEN by_model IS NULL AND legacy IS NOT NULL THEN 'LEGACY_UA_MODEL_PARSED' END, CASE WHEN by_legacy IS NOT NULL THEN 'CATALOG_EXACT_MATCH' WHEN by_model IS NULL AND legacy IS NOT NULL THEN 'CATALOG_MODEL_CODE_UNKNOWN' END, CASE WHEN id IS NOT NULL THEN h END],
+      CASE WHEN id IS NULL THEN [] ELSE own_reasons END, [CASE WHEN id IS NOT NULL AND status <> 'clarification_required' AND sure < 0.8 THEN 'CONFIDENCE_BELOW_THRESHOLD' END]), lambda x: x IS NOT NULL) AS reasons,
+    CASE WHEN id IS NULL THEN 'manual_input' WHEN open_question IS NOT NULL THEN 'answer_question' WHEN sure < 0.8 OR status = 'clarification_required' THEN 'check_on_device' END AS kind, CASE WHEN id IS NULL THEN CASE WHEN type = 'watch' THEN 'watch' WHEN ambiguous THEN 'phone or tablet' WHEN type = 'tablet' THEN 'unknown tablet' ELSE 'unknown device' END WHEN open_question IS NOT NULL THEN open_question WHEN sure < 0.8 OR status = 'clarification_required' THEN 'unconfirmed data' END AS question,
+    CASE WHEN id IS NOT NULL AND open_question IS NOT NULL THEN 2 END AS n_options, CASE WHEN id IS NULL THEN list_filter([model, legacy], lambda x: x IS NOT NULL) ELSE [] END AS unknown_codes, NULL AS unknown_screen FROM android JOIN headers USING (event_id)
+  UNION ALL SELECT event_id, platform, kind, 'version and screen', CASE WHEN agree AND sure >= 0.8 THEN lo ELSE 'clarification_required' END, sure, agree AND n = 1, CASE WHEN agree AND n = 1 THEN CAST(first_id AS VARCHAR) END, CASE WHEN agree AND sure >= 0.8 THEN 0 ELSE coalesce(n, 0) END, CASE WHEN agree AND sure >= 0.8 THEN NULL ELSE CAST(first_id AS VARCHAR) END,
+    list_filter(list_concat(['PLATFORM_DETECTED', CASE WHEN version IS NOT NULL THEN 'IOS_VERSION_IMPLIES_MIN_MODEL' END, CASE WHEN seen THEN 'SCREEN_SIGNATURE_MATCHED' ELSE 'SCREEN_SIGNATURE_UNKNOWN' END, h, CASE WHEN agree THEN 'CANDIDATES_AGREE_ON_ESIM' WHEN lo = hi THEN 'CANDIDATES_AGREE_ON_CLARIFICATION' ELSE 'CANDIDATES_DISAGREE_ON_ESIM' END], CASE WHEN agree THEN codes ELSE [] END, [CASE WHEN agree AND sure < 0.8 THEN 'CONFIDENCE_BELOW_THRESHOLD' END]), lambda x: x IS NOT NULL),
+    CASE WHEN agree AND sure >= 0.8 THEN NULL WHEN n IS NULL THEN 'manual_input' WHEN shared IS NOT NULL THEN 'answer_question' ELSE 'choose_candidate' END, CASE WHEN agree AND sure >= 0.8 THEN NULL WHEN n IS NULL THEN 'unknown device' WHEN shared IS NOT NULL THEN shared ELSE 'which model' END, CASE WHEN agree AND sure >= 0.8 OR n IS NULL THEN NULL WHEN shared IS NOT NULL THEN 2 ELSE n + 1 END, [], CASE WHEN NOT coalesce(seen, false) THEN screen END FROM ios_sure JOIN headers USING (event_id)
+  UNION ALL SELECT event_id, platform, type, 'unknown', 'clarification_required', 0, false, NULL, 0, NULL, list_filter([CASE WHEN emulated OR platform <> 'other' THEN 'PLATFORM_DETECTED' WHEN agent IS NOT NULL OR hint IS NOT NULL OR model IS NOT NULL THEN 'PLATFORM_NOT_MOBILE' ELSE 'NO_SIGNALS' END, CASE WHEN emulated THEN 'EMULATION_SUSPECTED' END], lambda x: x IS NOT NULL), 'manual_input',
+    CASE WHEN emulated THEN 'unconfirmed signals' WHEN type = 'watch' THEN 'watch' WHEN ambiguous THEN 'computer or tablet' ELSE 'no mobile device' END, NULL, [], NULL FROM sig WHERE emulated OR platform = 'other' OR (platform = 'ios' AND type = 'watch'))"""
+
+
+def _answers(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.col
+    s = signals(spark, sf).withColumn("model", F.expr(MODEL))
+    t = rules.device_type(c("agent"), c("platform"), c("mobile"), c("width"), c("height"), c("touch"), F.expr(FIELDS["model"]))
+    told = c("agent").isNotNull() | c("hint").isNotNull() | c("model").isNotNull()
+    s = s.select("event_id", "platform", t["type"].alias("type"), t["ambiguous"].alias("ambiguous"), rules.emulated(c("platform"), c("touch"), c("gpu")).alias("emulated"), told.alias("told"), "version", "model", "legacy", "same", F.expr(REGION).alias("region"), F.expr(SCREEN).alias("screen"))
+    return detection.detect(s, catalog(spark, sf), screens(spark, sf), "event_id")
+
+
+@query(f"WITH {DETECT} SELECT event_id, platform, type, method, status, round(CAST(confidence AS DOUBLE), 6) AS confidence, exact, device, CAST(n_candidates AS INTEGER) AS n_candidates, first_candidate, array_to_string(reasons, '|') AS reasons, kind, question, CAST(n_options AS INTEGER) AS n_options FROM answers")
+def detect(spark, sf):
+    return _answers(spark, sf).select("event_id", "platform", "type", "method", "status", F.round("confidence", 6).alias("confidence"), "exact", "device", F.size("candidates").alias("n_candidates"), F.get("candidates", F.lit(0)).alias("first_candidate"), F.array_join("reasons", "|").alias("reasons"), "clarification.kind", "clarification.question", F.size("clarification.options").alias("n_options")).withColumn("n_options", F.when(F.col("n_options") >= 0, F.col("n_options")))
+
+
+@query(f"WITH {DETECT} SELECT code, count(*) AS occurrences, min(event_id) AS first_event, max(event_id) AS last_event FROM (SELECT unnest(unknown_codes) AS code, event_id FROM answers) GROUP BY 1")
+def unknown_codes(spark, sf):
+    return detection.unknown_codes(_answers(spark, sf), "event_id").groupBy("code").agg(F.count("*").alias("occurrences"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"))
+
+
+@query(f"WITH {DETECT} SELECT unknown_screen AS screen, count(*) AS occurrences, max(event_id) AS last_event FROM answers WHERE unknown_screen IS NOT NULL GROUP BY 1")
+def unknown_screens(spark, sf):
+    return detection.unknown_screens(_answers(spark, sf), "event_id").groupBy("screen").agg(F.count("*").alias("occurrences"), F.max("event_id").alias("last_event"))
+
+
+@query(f"""WITH {DEVICES}, {CATALOG}, c AS (SELECT *, CASE (id * 7) % 5 WHEN 0 THEN 'CN' WHEN 1 THEN 'TR' WHEN 2 THEN 'US' END AS r, CASE id % 3 WHEN 0 THEN 1200 WHEN 1 THEN 1700 END AS v, id // 6 AS g FROM catalog),
+j AS ({RESOLVED} FROM (SELECT *, {BY_RULE} AS by_rule, {WHY} AS why FROM c)), flat AS (SELECT g, id, unnest(own_reasons) AS code, generate_subscripts(own_reasons, 1) AS place FROM j), firsts AS (SELECT g, code, min((id, place)) AS spot FROM flat GROUP BY ALL), codes AS (SELECT g, string_agg(code, '|' ORDER BY spot) AS codes FROM firsts GROUP BY 1),
+n AS (SELECT g, count(*) AS n, min(status) AS lo, max(status) AS hi, CASE WHEN bool_and(coalesce(k = 1 AND question IS NOT NULL, false)) AND min(question) = max(question) THEN min(question) END AS question, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS members FROM j GROUP BY 1)
+SELECT g, n, CASE WHEN lo = hi THEN lo ELSE 'clarification_required' END AS status, lo = hi AND lo <> 'clarification_required' AND n = 1 AS exact, CASE WHEN lo = hi AND lo <> 'clarification_required' THEN 'CANDIDATES_AGREE_ON_ESIM' WHEN lo = hi THEN 'CANDIDATES_AGREE_ON_CLARIFICATION' ELSE 'CANDIDATES_DISAGREE_ON_ESIM' END AS code,
+  CASE WHEN lo = hi AND lo <> 'clarification_required' THEN codes ELSE '' END AS reasons, question, members FROM n JOIN codes USING (g)""")
+def group_resolve(spark, sf):
+    n = F.col("id")
+    region = F.when((n * 7) % 5 == 0, "CN").when((n * 7) % 5 == 1, "TR").when((n * 7) % 5 == 2, "US")
+    version = F.when(n % 3 == 0, "12.0").when(n % 3 == 1, "17.0.1")
+    c = catalog(spark, sf).withColumn("g", F.floor(n / 6)).withColumn("r", rules.device_resolution(F.col("support"), F.col("conditions"), F.col("confidence"), F.col("question"), region, version))
+    out = detection.group_resolution(c, ["g"], "id")
+    return out.select("g", "n", "status", "exact", "code", F.array_join("reasons", "|").alias("reasons"), "question.question", F.array_join(F.transform("members", lambda m: m["id"].cast("string")), ",").alias("members"))
+
+
+@query(f"""WITH {DEVICES}, {CATALOG}, v AS (SELECT DISTINCT (event_id % 31) || '.' || (user_id % 6) AS version FROM events), n AS (SELECT version, {_N('version')} AS x FROM v), f AS (SELECT id, {_N('low')} AS lo, {_N('high')} AS hi FROM catalog)
+SELECT version, count(*) AS n, min(id) AS first_id, sum(id)::BIGINT AS ids FROM n JOIN f ON coalesce(lo <= x, true) AND coalesce(x <= hi, true) GROUP BY 1""")
+def version_interval_join(spark, sf):
+    v = table(spark, sf, "events").select(F.concat_ws(".", (F.col("event_id") % 31).cast("string"), (F.col("user_id") % 6).cast("string")).alias("version")).distinct()
+    found = version_join(v, catalog(spark, sf).select("id", "low", "high"), "version", "low", "high")
+    return found.groupBy("version").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.sum("id").alias("ids"))
 
 
 @query(f"""WITH {DEVICES}, {CATALOG}, g AS (SELECT screen, CASE WHEN min(support) = max(support) THEN min(support) ELSE 'mixed' END AS consensus, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS candidates FROM catalog WHERE platform = 'ios' AND confidence <> 'quarantined' GROUP BY 1) SELECT * FROM g""")
@@ -159,19 +226,17 @@ def signature_table(spark, sf):
     return detection.signatures(c, "screen", "id", "support").withColumn("candidates", F.array_join("candidates", ","))
 
 
-@query(f"""WITH {DEVICES}, {CATALOG}, {PARTS}, codes AS (SELECT DISTINCT code FROM catalog) SELECT upper(trim(model)) AS key, count(*) AS occurrences, arg_max(event_id, event_id) AS last_event FROM parts
-WHERE platform IN ('android', 'harmonyos') AND model IS NOT NULL AND upper(trim(model)) NOT IN (SELECT code FROM codes) GROUP BY 1""")
-def unknown_codes(spark, sf):
-    s = signals(spark, sf).where(F.col("platform").isin("android", "harmonyos") & F.col("model").isNotNull()).select(F.upper(F.trim("model")).alias("key"), "event_id")
-    return s.join(catalog(spark, sf).select(F.col("code").alias("key")), "key", "left_anti").groupBy("key").agg(F.count("*").alias("occurrences"), F.max("event_id").alias("last_event"))
-
+#: Agents of embedded views and other browsers, and what client hints call browsers.
+BROWSED = "CASE event_id % 13 WHEN 0 THEN agent || '; wv)' WHEN 1 THEN agent || ' Firefox/120' WHEN 2 THEN agent || ' EdgA/1' WHEN 3 THEN agent || ' WebView' ELSE agent END"
+NAMED = "CASE event_id % 7 WHEN 0 THEN array('Not A Brand', 'Google Chrome') WHEN 1 THEN array('Opera') WHEN 2 THEN array('Microsoft Edge') END"
+GROUP = f"""CASE WHEN a LIKE '%; wv)%' OR a LIKE '%WebView%' THEN 'webview' WHEN {EMULATED_SQL} THEN 'devtools-emulation' WHEN platform = 'other' AND touch IS NULL AND a LIKE '%Macintosh%' THEN 'ambiguous-signature'
+  WHEN a LIKE '%iPad%' OR (a LIKE '%Macintosh%' AND coalesce(touch > 0, false)) OR (platform IN ('android', 'harmonyos') AND (coalesce(NOT mobile, false) OR (mobile IS NULL AND coalesce(width >= 600 AND height >= 600, false)))) THEN 'tablet' WHEN platform = 'ios' THEN 'iphone-generations'
+  WHEN platform IN ('android', 'harmonyos') AND model IS NOT NULL AND lower(trim(model)) <> 'k' THEN 'android-vendor-ua-ch' WHEN a LIKE '%Firefox%' OR a LIKE '%EdgA/%' OR event_id % 7 = 1 THEN 'non-standard-browser' WHEN platform IN ('android', 'harmonyos') THEN 'android-no-ua-ch' WHEN a IS NOT NULL THEN 'desktop-browser' ELSE 'ambiguous-signature' END"""
 
-GROUP = """CASE WHEN platform <> 'other' AND gpu IN ('Google SwiftShader', 'Mesa Lima') THEN 'emulation' WHEN platform = 'other' AND agent LIKE '%Macintosh%' THEN 'ambiguous-mac' WHEN type = 'tablet' THEN 'tablet' WHEN platform = 'ios' THEN 'ios' WHEN platform IN ('android', 'harmonyos') THEN CASE WHEN model IS NOT NULL THEN 'android-ua-ch' ELSE 'android-no-ua-ch' END
-  WHEN regexp_matches(agent, 'Windows|X11') THEN 'desktop' ELSE 'ambiguous' END"""
 
-
-@query(f"WITH {PARTS}, t AS (SELECT *, {DEVICE_TYPE} AS type FROM parts) SELECT {GROUP} AS category, count(*) AS n, min(event_id) AS first_event FROM t GROUP BY 1")
+@query(f"WITH {PARTS}, t AS (SELECT * REPLACE ({MODEL} AS model), {BROWSED} AS a FROM parts) SELECT {GROUP} AS category, count(*) AS n, min(event_id) AS first_event, sum(event_id)::BIGINT AS events FROM t GROUP BY 1")
 def golden_category(spark, sf):
     c = F.col
-    kind = rules.device_type(c("agent"), c("platform"), c("mobile"), c("width"), c("height"), c("touch"), c("model"))["type"]
-    return signals(spark, sf).withColumn("type", kind).groupBy(detection.category(c("platform"), c("agent"), c("gpu").isin("Google SwiftShader", "Mesa Lima"), c("type"), c("model")).alias("category")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
+    s = signals(spark, sf).withColumns({"model": F.expr(MODEL), "agent": F.expr(BROWSED), "brands": F.expr(NAMED)})
+    group = detection.category(c("platform"), c("agent"), c("touch"), c("gpu"), c("mobile"), c("width"), c("height"), c("model"), c("brands"))
+    return s.groupBy(group.alias("category")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"), F.sum("event_id").alias("events"))
