@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import rules
-from quern.operators.catalogue import top_k
+from quern.operators.catalogue import checkpointed, top_k
 
 # What a task of each kind may be closed with, besides rejection.
 TRANSITIONS = {
@@ -29,19 +29,48 @@ def page(rows: DataFrame, order: Sequence[Column], number: int, size: int) -> Da
 
 
 def nearest_screens(asked: DataFrame, screens: DataFrame, key: str, k: int) -> DataFrame:
-    """The k screens (w, h, dpr) nearest to each asked one: by width, height and a hundred times the pixel ratio.
+    """The k screens (w, h, dpr) nearest to each asked one: by width, height and a hundred times the pixel ratio; ties by w, h, dpr.
 
-    Screens are the different geometries of a catalogue, which Spark sends to the asked ones while they are few.
+    Screens lie in square cells, of about k each at first. An asked geometry meets those of its cell and the eight around it. What
+    lies further is further away than those cells' edge, so where the k-th best is nearer the answer is final; the
+    rest go on with cells twice as large, until these hold all screens. Equal geometries are asked once. Rows with a null are left out.
     """
-    own = screens.withColumnsRenamed({"w": "_w", "h": "_h", "dpr": "_d"})
-    distance = F.abs(F.col("_w") - F.col("w")) + F.abs(F.col("_h") - F.col("h")) + F.abs(F.col("_d") - F.col("dpr")) * 100
-    pairs = asked.join(own, F.col("_w").isNotNull() & F.col("_h").isNotNull()).select(key, F.col("_w").alias("w"), F.col("_h").alias("h"), F.col("_d").alias("dpr"), distance.alias("distance"))
-    return top_k(pairs, [key], [F.asc("distance"), F.asc("w"), F.asc("h"), F.asc("dpr")], k)
-
-
-def merged_patch(old: Column, new: Column, fields: Sequence[str]) -> Column:
-    """Fields of the new patch over those of the old one."""
-    return F.struct(*[F.coalesce(new[f], old[f]).alias(f) for f in fields])
+    numbers = ["w", "h", "dpr"]
+    own = checkpointed(screens.select(*[F.col(c).alias(f"_{c}") for c in numbers]).dropna().distinct())
+    area = own.agg(F.count("*").alias("n"), *[f(c).alias(f"{n}{c}") for c in ("_w", "_h") for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
+    different = checkpointed(asked.select(*numbers).dropna().distinct())
+    none = different.select(*[F.col(c).alias(f"a_{c}") for c in numbers], *[F.col(c) for c in numbers], F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).where("false")
+    found, open_ = none, different
+    if area["n"]:
+        width, height = area["hi_w"] - area["lo_w"], area["hi_h"] - area["lo_h"]
+        cell = max(1.0, float(width * height * k / area["n"]) ** 0.5)
+        while True:
+            floor = lambda c, cell=cell: F.floor(F.col(c) / cell)
+            around = F.explode(F.array(*[F.struct((floor("w") + x).alias("cw"), (floor("h") + y).alias("ch")) for x in (-1, 0, 1) for y in (-1, 0, 1)])).alias("c")
+            distance = F.abs(F.col("_w") - F.col("w")) + F.abs(F.col("_h") - F.col("h")) + F.abs(F.col("_dpr") - F.col("dpr")) * 100
+            cells = own.withColumns({"cw": floor("_w"), "ch": floor("_h")})
+            met = open_.select(*numbers, around).select(*numbers, "c.*").join(cells, ["cw", "ch"]).withColumn("distance", distance)
+            best = top_k(met, numbers, [F.asc("distance"), F.asc("_w"), F.asc("_h"), F.asc("_dpr")], k)
+            # The nearest place outside of the nine cells, and whether nothing lies there.
+            edge = F.least(*[x for c in ("w", "h") for x in (F.col(c) - (floor(c) - 1) * cell, (floor(c) + 2) * cell - F.col(c))])
+            whole = F.lit(True)
+            for c in ("w", "h"):
+                whole = whole & ((floor(c) - 1) * cell <= area[f"lo_{c}"]) & ((floor(c) + 2) * cell > area[f"hi_{c}"])
+            worst = best.groupBy(*numbers).agg(F.count("*").alias("_n"), F.max("distance").alias("_worst"))
+            state = checkpointed(open_.join(worst, numbers, "left").select(*numbers, (whole | ((F.col("_n") == k) & (F.col("_worst") < edge))).alias("_done")))
+            final = best.join(state.where("_done").select(*numbers), numbers, "left_semi")
+            found = found.unionByName(checkpointed(final.select(*[F.col(c).alias(f"a_{c}") for c in numbers], *[F.col(f"_{c}").alias(c) for c in numbers], F.col("distance").cast("double").alias("distance"), "rank")))
+            open_ = state.where("not coalesce(_done, false)").select(*numbers)
+            if open_.isEmpty():
+                break
+            cell *= 2
+    same = [F.col(f"_own_{c}") == F.col(f"a_{c}") for c in numbers]
+    return asked.select(F.col(key), *[F.col(c).alias(f"_own_{c}") for c in numbers]).join(found, same).select(key, *numbers, "distance", "rank")
+
+
+def merged_patch(old: Column, new: Column, set_: Column, fields: Sequence[str]) -> Column:
+    """The fields that set_ (an array of names) names from the new patch, null ones too, the others from the old."""
+    return F.struct(*[F.when(F.coalesce(F.array_contains(set_, f), F.lit(False)), new[f]).otherwise(old[f]).alias(f) for f in fields])
 
 
 def with_source(sources: Column, confidence: Column, url: Column) -> tuple[Column, Column]:
@@ -50,6 +79,11 @@ def with_source(sources: Column, confidence: Column, url: Column) -> tuple[Colum
     return more, F.when(url.isNotNull(), "verified").otherwise(confidence)
 
 
+def patch_fault(sources: Column, confidence: Column) -> Column:
+    """VALIDATION_ERROR where what a patch leads to is verified without a source, else null."""
+    return F.when((confidence == "verified") & (F.coalesce(F.size(sources), F.lit(0)) <= 0), "VALIDATION_ERROR")
+
+
 def device_from_form(forms: DataFrame) -> DataFrame:
     """Devices as a moderator enters them; code is VALIDATION_ERROR, and the rest of no use, where a supported one has no source.
 
@@ -97,6 +131,16 @@ def evaluated(rows: DataFrame, category: str) -> DataFrame:
     return out.withColumn(category, F.coalesce(category, F.lit("total")))
 
 
+def detection_evaluated(rows: DataFrame, category: str) -> DataFrame:
+    """Counts by category and in total of rows that compare given and expected status, platform, type, exact and device."""
+    same = lambda c: F.col(f"given_{c}").eqNullSafe(F.col(f"expected_{c}"))
+    right = same("status") & same("platform") & same("type") & same("exact") & (~F.col("expected_exact") | same("device"))
+    automatic, wants = F.col("given_status") != rules.ASK, F.col("expected_status") != rules.ASK
+    n = lambda c, name: F.count_if(c).alias(name)
+    out = rows.rollup(category).agg(F.count("*").alias("total"), n(right, "correct"), n(automatic & ~same("status"), "false_positive"), n(~wants & ~automatic, "correct_clarifications"), n(wants & ~automatic, "excess_clarifications"), n(automatic, "automatic"))
+    return out.where("total > 0").withColumn(category, F.coalesce(category, F.lit("total")))
+
+
 def retained(rows: DataFrame, time: str, now: Column, days: int, shorter: Mapping[str, int], kind: str) -> DataFrame:
     """Rows of the last `days`; those of a kind in `shorter` only of so many. A null kind has the full time."""
     own = F.coalesce(*[F.when(F.col(kind) == k, n) for k, n in shorter.items()], F.lit(days))

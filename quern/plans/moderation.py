@@ -36,18 +36,34 @@ def geometry_topk(spark, sf):
     return moderation.nearest_screens(asked, screens, "s_suppkey", 5)
 
 
-@query(f"""WITH {DEVICES}, p AS (SELECT id, support, confidence, CASE WHEN id % 4 = 0 THEN 'supported' END AS old_support, CASE WHEN id % 5 = 0 THEN 'note ' || id END AS old_note, CASE WHEN id % 3 = 0 THEN 'not_supported' END AS new_support, CASE WHEN id % 7 < 3 THEN 'u' || (id % 2) END AS url, CASE WHEN id % 6 > 0 THEN ['u0'] ELSE [] END AS urls FROM devices)
-SELECT id, coalesce(new_support, old_support, support) AS support, old_note AS note, array_to_string(CASE WHEN url IS NULL OR list_contains(urls, url) THEN urls ELSE list_append(urls, url) END, '|') AS sources, CASE WHEN url IS NOT NULL THEN 'verified' ELSE confidence END AS confidence FROM p""")
+@query(f"""WITH {DEVICES}, p AS (SELECT id, support, confidence, CASE WHEN id % 4 = 0 THEN 'supported' END AS old_support, CASE WHEN id % 5 = 0 THEN 'note ' || id END AS old_note, CASE WHEN id % 3 = 0 THEN 'not_supported' END AS new_support, id % 6 = 0 AS sets_note, CASE WHEN id % 12 = 0 THEN 'new' END AS new_note, CASE WHEN id % 7 < 3 THEN 'u' || (id % 2) END AS url, CASE WHEN id % 6 > 0 THEN ['u0'] ELSE [] END AS urls FROM devices),
+m AS (SELECT id, coalesce(CASE WHEN id % 3 = 0 THEN new_support ELSE old_support END, support) AS support, CASE WHEN sets_note THEN new_note ELSE old_note END AS note, CASE WHEN url IS NULL OR list_contains(urls, url) THEN urls ELSE list_append(urls, url) END AS sources, CASE WHEN url IS NOT NULL THEN 'verified' ELSE confidence END AS confidence FROM p)
+SELECT id, support, note, array_to_string(sources, '|') AS sources, confidence, CASE WHEN confidence = 'verified' AND len(sources) = 0 THEN 'VALIDATION_ERROR' END AS fault FROM m""")
 def patch_merge(spark, sf):
     n = F.col("id")
     d = devices(spark, sf).select("id", "support", "confidence", F.when(n % 6 > 0, F.array(F.lit("u0"))).otherwise(F.array().cast("array<string>")).alias("sources"))
     esim = lambda s, t: F.struct(s.alias("support"), t.alias("note"))
-    none = F.lit(None).cast("string")
-    old, new = esim(F.when(n % 4 == 0, "supported"), F.when(n % 5 == 0, F.concat(F.lit("note "), n.cast("string")))), esim(F.when(n % 3 == 0, "not_supported"), none)
-    merged = moderation.merged_patch(old, new, ["support", "note"])
+    old = esim(F.when(n % 4 == 0, "supported"), F.when(n % 5 == 0, F.concat(F.lit("note "), n.cast("string"))))
+    new = esim(F.when(n % 3 == 0, "not_supported"), F.when(n % 12 == 0, "new"))
+    named = F.filter(F.array(F.when(n % 3 == 0, "support"), F.when(n % 6 == 0, "note")), lambda x: x.isNotNull())
+    merged = moderation.merged_patch(old, new, named, ["support", "note"])
     url = F.when(n % 7 < 3, F.concat(F.lit("u"), (n % 2).cast("string")))
     sources, sure = moderation.with_source(F.col("sources"), F.col("confidence"), url)
-    return d.select("id", F.coalesce(merged["support"], "support").alias("support"), merged["note"].alias("note"), F.array_join(sources, "|").alias("sources"), sure.alias("confidence"))
+    out = d.select("id", F.coalesce(merged["support"], "support").alias("support"), merged["note"].alias("note"), sources.alias("sources"), sure.alias("confidence"))
+    return out.withColumn("fault", moderation.patch_fault(F.col("sources"), F.col("confidence"))).withColumn("sources", F.array_join("sources", "|"))
+
+
+@query("""WITH e AS (SELECT event_type AS category, CASE event_id % 3 WHEN 0 THEN 'supported' WHEN 1 THEN 'clarification_required' ELSE 'not_supported' END AS es, CASE user_id % 4 WHEN 0 THEN 'not_supported' WHEN 1 THEN 'clarification_required' ELSE 'supported' END AS gs, event_id % 5 = 0 AS ex, user_id % 5 = 0 OR event_id % 10 = 0 AS gx, CASE WHEN event_id % 2 = 0 THEN 'ios' ELSE 'android' END AS ep, CASE WHEN event_id % 14 < 12 THEN CASE WHEN event_id % 2 = 0 THEN 'ios' ELSE 'android' END ELSE 'other' END AS gp, event_id % 3 AS ed, user_id % 3 AS gd FROM events),
+r AS (SELECT *, es = gs AND ep = gp AND ex = gx AND (NOT ex OR ed = gd) AS ok FROM e)
+SELECT coalesce(category, 'total') AS category, count(*) AS total, CAST(count_if(ok) AS BIGINT) AS correct, CAST(count_if(gs <> 'clarification_required' AND gs <> es) AS BIGINT) AS false_positive, CAST(count_if(es = 'clarification_required' AND gs = es) AS BIGINT) AS correct_clarifications, CAST(count_if(es <> 'clarification_required' AND gs = 'clarification_required') AS BIGINT) AS excess_clarifications, CAST(count_if(gs <> 'clarification_required') AS BIGINT) AS automatic FROM r GROUP BY ROLLUP (category)""")
+def detection_eval(spark, sf):
+    n, u = F.col("event_id"), F.col("user_id")
+    phone = F.when(n % 2 == 0, "ios").otherwise("android")
+    e = table(spark, sf, "events").select(
+        F.col("event_type").alias("category"), F.when(n % 3 == 0, "supported").when(n % 3 == 1, rules.ASK).otherwise("not_supported").alias("expected_status"), F.when(u % 4 == 0, "not_supported").when(u % 4 == 1, rules.ASK).otherwise("supported").alias("given_status"), (n % 5 == 0).alias("expected_exact"), ((u % 5 == 0) | (n % 10 == 0)).alias("given_exact"),
+        phone.alias("expected_platform"), F.when(n % 14 < 12, phone).otherwise("other").alias("given_platform"), F.lit("phone").alias("expected_type"), F.lit("phone").alias("given_type"), (n % 3).alias("expected_device"), (u % 3).alias("given_device"),
+    )
+    return moderation.detection_evaluated(e, "category")
 
 
 EVAL = """e AS (SELECT event_id, event_type AS category, CASE event_id % 4 WHEN 0 THEN 'match' WHEN 1 THEN 'clarification' WHEN 2 THEN 'not_found' ELSE 'match' END AS expected, CASE WHEN event_id % 4 = 0 THEN user_id % 5 END AS expected_id,
