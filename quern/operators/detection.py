@@ -46,13 +46,15 @@ def group_resolution(rows: DataFrame, group: Sequence[str], order: str) -> DataF
     return told.select(*group, "n", F.when(agree, F.col("lo")).otherwise(rules.ASK).alias("status"), (agree & (F.col("n") == 1)).alias("exact"), code.alias("code"), reasons.alias("reasons"), F.when(shared, F.col("q")).alias("question"), members.alias("members"))
 
 
-def _ask(kind: str | Column, question: str | Column, options: Column | None = None) -> Column:
+def ask_for(kind: str | Column, question: str | Column, options: Column | None = None) -> Column:
+    """A question to the user: kind, question, options (id, label)."""
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
     return F.struct(lit(kind).alias("kind"), lit(question).alias("question"), (F.lit(None) if options is None else options).cast(OPTIONS).alias("options"))
 
 
-def _answer(question: Column) -> Column:
-    return _ask("answer_question", question["question"], F.transform(question["options"], lambda o: F.struct(o["value"].alias("id"), o["label"].alias("label"))))
+def answer_of(question: Column) -> Column:
+    """A device's own question, to be answered."""
+    return ask_for("answer_question", question["question"], F.transform(question["options"], lambda o: F.struct(o["value"].alias("id"), o["label"].alias("label"))))
 
 
 def _codes(*parts: Column) -> Column:
@@ -78,7 +80,7 @@ def others(signals: DataFrame, key: str) -> DataFrame:
     base = F.when(F.col("told"), "PLATFORM_NOT_MOBILE").otherwise("NO_SIGNALS")
     reasons = _codes(F.when(F.col("emulated") | ~other, "PLATFORM_DETECTED").otherwise(base), F.when(F.col("emulated"), "EMULATION_SUSPECTED"))
     text = F.when(F.col("emulated"), "unconfirmed signals").when(watch, "watch").when(F.col("ambiguous"), "computer or tablet").otherwise("no mobile device")
-    return _open(signals, key, reasons, _ask("manual_input", text))
+    return _open(signals, key, reasons, ask_for("manual_input", text))
 
 
 def android(signals: DataFrame, catalog: DataFrame, key: str, least: float = 0.8, derived: bool = True, unverified: bool = False) -> DataFrame:
@@ -110,7 +112,7 @@ def android(signals: DataFrame, catalog: DataFrame, key: str, least: float = 0.8
     nothing = F.array().cast("array<string>")
     reasons = F.concat(first, F.when(known, F.col("r.reasons")).otherwise(nothing), _codes(low))
     text = F.when(F.col("type") == "watch", "watch").when(F.col("ambiguous"), "phone or tablet").when(F.col("type") == "tablet", "unknown tablet").otherwise("unknown device")
-    clarification = F.when(~known, _ask("manual_input", text)).when(F.col("r.question").isNotNull(), _answer(F.col("r.question"))).when(status == rules.ASK, _ask("check_on_device", "unconfirmed data"))
+    clarification = F.when(~known, ask_for("manual_input", text)).when(F.col("r.question").isNotNull(), answer_of(F.col("r.question"))).when(status == rules.ASK, ask_for("check_on_device", "unconfirmed data"))
     unknown = F.when(~known, _codes(F.col("_model"), F.col("_legacy"))).otherwise(nothing)
     method = F.when(F.col("_by_model").isNotNull(), "model").when(F.col("_by_legacy").isNotNull(), "legacy").otherwise("unknown")
     return j.select(
@@ -155,7 +157,7 @@ def ios(signals: DataFrame, catalog: DataFrame, screens: DataFrame, key: str, le
     reasons = F.concat(first, F.coalesce("_g_reasons", nothing), _codes(F.when(agree & (sure < least), "CONFIDENCE_BELOW_THRESHOLD")))
     ids = F.transform("_g_members", lambda m: m["id"].cast("string"))
     choose = F.concat(F.transform("_g_members", lambda m: F.struct(m["id"].cast("string").alias("id"), m["name"].alias("label"))), F.array(F.struct(F.lit("__other__").alias("id"), F.lit("another model").alias("label"))))
-    asks = F.when(F.col("_g_n").isNull(), _ask("manual_input", "unknown device")).when(F.col("_g_question").isNotNull(), _answer(F.col("_g_question"))).otherwise(_ask("choose_candidate", "which model", choose))
+    asks = F.when(F.col("_g_n").isNull(), ask_for("manual_input", "unknown device")).when(F.col("_g_question").isNotNull(), answer_of(F.col("_g_question"))).otherwise(ask_for("choose_candidate", "which model", choose))
     return j.select(
         key, "platform", "type", F.lit("version and screen").alias("method"), status.alias("status"), sure.alias("confidence"), F.col("_single").alias("exact"), F.when(F.col("_single"), F.get(ids, F.lit(0))).alias("device"), F.when(status == rules.ASK, F.coalesce(ids, nothing)).otherwise(nothing).alias("candidates"),
         reasons.alias("reasons"), F.when(status == rules.ASK, asks).alias("clarification"), nothing.alias("unknown_codes"), F.when(F.col("_screen").isNull(), F.col("screen")).alias("unknown_screen"),

@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.functions import matching, text
+from quern.functions import matching, rules, text
 from quern.functions.query import Dictionary, normalised
 from quern.operators.catalogue import checkpointed, decide, shared_trigrams, top_k, unique_keys
+from quern.operators.detection import answer_of, ask_for, group_resolution
 
 
 def asked(rows: DataFrame, query: str, raw: str, dictionary: Dictionary) -> DataFrame:
@@ -185,6 +186,58 @@ def search(queries: DataFrame, catalog: DataFrame, known: Sequence[str] = (), su
     return keys.join(out.withColumnRenamed("query", "_key"), "_key").select("query", "leader", "score", "lead", "outcome", "status")
 
 
+def respond(queries: DataFrame, catalog: DataFrame, known: Sequence[str] = (), sure: float = 0.8, gap: float = 0.08, shown: int = 5, derived: bool = True, unverified: bool = False, least: int = 1, k: int | None = None) -> DataFrame:
+    """One answer per query: status, confidence, device, matches, reasons, clarification and task.
+
+    queries may have a region. catalog has support, conditions, confidence and question instead of a status: a device's status
+    follows from them and the region. A single device, by its lead or as the only near one, answers with its own status. Several near ones that
+    have one status answer as a group, without a device. Else the first `shown` of the near ones (of all, where the
+    leader isn't sure) are matches to choose from. reasons: retrieval, decision, and rules, in this order. task:
+    unmatched_query or ambiguous_query, for moderation; matches are the latter's candidates.
+    """
+    region = F.col("region") if "region" in queries.columns else F.lit(None).cast("string")
+    asked_ = queries.withColumn("_region", F.upper(F.trim(region)))
+    key = F.md5(F.to_json(F.struct("q", "code", "words", "_region")))
+    keyed = asked_.withColumn("_key", key)
+    each = keyed.groupBy("_key").agg(*[F.first(c).alias(c) for c in ("q", "code", "words", "_region")]).withColumnRenamed("_key", "query")
+    facts = catalog.select("id", "name", "support", "conditions", "confidence", "question")
+    found = ranked(each.drop("_region"), catalog.withColumn("status", F.lit(None).cast("string")), known, least, k).drop("status")
+    found = found.join(each.select("query", "_region"), "query").join(facts, "id")
+    none = F.lit(None).cast("string")
+    scored = checkpointed(found.withColumn("r", rules.device_resolution(F.col("support"), F.col("conditions"), F.col("confidence"), F.col("question"), F.col("_region"), none, derived, unverified)).withColumn("_status", F.col("r.status")))
+    narrower = matching.narrower(F.col("q"), F.col("d"), F.col("code"))
+    decided = decide(scored, "query", "id", "score", sure, gap, [F.desc("popularity")], "_status", F.size("q.unparsed") == 0, narrower, each)
+    decided = decided.withColumnRenamed("score", "_top")
+    first = top_k(scored, ["query"], [F.desc("score"), F.desc("popularity"), F.asc("id")], shown).join(decided.select("query", "_top", "lead", "outcome"), "query")
+    apart = (F.col("_top") >= sure) & (F.col("lead") >= gap)
+    near = F.when(apart, F.col("rank") == 1).when(F.col("_top") >= sure, F.col("_top") - F.col("score") < gap).otherwise(True)
+    first = first.where(near)
+    groups = group_resolution(first, ["query"], "rank")
+    groups = groups.withColumnsRenamed({c: f"_g_{c}" for c in groups.columns if c != "query"})
+    match = F.struct("rank", F.col("id").alias("id"), F.col("name").alias("name"), F.col("score").alias("score"))
+    lists = first.groupBy("query").agg(F.array_sort(F.collect_list(match)).alias("_m"), F.max(F.when(F.col("rank") == 1, F.struct("r", "reason"))).alias("_leader"))
+    j = each.select("query").join(decided, "query").join(lists, "query", "left").join(groups, "query", "left")
+    single = (F.col("outcome") == "DETERMINED") | ((F.col("outcome") == "RESOLVED_BY_EQUIVALENCE") & (F.size("_m") == 1))
+    group = (F.col("outcome") == "RESOLVED_BY_EQUIVALENCE") & ~single
+    missed = F.col("outcome") == "NOT_FOUND"
+    status = F.when(single, F.col("_leader.r.status")).when(group, F.col("_g_status")).otherwise(rules.ASK)
+    nothing = F.array().cast("array<string>")
+    code = F.when(missed, "DECISION_NO_CANDIDATES").when(F.col("outcome") != "DETERMINED", F.concat(F.lit("DECISION_"), F.col("outcome")))
+    told = F.filter(F.array(F.col("_leader.reason"), code), lambda c: c.isNotNull())
+    reasons = F.concat(told, F.when(single, F.col("_leader.r.reasons")).when(group, F.array("_g_code")).otherwise(nothing))
+    matches = F.transform("_m", lambda m: F.struct(m["id"].alias("id"), m["name"].alias("name"), m["score"].alias("score")))
+    no_matches = F.array().cast(f"array<struct<id:{dict(catalog.dtypes)['id']},name:string,score:double>>")
+    open_ = ~single & ~group & ~missed
+    choose = F.concat(F.transform("_m", lambda m: F.struct(m["id"].cast("string").alias("id"), m["name"].alias("label"))), F.array(F.struct(F.lit("__other__").alias("id"), F.lit("another model").alias("label"))))
+    own = F.when(single, F.col("_leader.r.question")).when(group & (F.col("_g_status") == rules.ASK), F.col("_g_question"))
+    clarification = F.when(missed, ask_for("manual_input", "unknown device")).when(open_, ask_for("choose_candidate", "which model", choose)).when(own.isNotNull(), answer_of(own)).when(status == rules.ASK, ask_for("check_on_device", "unconfirmed data"))
+    out = j.select(
+        F.col("query").alias("_key"), status.alias("status"), F.when(missed, 0.0).otherwise(F.col("_top")).alias("confidence"), F.when(single, F.col("leader")).alias("device"), F.when(open_, matches).otherwise(no_matches).alias("matches"),
+        reasons.alias("reasons"), clarification.alias("clarification"), F.when(missed, "unmatched_query").when(open_, "ambiguous_query").alias("task"),
+    )
+    return keyed.select("query", "_key").join(out, "_key").drop("_key")
+
+
 def suggest(queries: DataFrame, catalog: DataFrame, k: int = 5, known: Sequence[str] = (), least: int = 1, most: int = 10) -> DataFrame:
     """The k best candidates of each query (from 1 to `most`, as a request may ask for), without a decision."""
     if not 1 <= k <= most:

@@ -187,3 +187,16 @@ def search(spark, sf):
 @query()
 def suggest(spark, sf):
     return matching.suggest(_asked(spark, sf), _catalog(spark, sf), 5).withColumn("score", F.round("score", 9))
+
+
+@query()
+def search_response(spark, sf):
+    """Answers with the rules of conditional devices; region by query."""
+    from quern.plans.detection import catalog
+
+    facts = catalog(spark, sf).select("id", "support", "conditions", "confidence", "question")
+    items = _catalog(spark, sf).drop("status").join(facts, "id")
+    n = F.col("query")
+    asks = _asked(spark, sf).withColumn("region", F.when(n % 5 == 0, "cn").when(n % 5 < 4, "US"))
+    out = matching.respond(asks, items)
+    return out.select("query", "status", F.round("confidence", 9).alias("confidence"), "device", F.array_join(F.transform("matches", lambda m: m["id"].cast("string")), ",").alias("matches"), F.array_join("reasons", "|").alias("reasons"), "clarification.kind", "clarification.question", "task")

@@ -193,7 +193,7 @@ def plain_search(asks, catalog, known, sure=0.8, gap=0.08):
             ids = {c[0] for c in catalog if g & set(grams(own_text(c[4])))}
         ranked = sorted((-score(q, by_id[i][4], code), -by_id[i][4]["popularity"], i) for i in ids if not rejected(q, by_id[i][4]))
         if not ranked:
-            out[query] = (None, "NOT_FOUND", "clarification_required")
+            out[query] = (None, "NOT_FOUND", "clarification_required", [])
             continue
         top, leader = -ranked[0][0], ranked[0][2]
         lead = top - (-ranked[1][0] if len(ranked) > 1 else 0)
@@ -207,7 +207,8 @@ def plain_search(asks, catalog, known, sure=0.8, gap=0.08):
             outcome = "BELOW_THRESHOLD" if top < sure else "GAP_TOO_SMALL"
         if narrower(q, by_id[leader][4], code) and (top >= sure and lead >= gap or (outcome == "RESOLVED_BY_EQUIVALENCE" and len(near) == 1)):
             outcome = "GAP_TOO_SMALL"
-        out[query] = (leader, outcome, by_id[leader][5] if outcome in ("DETERMINED", "RESOLVED_BY_EQUIVALENCE") else "clarification_required")
+        shown = [leader] if top >= sure and lead >= gap else near[:5]
+        out[query] = (leader, outcome, by_id[leader][5] if outcome in ("DETERMINED", "RESOLVED_BY_EQUIVALENCE") else "clarification_required", shown)
     return out
 
 
@@ -233,7 +234,7 @@ def test_search_equals_plain_matcher(spark):
     rows = [(r["query"], r["q"].asDict(), r["code"], r["words"]) for r in asks.collect()]
     assert len(rows) == len(raws)
     got = {r["query"]: (r["leader"], r["outcome"], r["status"]) for r in matching.search(asks, cat, known).collect()}
-    want = plain_search(rows, catalog, known)
+    want = {i: w[:3] for i, w in plain_search(rows, catalog, known).items()}
     assert {raws[i]: (got[i], want[i]) for i in got if got[i] != want[i]} == {}
     assert len({o for _, o, _ in want.values()}) == 5
     tiers = Counter(r["reason"] for r in matching.retrieve(asks, cat).collect())
@@ -242,3 +243,46 @@ def test_search_equals_plain_matcher(spark):
         matching.suggest(asks, cat, 11)
     best = matching.suggest(asks, cat, 3, known).collect()
     assert all(1 <= r["rank"] <= 3 for r in best) and {r["query"] for r in best} == {i for i, w in want.items() if w[0] is not None}
+
+
+def test_responses_follow_the_decisions(spark):
+    """Answers by branch; a device's status follows from its support, conditions, region and confidence."""
+    from quern.functions import rules
+
+    china, asked = [("region", "CN", "not_supported")], ("region", "Where?", [("CN", "China"), ("x", "Other")])
+    base = small_catalog()
+    kinds = {0: ("supported", [], "verified", None), 1: ("not_supported", [], "derived", None), 2: ("conditional", china, "verified", asked), 3: ("supported", [], "unverified", None)}
+    kind = lambda i: kinds[2] if base[i][4]["family"].startswith("galaxy") else kinds[0] if base[i][4]["brand"] == "apple" and i % 4 else kinds[i % 4]
+
+    def status(i, region):
+        support, conditions, confidence, _ = kind(i)
+        said = support if support != "conditional" else "not_supported" if region == "CN" else "clarification_required" if region is None else "supported"
+        return "clarification_required" if confidence == "unverified" else said
+
+    schema = "id int, name string, codes array<string>, aliases array<string>, d struct<brand:string,family:string,generation:int,modifiers:array<string>,popularity:double>"
+    facts = "support string, conditions array<struct<scope:string,value:string,support:string>>, confidence string, question struct<kind:string,question:string,options:array<struct<value:string,label:string>>>"
+    cat = spark.createDataFrame([(*c[:5], *kind(c[0])) for c in base], f"{schema}, {facts}")
+    known = ["apple", "samsung", "oppo", "poco", "xiaomi"]
+    raws = [(r, g) for r in ["iphone 12 pro", "iphone 13", "iphone", "galaxy s23 ultra", "galaxy s 23", "galaxy s 23 ultar", "samsung galaxy", "zzz 99", "SM-S112B", "redmi note 12", "poco x 5", "only 7", "flip", ""] for g in (None, " cn", "US")]
+    rows = spark.createDataFrame([(i, r, g) for i, (r, g) in enumerate(raws)], "n int, raw string, region string")
+    asks = matching.asked(rows, "n", "raw", WORDS).join(rows.select(F.col("n").alias("query"), "region"), "query")
+    slots = {r["query"]: (r["query"], r["q"].asDict(), r["code"], r["words"]) for r in asks.collect()}
+    got = {r["query"]: r for r in matching.respond(asks, cat, known).collect()}
+    assert len(got) == len(raws)
+    branches = set()
+    for i, (raw, region) in enumerate(raws):
+        place = region and region.strip().upper()
+        items = [(*c[:5], status(c[0], place)) for c in base]
+        leader, outcome, said, shown = plain_search([slots[i]], items, known)[i]
+        single = outcome == "DETERMINED" or (outcome == "RESOLVED_BY_EQUIVALENCE" and len(shown) == 1)
+        group = outcome == "RESOLVED_BY_EQUIVALENCE" and not single
+        r, where = got[i], (raw, region)
+        assert (r["status"], r["device"]) == (said, leader if single else None), where
+        open_ = outcome in ("GAP_TOO_SMALL", "BELOW_THRESHOLD")
+        assert [m["id"] for m in r["matches"]] == (shown if open_ else []), where
+        assert r["task"] == ("unmatched_query" if outcome == "NOT_FOUND" else "ambiguous_query" if open_ else None), where
+        asks_own = [kind(x)[3] is not None and status(x, place) == rules.ASK for x in (shown if group else [leader])] if leader is not None else [False]
+        kind_of = "manual_input" if outcome == "NOT_FOUND" else "choose_candidate" if open_ else None if said != rules.ASK else "answer_question" if all(asks_own) else "check_on_device"
+        assert (r["clarification"] and r["clarification"]["kind"]) == kind_of, where
+        branches.add((single, group, open_, kind_of))
+    assert len(branches) >= 6
