@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -51,12 +51,21 @@ def set_consensus(status: Column) -> Column:
     return F.when(F.min(status) == F.max(status), F.min(status)).otherwise("mixed")
 
 
-def merge_override(base: DataFrame, patch: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """base with the fields that patch sets (its `set` array names them), null values too."""
-    p = patch.select(F.col(key), "set", *[F.col(f).alias(f"_new_{f}") for f in fields])
+def merge_override(base: DataFrame, patch: DataFrame, key: str, fields: Sequence[str], nested: Mapping[str, Sequence[str]] | None = None, keep_null: Sequence[str] = ()) -> DataFrame:
+    """base with the fields that patch sets (its `set` array names them), null values too.
+
+    nested: the parts of struct fields, which are replaced one by one; set names them as field.part. A null part changes nothing,
+    but for those in keep_null, for which null is a value.
+    """
+    nested = nested or {}
+    p = patch.select(F.col(key), "set", *[F.col(f).alias(f"_new_{f}") for f in (*fields, *nested)])
     joined = base.join(p, key, "left")
-    changed = {f: F.when(F.array_contains("set", f), F.col(f"_new_{f}")).otherwise(F.col(f)) for f in fields}
-    return joined.withColumns(changed).drop("set", *[f"_new_{f}" for f in fields])
+    has = lambda f: F.coalesce(F.array_contains("set", f), F.lit(False))
+    changed = {f: F.when(has(f), F.col(f"_new_{f}")).otherwise(F.col(f)) for f in fields}
+    for f, parts in nested.items():
+        old, new = (lambda n, f=f: F.col(f)[n]), (lambda n, f=f: F.col(f"_new_{f}")[n])
+        changed[f] = F.struct(*[F.when(has(f"{f}.{n}"), new(n) if f"{f}.{n}" in keep_null else F.coalesce(new(n), old(n))).otherwise(old(n)).alias(n) for n in parts])
+    return joined.withColumns(changed).drop("set", *[f"_new_{f}" for f in (*fields, *nested)])
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:

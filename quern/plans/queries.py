@@ -194,13 +194,6 @@ def snapshot_diff(spark, sf):
     return cat.snapshot_diff(*_halves(spark, sf), "id", ["support", "confidence"])
 
 
-@query(DIFF + " SELECT CASE WHEN n.id IS NULL THEN 'not-in-reference' WHEN o.support = n.support THEN 'match' ELSE 'contradict' END AS outcome, count(*) AS n FROM o LEFT JOIN n ON o.id = n.id GROUP BY 1")
-def reference_check(spark, sf):
-    o, n = _halves(spark, sf)
-    j = o.join(n.select("id", F.col("support").alias("expected")), "id", "left")
-    return j.groupBy(F.when(F.col("expected").isNull(), "not-in-reference").when(F.col("support") == F.col("expected"), "match").otherwise("contradict").alias("outcome")).agg(F.count("*").alias("n"))
-
-
 @query(DIFF + " SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NOT NULL THEN 1 ELSE 2 END AS created, coalesce(n.support, o.support) AS support FROM o FULL JOIN n ON o.id = n.id")
 def keyed_upsert(spark, sf):
     o, n = _halves(spark, sf)
