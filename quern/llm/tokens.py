@@ -72,6 +72,7 @@ class PieceEncoder:
         special = [re.escape(x["content"]) for x in form.get("added_tokens", [])]
         self.longest_special = max([0, *(len(x["content"]) for x in form.get("added_tokens", []))])
         self.whole = "|".join([WHOLE, *special])
+        self.joinable = not any(" " in x["content"] for x in form.get("added_tokens", []))
         self.memo, self.part_bytes = memo, part_bytes
         self._clear()
 
@@ -82,21 +83,40 @@ class PieceEncoder:
         self.flat = np.zeros(1 << 18, dtype=np.uint32)
         self.used = 0
 
+    def _encoded(self, part: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces, one after the other, and how many each has.
+
+        Pieces that start with a space and have no other white space end where the next one starts, whatever stands before, so that
+        they are encoded as one text; the library tells which of its words an id belongs to. Should it find another number of
+        words, they are encoded one by one, as all other pieces are.
+        """
+        if self.joinable and all(p[0] == " " and len(p) > 1 for p in part):
+            e = self.library.encode("".join(part), add_special_tokens=False)
+            words = np.array(e.word_ids, dtype=np.float64)  # null for an id outside of words
+            if len(words) and not np.isnan(words).any() and words[-1] == len(part) - 1:
+                counts = np.bincount(words.astype(np.int64), minlength=len(part))
+                if len(counts) == len(part) and counts.all():
+                    return np.array(e.ids, dtype=np.uint32), counts
+        ids = [e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
+        counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        return np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(counts.sum())), counts
+
     def _learn(self, pieces: list[str]) -> None:
-        for lo in range(0, len(pieces), 20_000):
-            part = pieces[lo : lo + 20_000]
-            ids = [e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
-            n, total = len(self.at), sum(map(len, ids))
-            while n + len(part) > len(self.count):
-                self.count, self.begin = np.resize(self.count, 2 * len(self.count)), np.resize(self.begin, 2 * len(self.begin))
-            while self.used + total > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            self.count[n : n + len(part)] = lengths
-            self.begin[n : n + len(part)] = self.used + np.cumsum(lengths) - lengths
-            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=total)
-            self.used += total
-            self.at.update(zip(part, range(n, n + len(part))))
+        spaced = [p for p in pieces if p[0] == " " and len(p) > 1]
+        for group in (spaced, [p for p in pieces if p[0] != " " or len(p) == 1]):
+            for lo in range(0, len(group), 5000):
+                part = group[lo : lo + 5000]
+                ids, lengths = self._encoded(part)
+                n, total = len(self.at), len(ids)
+                while n + len(part) > len(self.count):
+                    self.count, self.begin = np.resize(self.count, 2 * len(self.count)), np.resize(self.begin, 2 * len(self.begin))
+                while self.used + total > len(self.flat):
+                    self.flat = np.resize(self.flat, 2 * len(self.flat))
+                self.count[n : n + len(part)] = lengths
+                self.begin[n : n + len(part)] = self.used + np.cumsum(lengths) - lengths
+                self.flat[self.used : self.used + total] = ids
+                self.used += total
+                self.at.update(zip(part, range(n, n + len(part))))
 
     def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """All pieces of the texts in order (binary), and each row's first piece (rows + 1).
