@@ -362,7 +362,12 @@ def csv_tokenize(spark, sf):
     return p.select("p_partkey", *[F.get(f, F.lit(i)).alias(f"f{i}") for i in range(4)], F.size(f).alias("n"))
 
 
-@query("""SELECT CASE p_partkey % 4 WHEN 0 THEN 'exact' WHEN 3 THEN 'unresolvable' ELSE 'recovered' END AS outcome, count(*) AS n FROM part GROUP BY 1""")
+@query("""WITH d AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN [p_brand, p_type, p_size::VARCHAR, 'high', 'note'] WHEN 1 THEN list_concat([p_brand, p_type, p_size::VARCHAR, 'high', 'note'], list_transform(range(p_partkey % 7 + 1), lambda x: 'tail'))
+  WHEN 2 THEN CASE WHEN p_partkey % 8 = 2 THEN [p_brand, p_type, p_size::VARCHAR, 'high'] ELSE [p_brand, p_size::VARCHAR, 'high'] END ELSE [p_type, p_brand, p_size::VARCHAR, 'high', 'note', 'note'] END AS f FROM part),
+c AS (SELECT p_partkey, list_transform(range(5), lambda i: CASE WHEN (m >> i) & 1 = 1 THEN '' ELSE f[i + 1 - bit_count(m & ((1 << i) - 1))] END) AS r FROM d, range(32) t(m) WHERE len(f) < 5 AND bit_count(m) = 5 - len(f) UNION ALL SELECT p_partkey, list_concat(f[1:4], [array_to_string(f[5:], ',')]) FROM d WHERE len(f) > 5),
+v AS (SELECT DISTINCT p_partkey, r FROM c WHERE starts_with(r[1], 'Brand#') AND regexp_full_match(r[3], '[0-9]+') AND r[4] = 'high'),
+o AS (SELECT p_partkey, count(DISTINCT r[1]) = 1 AND count(DISTINCT r[2]) = 1 AND count(DISTINCT r[3]) = 1 AS same, [CASE WHEN min(r[1]) = max(r[1]) THEN min(r[1]) ELSE '~' END, CASE WHEN min(r[2]) = max(r[2]) THEN min(r[2]) ELSE '~' END, CASE WHEN min(r[3]) = max(r[3]) THEN min(r[3]) ELSE '~' END, CASE WHEN min(r[4]) = max(r[4]) THEN min(r[4]) ELSE '~' END, CASE WHEN min(r[5]) = max(r[5]) THEN min(r[5]) ELSE '~' END] AS agreed FROM v GROUP BY 1)
+SELECT p_partkey, CASE WHEN len(f) = 5 THEN 'exact' WHEN same IS NULL THEN 'unresolvable' WHEN NOT same THEN 'identity-ambiguous' ELSE 'recovered' END AS outcome, CASE WHEN len(f) = 5 THEN array_to_string(f, '|') WHEN same THEN array_to_string(agreed, '|') END AS fields FROM d LEFT JOIN o USING (p_partkey)""")
 def csv_realign(spark, sf):
     p = table(spark, sf, "part")
     row = [F.col("p_brand"), F.col("p_type"), F.col("p_size").cast("string"), F.lit("high"), F.lit("note")]
@@ -372,7 +377,7 @@ def csv_realign(spark, sf):
     dirty = F.when(k == 0, F.array(*row)).when(k == 1, wide).when(k == 2, few).otherwise(F.array(row[1], row[0], row[2], row[3], row[4], row[4]))
     valid = lambda r: F.get(r, F.lit(0)).startswith("Brand#") & F.get(r, F.lit(2)).rlike("^[0-9]+$") & (F.get(r, F.lit(3)) == "high")
     out = csv.realign(dirty, 5, valid, [0, 1, 2])
-    return p.select(out["outcome"].alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
+    return p.select("p_partkey", out.alias("o")).select("p_partkey", "o.outcome", F.array_join("o.fields", "|", "~").alias("fields"))
 
 
 @query(f"""WITH {DEVICES}, q AS (SELECT DISTINCT family, generation AS g FROM devices), s AS (SELECT q.family, q.g, d.id, CASE WHEN d.confidence = 'verified' THEN 0.9 ELSE 0.7 END + 0.1 * d.price / (d.price + 1000) AS score FROM q JOIN devices d ON d.family = q.family AND d.generation = q.g),

@@ -167,12 +167,12 @@ def subsets(n: Column, k: Column, most: int) -> Column:
 
 
 def realign(fields: Column | str, width: int, valid, identity: Sequence[int], most: int = 4000) -> Column:
-    """A row of `width` fields from one with too many or too few: struct(outcome, fields).
+    """A row of `width` fields from one with too many or too few: struct(outcome, fields, cut).
 
     valid: a column expression for a candidate row. Too many: the tail is merged, or empty fields go. Too few:
     empty fields are put in at each set of places. Valid candidates must agree on the identity fields; others
     that differ become null. Any number of fields too many or too few is tried; of the sets of places, the first
-    `most` in lexicographic order.
+    `most` in lexicographic order. cut tells the rows that have more sets, whose outcome another bound could change.
     """
     fields = F.col(fields) if isinstance(fields, str) else fields
     n = F.size(fields)
@@ -194,7 +194,14 @@ def realign(fields: Column | str, width: int, valid, identity: Sequence[int], mo
             same = same & F.forall(options, lambda r: F.get(r, F.lit(i)) == F.get(first, F.lit(i)))
         agreed = F.array(*[F.when(F.forall(options, lambda r: F.get(r, F.lit(i)) == F.get(first, F.lit(i))), F.get(first, F.lit(i))) for i in range(width)])
         outcome = F.when(n == width, "exact").when(options.isNull() | (F.size(options) == 0), "unresolvable").when(~same, "identity-ambiguous").otherwise("recovered")
-        return F.struct(outcome.alias("outcome"), F.when(n == width, fields).when(outcome == "recovered", agreed).alias("fields"))
+        return F.struct(outcome.alias("outcome"), F.when(n == width, fields).when(outcome == "recovered", agreed).alias("fields"), cut_off.alias("cut"))
 
+    def sets(n: Column, k: Column) -> Column:
+        """How many sets of k of n places there are."""
+        steps = F.when((k > 0) & (k <= n), F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
+        return F.when(k > n, 0.0).otherwise(F.aggregate(steps, F.lit(1.0), lambda c, i: c * (n - k + i) / i))
+
+    empties = F.size(F.filter(fields, lambda x: x == ""))
+    cut_off = F.coalesce(F.when(n < width, sets(F.lit(width), F.lit(width) - n)).when(n > width, sets(empties, n - width)) > most + 0.5, F.lit(False))
     options = F.array_distinct(F.filter(F.when(n < width, short()).when(n > width, long()), valid))
     return F.get(F.transform(F.array(options), settled), F.lit(0))  # options are made once

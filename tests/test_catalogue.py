@@ -81,7 +81,11 @@ def test_realign_any_difference(spark):
         assert got == {i: plain(r, 5, most) for i, r in enumerate(rows)}
     line = ["m", *["f"] * 14, "note", "with", "three", "commas"]  # 16 columns
     out = spark.createDataFrame([(line,)], "f array<string>").select(csv.realign(F.col("f"), 16, lambda r: F.get(r, F.lit(0)) == "m", [0]).alias("r")).first()["r"]
-    assert (out["outcome"], out["fields"][15]) == ("recovered", "note,with,three,commas")
+    assert (out["outcome"], out["fields"][15], out["cut"]) == ("recovered", "note,with,three,commas", False)
+    rows = [(["x"] * 9, False), (["x"] * 8, True), (["x"] * 16, False), (["x"] * 14 + [""] * 8, False), (["x"] * 4 + [""] * 18, True)]  # C(16, 7), C(16, 8), none, C(8, 6), C(18, 6)
+    df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(rows)], "i int, f array<string>")
+    got = df.select("i", csv.realign(F.col("f"), 16, lambda r: F.lit(False), [0], 11_440).alias("r")).orderBy("i").collect()
+    assert [x["r"]["cut"] for x in got] == [c for _, c in rows]
 
 
 def test_stream_equals_batch(spark, tmp_path):
