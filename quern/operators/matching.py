@@ -33,9 +33,9 @@ def top_shared_trigrams(left: DataFrame, right: DataFrame, left_text: str, right
     """For each different left text the k right ones that have most of its trigrams (repeated ones count), ties by text: both texts and shared.
 
     Rare trigrams propose, common ones only verify. The rarest of a text, as long as few right texts have them, give
-    first partners; the k-th best count of those is a bound. A partner with as many must have one of the rarer trigrams, namely of
-    those before which too little is left to reach the bound. So a common trigram proposes only where a text has
-    too few partners without it.
+    first partners; the k-th best count of those is a bound, which two more rounds with more partners raise. A partner with as many
+    must have one of the rarer trigrams, namely of those before which too little is left to reach the bound. So a common trigram
+    proposes only where a text has too few good partners without it.
     """
     grams = text.trigrams
     own = right.select(F.col(right_text).alias("_own")).where("_own is not null").distinct().withColumn("_set", F.array_distinct(grams(F.col("_own"))))
@@ -45,18 +45,24 @@ def top_shared_trigrams(left: DataFrame, right: DataFrame, left_text: str, right
     each = asks.select("_ask", F.explode(grams(F.col("_ask"))).alias("gram")).groupBy("_ask", "gram").agg(F.count("*").alias("n")).join(often, "gram")
     rarest = W.partitionBy("_ask").orderBy("texts", "gram")
     each = each.withColumns({"upto": F.sum("n").over(rarest), "met": F.sum("texts").over(rarest), "total": F.sum("n").over(W.partitionBy("_ask"))})
-    weights = each.groupBy("_ask").agg(F.map_from_entries(F.collect_list(F.struct("gram", "n"))).alias("_n"), F.first("total").alias("total"))
+    extra = F.filter(F.collect_list(F.struct("gram", (F.col("n") - 1).alias("n"))), lambda x: x["n"] > 0)
+    weights = each.groupBy("_ask").agg(F.collect_list("gram").alias("_grams"), extra.alias("_more"))
 
     def partners(proposing: DataFrame) -> DataFrame:
         pairs = proposing.select("_ask", "gram").join(posting, "gram").select("_ask", "_own").distinct()
-        counted = F.aggregate("_set", F.lit(0).cast("long"), lambda s, g: s + F.coalesce(F.try_element_at("_n", g), F.lit(0)))
+        repeated = F.aggregate("_more", F.lit(0).cast("long"), lambda s, x: s + F.when(F.array_contains("_set", x["gram"]), x["n"]).otherwise(0))
+        counted = F.size(F.array_intersect("_grams", "_set")) + repeated
         return pairs.join(weights, "_ask").join(own, "_own").select("_ask", "_own", counted.alias("shared")).where(F.col("shared") >= least)
 
     order = [F.desc("shared"), F.asc("_own")]
-    first = top_k(partners(each.where(F.col("met") <= 4 * k)), ["_ask"], order, k)
-    bound = first.groupBy("_ask").agg(F.when(F.count("*") == k, F.min("shared")).alias("bound"))
-    needed = F.col("total") - F.col("upto") + F.col("n") >= F.greatest(F.coalesce("bound", F.lit(least)), F.lit(least))
-    best = top_k(partners(each.join(bound, "_ask", "left").where(needed)), ["_ask"], order, k)
+    floor = F.greatest(F.coalesce("bound", F.lit(least)), F.lit(least)).cast("long")
+    needed = F.col("total") - F.col("upto") + F.col("n") >= floor
+    each = checkpointed(each.withColumn("bound", F.lit(None).cast("long")))
+    for most in (4 * k, 32 * k, 256 * k):
+        first = top_k(partners(each.where(needed & ((F.col("met") <= most) | (F.col("met") == F.col("texts"))))), ["_ask"], order, k)
+        better = first.groupBy("_ask").agg(F.when(F.count("*") == k, F.min("shared")).alias("_bound"))
+        each = checkpointed(each.join(better, "_ask", "left").withColumn("bound", F.greatest("bound", "_bound")).drop("_bound"))
+    best = top_k(partners(each.where(needed)), ["_ask"], order, k)
     return best.select(F.col("_ask").alias(left_text), F.col("_own").alias(right_text), "shared", "rank")
 
 
