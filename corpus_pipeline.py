@@ -42,7 +42,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", toxicity), ("quality rules", quality_rules), ("near-duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
-#: SQL can't express learned scores, seeded selection and token ids; tests compare with a brute-force version.
+#: SQL can't express learned scores, seeded selection and token ids. Tests compare run with its stages, whose operators have plain versions of their own.
 ORACLE_SQL = None
 
 
