@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import rules
-from quern.operators import catalogue as cat
 from quern.operators import moderation
 from quern.plans.inputs import DEVICES, devices, table
 from quern.plans.queries import query
