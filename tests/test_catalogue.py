@@ -98,3 +98,11 @@ def test_stream_equals_batch(spark, tmp_path):
     q = tasks.stream_tasks(source, ["u"], "t", "p", lambda b, n: final.update({r["u"]: tuple(r) for r in b.collect()}), str(tmp_path / "cp"))
     q.awaitTermination()
     assert set(final.values()) == {tuple(r) for r in tasks.count_tasks(df, ["u"], "t", "p").collect()}
+
+
+def test_rounds_of_self_joins_keep_estimates_small(spark):
+    rows = spark.range(4).select("id", F.col("id").alias("to"))
+    for _ in range(8):
+        rows = cat.checkpointed(rows.join(rows.select(F.col("id").alias("to"), F.col("to").alias("further")), "to").select("id", F.col("further").alias("to")))
+    assert rows.count() == 4
+    assert int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 1_000_000
