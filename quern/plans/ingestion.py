@@ -75,7 +75,7 @@ def id_collisions(spark, sf):
     return m.select("l_suppkey", "l_partkey", "n", "support", "outcome", F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("first_us"), F.array_join("codes", "|").alias("codes"))
 
 
-@query("""WITH r AS (SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, year(l_shipdate) AS y, CASE WHEN l_tax > 0.02 THEN l_returnflag END AS flag, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem),
+@query("""WITH r AS (SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, year(l_shipdate) AS y, CASE WHEN l_tax > 0.02 THEN l_returnflag END AS flag, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_tax > 0.02 THEN l_returnflag END NULLS FIRST, year(l_shipdate)) AS n FROM lineitem),
 y AS (SELECT l_partkey, y AS v, count(*) AS c FROM r GROUP BY 1, 2), f AS (SELECT l_partkey, flag AS v, count(*) AS c FROM r WHERE flag IS NOT NULL GROUP BY 1, 2),
 ym AS (SELECT l_partkey, CASE WHEN count(*) = 1 THEN min(v) END AS v FROM (SELECT *, max(c) OVER (PARTITION BY l_partkey) AS m FROM y) WHERE c = m GROUP BY 1),
 fm AS (SELECT l_partkey, CASE WHEN count(*) = 1 THEN min(v) END AS v FROM (SELECT *, max(c) OVER (PARTITION BY l_partkey) AS m FROM f) WHERE c = m GROUP BY 1)
