@@ -47,8 +47,9 @@ def _next_times(times: DataFrame, span: int) -> DataFrame:
     own = times.select("key", "us", bucket.alias("bucket"))
     seen = own.select("key", "bucket", F.col("us").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("us"))
     probe = own.select("key", (F.col("bucket") + 1).alias("bucket"), (F.col("us") + span).alias("at"), F.lit(0).alias("kind"), "us")
-    ahead = W.partitionBy("key", "bucket").orderBy("at", "kind").rowsBetween(0, W.unboundedFollowing)
-    near = seen.unionByName(probe).withColumn("to", F.first(F.when(F.col("kind") == 1, F.col("at")), ignorenulls=True).over(ahead)).where("kind = 0").select("key", "us", F.col("bucket") - 1, "to").toDF("key", "us", "bucket", "near")
+    # From the last time to the first: a frame that grows is kept up row by row, one that shrinks is read anew for each row.
+    ahead = W.partitionBy("key", "bucket").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(W.unboundedPreceding, 0)
+    near = seen.unionByName(probe).withColumn("to", F.last(F.when(F.col("kind") == 1, F.col("at")), ignorenulls=True).over(ahead)).where("kind = 0").select("key", "us", F.col("bucket") - 1, "to").toDF("key", "us", "bucket", "near")
     in_order = W.partitionBy("key").orderBy("bucket")
     firsts = own.groupBy("key", "bucket").agg(F.min("us").alias("first"))
     firsts = firsts.select("key", "bucket", *[F.lead(c, n).over(in_order).alias(f"{c}{n}") for c in ("bucket", "first") for n in (1, 2)])

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import detection as operators
 from quern.plans import detection
+from quern.streaming import limits
 
 
 def test_grouped_answers_hold_no_lists(spark):
@@ -28,3 +29,11 @@ def test_grouped_answers_hold_no_lists(spark):
         if asks and asks["kind"] == "choose_candidate":
             asks["options"] = own + [{"id": "__other__", "label": "another model"}]
         assert asks == want["clarification"]
+
+
+def test_next_times_keep_up_their_frame(spark):
+    """A frame from each row to the end is read anew for each row, so a bucket cost the square of its times."""
+    times = spark.createDataFrame([("a", t) for t in (1, 4, 9, 10, 11, 35, 36, 60)] + [("b", 3)], "key string, us long")
+    found = limits._next_times(times, 10)
+    assert {(r["key"], r["us"]): r["to"] for r in found.collect()} == {("a", 1): 11, ("a", 4): 35, ("a", 9): 35, ("a", 10): 35, ("a", 11): 35, ("a", 35): 60, ("a", 36): 60, ("a", 60): None, ("b", 3): None}
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
