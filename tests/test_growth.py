@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quern.operators import detection as operators
+from quern.operators.intervals import version_counts, version_join
 from quern.plans import detection
 from quern.streaming import limits
 
@@ -37,3 +38,14 @@ def test_next_times_keep_up_their_frame(spark):
     found = limits._next_times(times, 10)
     assert {(r["key"], r["us"]): r["to"] for r in found.collect()} == {("a", 1): 11, ("a", 4): 35, ("a", 9): 35, ("a", 10): 35, ("a", 11): 35, ("a", 35): 60, ("a", 36): 60, ("a", 60): None, ("b", 3): None}
     assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_version_counts_make_no_pairs_of_items(spark):
+    """Each version met each item whose range it's in; items of equal bounds are one row now."""
+    points = spark.createDataFrame([("3.1",), ("3.1",), ("7",), ("x",), (None,)], "v string")
+    items = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.col("id") % 5, F.lit(".0"))).alias("lo"), F.when(F.col("id") % 4 > 0, F.concat(F.col("id") % 7 + 2, F.lit(".4"))).alias("hi"))
+    want = version_join(points.distinct(), items, "v", "lo", "hi").groupBy("v").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.sum("id").alias("ids"))
+    got = version_counts(points, items, "v", "lo", "hi", "id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.rindex("Aggregate [lo") < plan.rindex("Range")  # items are counted below the join
