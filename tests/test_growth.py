@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import detection as operators
 from quern.operators.intervals import version_counts, version_join
-from quern.plans import detection
+from quern.plans import detection, queries
 from quern.streaming import limits
 
 
@@ -49,3 +49,13 @@ def test_version_counts_make_no_pairs_of_items(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.rindex("Aggregate [lo") < plan.rindex("Range")  # items are counted below the join
+
+
+def test_matched_pairs_follow_forms(spark, tmp_path):
+    """Each query met every device of its family; devices that differ in id, popularity and support alone are one form."""
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").where("p_partkey < 40")
+    parts.write.parquet(f"{tmp_path}/one/part.parquet")
+    copies = parts.crossJoin(spark.range(5).select((F.col("id") * 40).alias("more"))).withColumn("p_partkey", F.col("p_partkey") + F.col("more")).drop("more")
+    copies.write.parquet(f"{tmp_path}/many/part.parquet")
+    counts = [queries._matched(spark, f"{tmp_path}/{d}")[0].count() for d in ("one", "many")]
+    assert counts[0] == counts[1] > 0
