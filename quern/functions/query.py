@@ -158,8 +158,8 @@ def model_code(raw: Column) -> Column:
     return F.when(match, up)
 
 
-def normalised(raw: Column, d: Dictionary, codes: bool = True) -> Column:
-    """struct(normalised, words, trace, code, q): q has the slots, empty where the text is a code. codes: whether to look for one.
+def normalised(raw: Column, d: Dictionary, codes: bool = True, slots: bool = True) -> Column:
+    """struct(normalised, words, trace, code, q): q has the slots, empty where the text is a code. codes: whether to look for one. slots: whether to have q.
 
     trace: step, value and changed of each step. A null text counts as empty.
     """
@@ -172,7 +172,8 @@ def normalised(raw: Column, d: Dictionary, codes: bool = True) -> Column:
         trace = F.array(*[F.struct(F.lit(k).alias("step"), v.alias("value"), (v != b).alias("changed")) for k, v, b in zip(named, made[1:], before)])
         words = F.filter(F.split(made[-1], " "), lambda w: w != "")
         asked = F.when(code.isNull(), words).otherwise(F.array().cast("array<string>"))
-        return F.struct(made[-2].alias("normalised"), words.alias("words"), trace.alias("trace"), code.alias("code"), parse_slots(asked, d).alias("q"))
+        q = [parse_slots(asked, d).alias("q")] if slots else []
+        return F.struct(made[-2].alias("normalised"), words.alias("words"), trace.alias("trace"), code.alias("code"), *q)
 
     return chained(text.nfkc(given), list(named.values()), finish)
 
