@@ -31,7 +31,8 @@ def page(rows: DataFrame, order: Sequence[Column], number: int, size: int) -> Da
 def nearest_screens(asked: DataFrame, screens: DataFrame, key: str, k: int) -> DataFrame:
     """The k screens (w, h, dpr) nearest to each asked one: by width, height and a hundred times the pixel ratio; ties by w, h, dpr.
 
-    Screens lie in square cells, of about k each at first. An asked geometry meets those of its cell and the eight around it. What
+    Screens lie in square cells, of about k each at first. An asked geometry outside of all screens starts from the nearest place of their
+    rectangle: every screen is further from it by the same way. It meets those of that place's cell and the eight around it. What
     lies further is further away than those cells' edge, so where the k-th best is nearer the answer is final; the
     rest go on with cells twice as large, until these hold all screens. Equal geometries are asked once. Rows with a null are left out.
     """
@@ -44,15 +45,20 @@ def nearest_screens(asked: DataFrame, screens: DataFrame, key: str, k: int) -> D
     if area["n"]:
         width, height = area["hi_w"] - area["lo_w"], area["hi_h"] - area["lo_h"]
         cell = max(1.0, float(width * height * k / area["n"]) ** 0.5)
+        # Every screen is further away by the nearest pixel ratio that any has; where there are many ratios the bound does without.
+        ratios = [r[0] for r in own.select("_dpr").distinct().limit(101).collect()]
+        ratio = F.array_min(F.array(*[F.abs(F.lit(r) - F.col("dpr")) for r in ratios])) * 100 if len(ratios) <= 100 else F.lit(0.0)
         while True:
-            floor = lambda c, cell=cell: F.floor(F.col(c) / cell)
+            place = {c: F.least(F.greatest(F.col(c), F.lit(area[f"lo_{c}"])), F.lit(area[f"hi_{c}"])) for c in ("w", "h")} | {c: F.col(c) for c in ("_w", "_h")}
+            floor = lambda c, cell=cell, place=place: F.floor(place[c] / cell)
             around = F.explode(F.array(*[F.struct((floor("w") + x).alias("cw"), (floor("h") + y).alias("ch")) for x in (-1, 0, 1) for y in (-1, 0, 1)])).alias("c")
             distance = F.abs(F.col("_w") - F.col("w")) + F.abs(F.col("_h") - F.col("h")) + F.abs(F.col("_dpr") - F.col("dpr")) * 100
             cells = own.withColumns({"cw": floor("_w"), "ch": floor("_h")})
             met = open_.select(*numbers, around).select(*numbers, "c.*").join(cells, ["cw", "ch"]).withColumn("distance", distance)
             best = top_k(met, numbers, [F.asc("distance"), F.asc("_w"), F.asc("_h"), F.asc("_dpr")], k)
             # The nearest place outside of the nine cells, and whether nothing lies there.
-            edge = F.least(*[x for c in ("w", "h") for x in (F.col(c) - (floor(c) - 1) * cell, (floor(c) + 2) * cell - F.col(c))])
+            edge = F.least(*[x for c in ("w", "h") for x in (place[c] - (floor(c) - 1) * cell, (floor(c) + 2) * cell - place[c])])
+            edge = (edge + ratio + F.abs(F.col("w") - place["w"]) + F.abs(F.col("h") - place["h"])) * (1 - 1e-12)  # ties by rounding stay open
             whole = F.lit(True)
             for c in ("w", "h"):
                 whole = whole & ((floor(c) - 1) * cell <= area[f"lo_{c}"]) & ((floor(c) + 2) * cell > area[f"hi_{c}"])

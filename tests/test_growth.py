@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quern.operators import detection as operators
+from quern.operators import moderation
 from quern.operators.intervals import version_counts, version_join
 from quern.plans import detection, queries
 from quern.streaming import limits
@@ -59,3 +60,14 @@ def test_matched_pairs_follow_forms(spark, tmp_path):
     copies.write.parquet(f"{tmp_path}/many/part.parquet")
     counts = [queries._matched(spark, f"{tmp_path}/{d}")[0].count() for d in ("one", "many")]
     assert counts[0] == counts[1] > 0
+
+
+def test_screens_off_all_ratios_meet_few_cells(spark, monkeypatch):
+    """An asked ratio that no screen has, and a place outside of all screens, made cells grow until they held most screens."""
+    rounds, kept = [], moderation.checkpointed
+    monkeypatch.setattr(moderation, "checkpointed", lambda df: rounds.append(1) or kept(df))
+    screens = spark.range(40 * 40).select((F.col("id") % 40).cast("int").alias("w"), F.floor(F.col("id") / 40).cast("int").alias("h"), F.lit(1.0).alias("dpr"))
+    asked = spark.createDataFrame([(1, 20, 20, 1.25), (2, 90, -70, 1.0)], "q int, w int, h int, dpr double")
+    got = sorted((r["q"], r["rank"], r["w"], r["h"], r["distance"]) for r in moderation.nearest_screens(asked, screens, "q", 2).collect())
+    assert got == [(1, 1, 20, 20, 25.0), (1, 2, 19, 20, 26.0), (2, 1, 39, 0, 121.0), (2, 2, 38, 0, 122.0)]
+    assert len(rounds) <= 2 + 2 * 2  # two frames at first, and two a round
