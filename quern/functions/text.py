@@ -140,10 +140,15 @@ def transliterate(c: Column, table: Mapping[str, str]) -> Column:
     return out
 
 
+def padded(c: Column) -> Column:
+    """The lower-case text with two spaces on each side, whose parts of three characters are its trigrams."""
+    return F.concat(F.lit("  "), F.lower(c), F.lit("  "))
+
+
 def trigrams(c: Column) -> Column:
     """Trigrams of the lower-case text with two spaces on each side, repeated ones too."""
-    padded = F.concat(F.lit("  "), F.lower(c), F.lit("  "))
-    return F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3)))
+    # The text is padded once, as the value of an outer lambda, not once a trigram.
+    return F.transform(F.array(padded(c)), lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substr(p, i, F.lit(3))))[0]
 
 
 def jaccard(a: Column, b: Column) -> Column:

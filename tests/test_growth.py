@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quern.operators import detection as operators
-from quern.operators import moderation
+from quern.operators import matching, moderation
 from quern.operators.intervals import version_counts, version_join
 from quern.plans import detection, queries
 from quern.streaming import limits
@@ -71,3 +71,29 @@ def test_screens_off_all_ratios_meet_few_cells(spark, monkeypatch):
     got = sorted((r["q"], r["rank"], r["w"], r["h"], r["distance"]) for r in moderation.nearest_screens(asked, screens, "q", 2).collect())
     assert got == [(1, 1, 20, 20, 25.0), (1, 2, 19, 20, 26.0), (2, 1, 39, 0, 121.0), (2, 2, 38, 0, 122.0)]
     assert len(rounds) <= 2 + 2 * 2  # two frames at first, and two a round
+
+
+def test_top_trigrams_deal_pairs_by_their_number(spark, monkeypatch):
+    """A join of few trigrams that makes many pairs was a task or a few, however many pairs there were."""
+    tasks, kept = [], matching.top_k
+    monkeypatch.setattr(matching, "top_k", lambda rows, *a: tasks.append([r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]) or kept(rows, *a))
+    monkeypatch.setattr(matching, "DEALT", 500, raising=False)
+    own = spark.range(1000).select(F.concat(F.col("id").cast("string"), F.lit(" abc")).alias("o"))
+    asks = spark.range(20).select(F.concat_ws(" ", F.lit("abc"), F.col("id") + 2000).alias("a"))
+    got = matching.top_shared_trigrams(asks, own, "a", "o", 300).collect()
+    assert len(got) == 20 * 300
+    made = [(sum(t), max(t)) for t in tasks if t]
+    assert max(made)[0] == 20 * 1000 and all(most < 0.2 * rows for rows, most in made if rows > 4000), made
+
+
+def test_top_trigrams_of_an_ask_with_many_partners(spark, monkeypatch):
+    """An ask of common trigrams alone meets all texts: its partners are several tasks, its rows those of all pairs."""
+    monkeypatch.setattr(matching, "DEALT", 100, raising=False)
+    monkeypatch.setattr(matching, "LISTED", 16, raising=False)
+    own = spark.range(900).select(F.concat(F.lit("q "), F.col("id").cast("string")).alias("o"))
+    asks = spark.createDataFrame([("q",), ("q q",), ("zz",), ("",), (None,)], "a string")
+    got = matching.top_shared_trigrams(asks, own, "a", "o", 3).collect()
+    first = sorted(f"q {i}" for i in range(900))[:3]
+    by_ask = {a: [(r["o"], r["shared"], r["rank"]) for r in sorted(got, key=lambda r: r["rank"]) if r["a"] == a] for a in ("q", "q q", "zz", "")}
+    assert by_ask["q"] == [(o, 2, i) for i, o in enumerate(first, 1)]
+    assert [o for o, _, _ in by_ask["q q"]] == first and not by_ask["zz"] and not by_ask[""]
